@@ -9,11 +9,11 @@ from ..operators import activity, events, profiles
 from ..operators.collecting import distinct_values, first_value, first_values, last_value
 from ..plans.profile_build import build_profiles_from_events
 from ..schemas import PROFILE
-from .registry import flat, query
+from .registry import flat, query, r
 from .shapes import Shapes
 
 A1_COLS = ("user_id, session_id, recent_product_ids, recent_categories, recent_search_queries, total_product_views, "
-           "avg_view_duration_ms, round(avg_product_price, 6) AS avg_product_price, max_viewed_price, min_viewed_price, "
+           "avg_view_duration_ms, " + r("avg_product_price") + ", max_viewed_price, min_viewed_price, "
            "strftime(t, '%Y-%m-%d %H:%M:%S') AS last_event_time")
 
 
@@ -36,27 +36,26 @@ def a3(s: Shapes) -> DataFrame:
     return flat(activity.session_activity(s.timed_users()))
 
 
-@query("a4_ai_activity", """
-SELECT * EXCLUDE (t, ai_avg_min_price, ai_avg_max_price), round(ai_avg_min_price, 6) AS ai_avg_min_price,
-  round(ai_avg_max_price, 6) AS ai_avg_max_price, strftime(t, '%Y-%m-%d %H:%M:%S') AS last_event_time FROM x_a4""")
+@query("a4_ai_activity", f"""
+SELECT * EXCLUDE (t, ai_avg_min_price, ai_avg_max_price), {r("ai_avg_min_price")}, {r("ai_avg_max_price")}, strftime(t, '%Y-%m-%d %H:%M:%S') AS last_event_time FROM x_a4""")
 def a4(s: Shapes) -> DataFrame:
     return flat(activity.ai_activity(s.timed_ai()))
 
 
-@query("a5_order_activity", """
-SELECT * EXCLUDE (t, total_spent, avg_order_value, total_discount), round(total_spent, 2) AS total_spent,
-  round(avg_order_value, 2) AS avg_order_value, 0.0 AS total_discount,
+@query("a5_order_activity", f"""
+SELECT * EXCLUDE (t, total_spent, avg_order_value, total_discount), {r("total_spent")}, {r("avg_order_value")},
+  0.0 AS total_discount,
   strftime(t, '%Y-%m-%d %H:%M:%S') AS last_event_time FROM x_a5""")
 def a5(s: Shapes) -> DataFrame:
-    return flat(activity.order_activity(s.order_items()), digits=2)
+    return flat(activity.order_activity(s.order_items()))
 
 
-@query("a5_order_activity_per_order", """
-SELECT user_id, count(*) AS total_orders, round(sum(total), 2) AS total_spent, round(avg(total), 2) AS avg_order_value
+@query("a5_order_activity_per_order", f"""
+SELECT user_id, count(*) AS total_orders, {r("sum(total)", "total_spent")}, {r("avg(total)", "avg_order_value")}
 FROM (SELECT DISTINCT user_id, order_id, total FROM x_items) GROUP BY user_id""")
 def a5_per_order(s: Shapes) -> DataFrame:
     df = activity.order_activity(s.order_items(), per_order=True)
-    return flat(df, "user_id", "total_orders", "total_spent", "avg_order_value", digits=2)
+    return flat(df, "user_id", "total_orders", "total_spent", "avg_order_value")
 
 
 def profiles_of(s: Shapes) -> DataFrame:
@@ -65,10 +64,10 @@ def profiles_of(s: Shapes) -> DataFrame:
 
 
 PROFILE_SQL_COLS = ", ".join(
-    f"round({f.name}, 2) AS {f.name}" if f.name in ("avg_product_price", "total_spent", "avg_order_value")
+    r(f.name) if f.name in ("avg_product_price", "total_spent", "avg_order_value")
     else f.name for f in PROFILE)
 
 
 @query("j1_build_user_profiles", f"SELECT {PROFILE_SQL_COLS} FROM x_prof")
 def j1(s: Shapes) -> DataFrame:
-    return flat(profiles_of(s), digits=2)
+    return flat(profiles_of(s))

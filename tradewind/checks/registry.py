@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .shapes import Shapes
 from .sql import compose
@@ -26,7 +26,12 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-def flat(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+def r(expression: str, name: str | None = None) -> str:
+    """SQL for a rounded double; the small shift settles exact halves alike in both engines."""
+    return f"round(CAST({expression} AS DOUBLE) + 0.0000001, 4) AS {name or expression}"
+
+
+def flat(df: DataFrame, *cols: str) -> DataFrame:
     """Columns in a form two engines print alike: arrays joined, doubles rounded, decimals as doubles."""
     types = {f.name: f.dataType for f in df.schema}
     out = []
@@ -35,7 +40,7 @@ def flat(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
         if isinstance(t, T.ArrayType):
             col = F.array_join(col, "|")
         elif isinstance(t, T.DoubleType):
-            col = F.round(col, digits)
+            col = F.round(col + F.lit(0.0000001), 4)
         elif isinstance(t, T.DecimalType):
             col = col.cast("double")
         elif isinstance(t, T.TimestampType):

@@ -57,6 +57,9 @@ SELECT CAST(p_partkey AS VARCHAR) AS id, 'SKU-' || p_partkey AS sku, p_name AS n
 FROM part LEFT JOIN x_sold ON l_partkey = p_partkey""")
 cte("x_pc", """
 SELECT p.*, c.name AS category_name, c.path AS category_path FROM x_prod p LEFT JOIN x_cat c ON c.id = p.category_id""")
+cte("x_part", """
+SELECT part.*, c.name AS category FROM part JOIN x_cat c
+  ON c.path = 'Catalog >> ' || p_type || ' >> ' || split_part(p_name, ' ', -1)""")
 cte("x_ev", """
 SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id,
   user_id || '-' || CASE WHEN day(ts) <= 15 THEN 'a' ELSE 'b' END AS session_id,
@@ -66,16 +69,16 @@ SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_i
 FROM events""")
 cte("x_views", """
 SELECT e.event_id, e.user_id, e.session_id, e.event_time, CAST(e.p_partkey AS VARCHAR) AS product_id,
-  p_name AS product_name, p_type AS category,
+  p_name AS product_name, category,
   CAST(CAST(p_retailprice AS DECIMAL(10,2)) * (1 + e.p_partkey % 40) AS DOUBLE) AS price,
   CASE WHEN k % 3 = 0 THEN p_name ELSE '' END AS search_query,
   CAST(round(value * 1000) AS BIGINT) AS view_duration_ms
-FROM x_ev e JOIN part p ON e.p_partkey = p.p_partkey WHERE event_type = 'view'""")
+FROM x_ev e JOIN x_part p ON e.p_partkey = p.p_partkey WHERE event_type = 'view'""")
 cte("x_carts", """
 SELECT e.event_id, e.user_id, e.session_id, e.event_time,
   CASE WHEN event_type = 'purchase' THEN 'ADD' ELSE 'REMOVE' END AS action,
-  CAST(e.p_partkey AS VARCHAR) AS product_id, p_type AS category, value AS cart_total, k % 5 AS cart_item_count
-FROM x_ev e JOIN part p ON e.p_partkey = p.p_partkey WHERE event_type IN ('purchase', 'error')""")
+  CAST(e.p_partkey AS VARCHAR) AS product_id, category, value AS cart_total, k % 5 AS cart_item_count
+FROM x_ev e JOIN x_part p ON e.p_partkey = p.p_partkey WHERE event_type IN ('purchase', 'error')""")
 cte("x_users", """
 SELECT event_id, user_id, session_id, event_time,
   CASE WHEN event_type = 'click' THEN 'PAGE_VIEW' ELSE 'LOGIN' END AS event_type,
@@ -87,9 +90,9 @@ SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(o_custkey AS VARCHAR) AS us
   ['UPI', 'CARD', 'NETBANKING', 'COD', 'WALLET'][o_orderkey % 5 + 1] AS payment_method, o_orderstatus AS status,
   CAST(o_orderdate AS TIMESTAMP) AS event_time, o_orderkey FROM orders""")
 cte("x_items", """
-SELECT o.order_id AS event_id, o.*, CAST(l_partkey AS VARCHAR) AS product_id, p_type AS category,
+SELECT o.order_id AS event_id, o.*, CAST(l_partkey AS VARCHAR) AS product_id, category,
   row_number() OVER (PARTITION BY o.order_id ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS item_pos
-FROM x_orders o JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey""")
+FROM x_orders o JOIN lineitem ON l_orderkey = o_orderkey JOIN x_part ON p_partkey = l_partkey""")
 cte("x_ai", """
 SELECT conv_id || '-' || turn AS event_id, CAST(conv_id AS VARCHAR) AS user_id, text AS query,
   ['searchProducts', 'getProductDetails', 'compareProducts'][turn % 3 + 1] AS tool_name,
