@@ -31,6 +31,11 @@ def r(expression: str, name: str | None = None) -> str:
     return f"round(CAST({expression} AS DOUBLE) + 0.0000001, 4) AS {name or expression}"
 
 
+def j(expression: str, name: str | None = None) -> str:
+    """SQL for a list joined by bars."""
+    return f"array_to_string({expression}, '|') AS {name or expression}"
+
+
 def flat(df: DataFrame, *cols: str) -> DataFrame:
     """Columns in a form two engines print alike: arrays joined, doubles rounded, decimals as doubles."""
     types = {f.name: f.dataType for f in df.schema}

@@ -16,12 +16,15 @@ from ..operators.importing import build_categories
 from ..schemas import to_wire
 from ..session import materialise
 
+_READ: dict[tuple[str, str, str], DataFrame] = {}
 MILLIS = "yyyy-MM-dd HH:mm:ss.SSS"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _READ:
+        _READ[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _READ[key]
 
 
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}

@@ -117,16 +117,16 @@ JOIN x_prod ON x_prod.id = CAST(l_partkey AS VARCHAR)""")
 
 # ---- activity ----
 cte("x_a1p", """
-SELECT user_id, session_id, array_to_string(list(product_id ORDER BY event_time, event_id)[1:10], '|') AS recent_product_ids,
+SELECT user_id, session_id, list(product_id ORDER BY event_time, event_id)[1:10] AS recent_product_ids,
   count(*) AS total_product_views, coalesce(sum(view_duration_ms) // count(view_duration_ms), 0) AS avg_view_duration_ms,
   avg(price) AS avg_product_price, max(price) AS max_viewed_price, min(price) AS min_viewed_price, max(event_time) AS t
 FROM x_views GROUP BY user_id, session_id""")
 cte("x_a1c", """
-SELECT user_id, session_id, array_to_string(list(category ORDER BY o)[1:5], '|') AS recent_categories FROM (
+SELECT user_id, session_id, list(category ORDER BY o)[1:5] AS recent_categories FROM (
   SELECT user_id, session_id, category, min((event_time, event_id)) AS o FROM x_views GROUP BY ALL)
 GROUP BY user_id, session_id""")
 cte("x_a1q", """
-SELECT user_id, session_id, array_to_string(list(search_query ORDER BY o), '|') AS recent_search_queries FROM (
+SELECT user_id, session_id, list(search_query ORDER BY o) AS recent_search_queries FROM (
   SELECT user_id, session_id, search_query, min((event_time, event_id)) AS o FROM x_views GROUP BY ALL)
 GROUP BY user_id, session_id""")
 cte("x_a1", """
@@ -137,10 +137,10 @@ SELECT user_id, session_id, arg_max(cart_total, (event_time, event_id)) AS curre
   count(*) FILTER (action = 'ADD') AS cart_adds, count(*) FILTER (action = 'REMOVE') AS cart_removes,
   max(event_time) AS t, any_value(cart_product_ids) AS cart_product_ids, any_value(cart_categories) AS cart_categories
 FROM x_carts
-LEFT JOIN (SELECT user_id, session_id, array_to_string(list(product_id ORDER BY o), '|') AS cart_product_ids FROM (
+LEFT JOIN (SELECT user_id, session_id, list(product_id ORDER BY o) AS cart_product_ids FROM (
   SELECT user_id, session_id, product_id, min((event_time, event_id)) AS o FROM x_carts WHERE action = 'ADD' GROUP BY ALL)
   GROUP BY ALL) USING (user_id, session_id)
-LEFT JOIN (SELECT user_id, session_id, array_to_string(list(category ORDER BY o), '|') AS cart_categories FROM (
+LEFT JOIN (SELECT user_id, session_id, list(category ORDER BY o) AS cart_categories FROM (
   SELECT user_id, session_id, category, min((event_time, event_id)) AS o FROM x_carts WHERE action = 'ADD' GROUP BY ALL)
   GROUP BY ALL) USING (user_id, session_id)
 GROUP BY user_id, session_id""")
@@ -154,13 +154,13 @@ SELECT user_id, session_id, arg_min(device_type, (event_time, event_id)) AS devi
 FROM x_users GROUP BY user_id, session_id""")
 cte("x_a4", """
 SELECT user_id, count(*) AS ai_search_count,
-  array_to_string(list(query ORDER BY event_time, event_id)[1:10], '|') AS ai_search_queries,
+  list(query ORDER BY event_time, event_id)[1:10] AS ai_search_queries,
   any_value(cats) AS ai_search_categories, avg(min_price) AS ai_avg_min_price, avg(max_price) AS ai_avg_max_price,
   max(max_price) AS ai_max_budget, count(*) FILTER (tool_name = 'searchProducts') AS ai_product_searches,
   count(*) FILTER (tool_name = 'getProductDetails') AS ai_product_detail_views,
   count(*) FILTER (tool_name = 'compareProducts') AS ai_product_comparisons,
   CAST(sum(results_count) AS BIGINT) AS ai_total_results_shown, max(event_time) AS t
-FROM x_ai JOIN (SELECT user_id, array_to_string(list(category ORDER BY o)[1:5], '|') AS cats FROM (
+FROM x_ai JOIN (SELECT user_id, list(category ORDER BY o)[1:5] AS cats FROM (
   SELECT user_id, category, min((event_time, event_id)) AS o FROM x_ai GROUP BY ALL) GROUP BY user_id) USING (user_id)
 GROUP BY user_id""")
 cte("x_a5", """
@@ -170,9 +170,9 @@ SELECT user_id, count(DISTINCT order_id) AS total_orders, sum(total) AS total_sp
   arg_max(payment_method, (event_time, event_id, item_pos)) AS preferred_payment_method,
   arg_max(status, (event_time, event_id, item_pos)) AS last_order_status, max(event_time) AS t
 FROM x_items
-JOIN (SELECT user_id, array_to_string(list(category ORDER BY o)[1:10], '|') AS purchased_categories FROM (
+JOIN (SELECT user_id, list(category ORDER BY o)[1:10] AS purchased_categories FROM (
   SELECT user_id, category, min((event_time, event_id, item_pos)) AS o FROM x_items GROUP BY ALL) GROUP BY ALL) USING (user_id)
-JOIN (SELECT user_id, array_to_string(list(product_id ORDER BY o)[1:20], '|') AS purchased_product_ids FROM (
+JOIN (SELECT user_id, list(product_id ORDER BY o)[1:20] AS purchased_product_ids FROM (
   SELECT user_id, product_id, min((event_time, event_id, item_pos)) AS o FROM x_items GROUP BY ALL) GROUP BY ALL) USING (user_id)
 GROUP BY user_id""")
 cte("x_prof", """
@@ -184,12 +184,12 @@ SELECT p.user_id, p.session_id, recent_product_ids, recent_categories, recent_se
        WHEN avg_product_price < 500 THEN 'BUDGET' WHEN avg_product_price < 2000 THEN 'MID_RANGE'
        ELSE 'PREMIUM' END AS price_preference,
   coalesce(current_cart_total, 0.0) AS current_cart_total, coalesce(current_cart_items, 0) AS current_cart_items,
-  coalesce(cart_adds, 0) AS cart_adds, coalesce(cart_product_ids, '') AS cart_product_ids,
-  coalesce(cart_categories, '') AS cart_categories, coalesce(device_type, 'UNKNOWN') AS device_type,
+  coalesce(cart_adds, 0) AS cart_adds, coalesce(cart_product_ids, ['']) AS cart_product_ids,
+  coalesce(cart_categories, ['']) AS cart_categories, coalesce(device_type, 'UNKNOWN') AS device_type,
   coalesce(session_duration_ms, 0) AS session_duration_ms, coalesce(total_page_views, 0) AS total_page_views,
   coalesce(product_page_views, 0) AS product_page_views, coalesce(cart_page_views, 0) AS cart_page_views,
   coalesce(checkout_page_views, 0) AS checkout_page_views, coalesce(ai_search_count, 0) AS ai_search_count,
-  coalesce(ai_search_queries, '') AS ai_search_queries, coalesce(ai_search_categories, '') AS ai_search_categories,
+  coalesce(ai_search_queries, ['']) AS ai_search_queries, coalesce(ai_search_categories, ['']) AS ai_search_categories,
   coalesce(ai_max_budget, 0.0) AS ai_max_budget, coalesce(ai_product_searches, 0) AS ai_product_searches,
   coalesce(ai_product_comparisons, 0) AS ai_product_comparisons, coalesce(total_orders, 0) AS total_orders,
   coalesce(total_spent, 0.0) AS total_spent, coalesce(avg_order_value, 0.0) AS avg_order_value,
