@@ -3,5 +3,5 @@
 
 def load():
     """Import every module that registers queries and return the registry."""
-    from . import behaviour, registry  # noqa: F401
+    from . import behaviour, catalogue, registry  # noqa: F401
     return registry
