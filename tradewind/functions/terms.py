@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 # ---- fixed values: the usual English stop words --------------------------------------------
 STOP_WORDS = """
@@ -16,25 +16,29 @@ than too very s t can will just don should now
 # -------------------------------------------------------------------------------------------
 
 
-def stem(word: Column) -> Column:
-    """Light stemmer: plurals, -ing, -ed and a final e, for words of four letters or more."""
-    w = F.regexp_replace(word, "(ss)es$", "$1")
-    w = F.regexp_replace(w, "([a-z][a-z])ies$", "$1y")
-    w = F.regexp_replace(w, "([^sui])s$", "$1")
-    cut = F.regexp_replace(w, "^(.*[aeiouy].+)(ing|ed)$", "$1")
-    doubled = (cut != w) & cut.rlike("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$")
-    cut = F.when(doubled, F.substring(cut, F.lit(1), F.length(cut) - 1)).otherwise(cut)
-    cut = F.regexp_replace(cut, "^(....+)e$", "$1")
-    return F.when(F.length(word) >= 4, cut).otherwise(word)
-
-
-def words(text: Column) -> Column:
-    """Lower-case words that are not stop words, in order."""
-    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.filter(parts, lambda w: (w != "") & ~F.array_contains(stops, w))
-
-
-def terms(text: Column) -> Column:
-    """Distinct stemmed search terms of a text."""
-    return F.array_distinct(F.transform(words(text), stem))
+def exploded_terms(df: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """(keep..., term): stemmed search terms of a text column, one row per distinct word.
+
+    Words are exploded before they are stemmed, so the patterns run once per distinct word
+    of a text in generated code. Two words of a text may share a stem.
+
+    The light stemmer handles plurals, -ing, -ed and a final e, for words of four letters or more.
+    """
+    parts = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"))
+    words = df.select(*keep, F.explode(parts).alias("_w")).filter(
+        (F.col("_w") != "") & ~F.col("_w").isin(STOP_WORDS))
+    plural = F.regexp_replace("_w", "(ss)es$", "$1")
+    plural = F.regexp_replace(plural, "([a-z][a-z])ies$", "$1y")
+    plural = F.regexp_replace(plural, "([^sui])s$", "$1")
+    words = words.withColumn("_p", plural).withColumn(
+        "_c", F.regexp_replace("_p", "^(.*[aeiouy].+)(ing|ed)$", "$1"))
+    doubled = (F.col("_c") != F.col("_p")) & F.col("_c").rlike("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$")
+    words = words.withColumn(
+        "_c", F.when(doubled, F.substring("_c", F.lit(1), F.length("_c") - 1)).otherwise(F.col("_c")))
+    stemmed = F.when(F.length("_w") >= 4, F.regexp_replace("_c", "^(....+)e$", "$1")).otherwise(F.col("_w"))
+    return words.select(*keep, stemmed.alias("term"))
+
+
+def term_sets(df: DataFrame, key: str, text: str, out: str = "terms") -> DataFrame:
+    """(key, terms): the set of search terms of each row's text; rows without terms are absent."""
+    return exploded_terms(df, [key], text).groupBy(key).agg(F.collect_set("term").alias(out))

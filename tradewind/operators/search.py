@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.terms import terms
+from ..functions.terms import exploded_terms, term_sets
+from ..session import materialise
 from .catalog import active_products
 from .ranking import share_equal, top_k
 
@@ -24,18 +25,23 @@ HOT_PIECES = 32
 
 
 def postings(products: DataFrame) -> DataFrame:
-    """(term, product_id, weight, price, rating) of active products, one row per term and field.
+    """(term, product_id, field, price, rating) of active products; `field` is a bit per text field.
 
-    Needs no shuffle; the whole text of every field is indexed.
+    Needs no shuffle; the whole text of every field is indexed. Meant to be stored with the
+    catalogue and read by many searches.
     """
-    fields = F.array(*[
-        F.struct(F.lit(w).alias("weight"), terms(F.col(f)).alias("terms")) for f, w in FIELD_WEIGHTS.items()])
-    return (
-        active_products(products)
-        .select(F.col("id").alias("product_id"), "price", "rating", F.explode(fields).alias("f"))
-        .select("product_id", "price", "rating", F.col("f.weight").alias("weight"),
-                F.explode("f.terms").alias("term"))
-    )
+    fields = F.explode(F.array(*[
+        F.struct(F.lit(1 << i).alias("field"), F.col(f).alias("text")) for i, f in enumerate(FIELD_WEIGHTS)]))
+    texts = active_products(products).select(F.col("id").alias("product_id"), "price", "rating", fields.alias("f")).select(
+        "product_id", "price", "rating", "f.field", "f.text")
+    return exploded_terms(texts, ["product_id", "price", "rating", "field"], "text")
+
+
+def _weight(fields: Column) -> Column:
+    out = F.lit(0)
+    for i, w in enumerate(FIELD_WEIGHTS.values()):
+        out = out + F.when(fields.bitwiseAND(1 << i) != 0, w).otherwise(0)
+    return out
 
 
 def within_bounds(price: Column, rating: Column) -> Column:
@@ -51,14 +57,15 @@ def full_text_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
     Candidates come from the rarest term of each query only, then the other terms are
     checked by (term, product). Postings of hot terms are split over pieces.
     """
-    wanted = queries.select("query_id", "min_price", "max_price", "min_rating", terms(F.col("query")).alias("terms"))
-    wanted = wanted.filter(F.size("terms") > 0)
+    wanted = queries.select("query_id", "min_price", "max_price", "min_rating").join(
+        term_sets(queries, "query_id", "query"), "query_id")
     needed = wanted.select(F.explode("terms").alias("term")).distinct()
-    hits = (
+    # Read three times below: for frequencies, for candidates and for the check.
+    hits = materialise(
         index.join(needed, "term", "left_semi")
         .groupBy("term", "product_id").agg(
-            F.sum("weight").alias("weight"), F.first("price").alias("price"), F.first("rating").alias("rating"))
-    )
+            F.bit_or("field").alias("fields"), F.first("price").alias("price"), F.first("rating").alias("rating"))
+        .withColumn("weight", _weight(F.col("fields"))).drop("fields"), "hits")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     rarest = (
         wanted.select("query_id", F.explode("terms").alias("term")).join(df, "term", "left")
@@ -152,7 +159,8 @@ def product_search(queries: DataFrame, products: DataFrame, k: int) -> DataFrame
 
 
 def _product_search(queries: DataFrame, products: DataFrame, k: int) -> DataFrame:
-    found = full_text_search(queries, postings(products), k).select("query_id", "id", "score", "rank")
+    found = materialise(full_text_search(queries, postings(products), k).select(
+        "query_id", "id", (F.col("score") * 1.0).cast("double").alias("score"), "rank"), "found")
     missed = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
     fallback = top_k(like_matches(missed, products).withColumn("score", F.lit(0.0)), ["query_id"], [F.col("id")], k)
     return found.unionByName(fallback.select("query_id", "id", "score", "rank"))
