@@ -3,5 +3,5 @@
 
 def load():
     """Import every module that registers queries and return the registry."""
-    from . import behaviour, catalogue, finding, registry  # noqa: F401
+    from . import behaviour, catalogue, finding, registry, streams  # noqa: F401
     return registry

@@ -16,6 +16,9 @@ than too very s t can will just don should now
 # -------------------------------------------------------------------------------------------
 
 
+_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
 def exploded_terms(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     """(keep..., term): stemmed search terms of a text column, one row per distinct word.
 
@@ -25,8 +28,7 @@ def exploded_terms(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     The light stemmer handles plurals, -ing, -ed and a final e, for words of four letters or more.
     """
     parts = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"))
-    words = df.select(*keep, F.explode(parts).alias("_w")).filter(
-        (F.col("_w") != "") & ~F.col("_w").isin(STOP_WORDS))
+    words = df.select(*keep, F.explode(parts).alias("_w")).filter(f"_w != '' AND _w NOT IN ({_STOPS})")
     plural = F.regexp_replace("_w", "(ss)es$", "$1")
     plural = F.regexp_replace(plural, "([a-z][a-z])ies$", "$1y")
     plural = F.regexp_replace(plural, "([^sui])s$", "$1")
