@@ -29,15 +29,20 @@ def exploded_terms(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     """
     parts = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"))
     words = df.select(*keep, F.explode(parts).alias("_w")).filter(f"_w != '' AND _w NOT IN ({_STOPS})")
+    # Patterns run only on words with the ending they change.
     plural = F.regexp_replace("_w", "(ss)es$", "$1")
     plural = F.regexp_replace(plural, "([a-z][a-z])ies$", "$1y")
     plural = F.regexp_replace(plural, "([^sui])s$", "$1")
-    words = words.withColumn("_p", plural).withColumn(
-        "_c", F.regexp_replace("_p", "^(.*[aeiouy].+)(ing|ed)$", "$1"))
+    long = F.length("_w") >= 4
+    words = words.withColumn("_p", F.when(long & F.endswith(F.col("_w"), F.lit("s")), plural).otherwise(F.col("_w")))
+    ending = F.endswith(F.col("_p"), F.lit("ing")) | F.endswith(F.col("_p"), F.lit("ed"))
+    words = words.withColumn("_c", F.when(long & ending, F.regexp_replace(
+        "_p", "^(.*[aeiouy].+)(ing|ed)$", "$1")).otherwise(F.col("_p")))
     doubled = (F.col("_c") != F.col("_p")) & F.col("_c").rlike("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$")
     words = words.withColumn(
         "_c", F.when(doubled, F.substring("_c", F.lit(1), F.length("_c") - 1)).otherwise(F.col("_c")))
-    stemmed = F.when(F.length("_w") >= 4, F.regexp_replace("_c", "^(....+)e$", "$1")).otherwise(F.col("_w"))
+    final = long & F.endswith(F.col("_c"), F.lit("e")) & (F.length("_c") >= 5)
+    stemmed = F.when(final, F.regexp_replace("_c", "^(....+)e$", "$1")).otherwise(F.col("_c"))
     return words.select(*keep, stemmed.alias("term"))
 
 

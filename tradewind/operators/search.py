@@ -22,6 +22,7 @@ LIKE_FIELDS = ["name", "description", "brand"]
 # A term in more than 1/HOT_SHARE of all postings is hot; there are fewer than HOT_SHARE such terms.
 HOT_SHARE = 1024
 HOT_PIECES = 32
+REQUEST = ["query", "min_price", "max_price", "min_rating"]
 
 
 def postings(products: DataFrame) -> DataFrame:
@@ -96,7 +97,11 @@ def full_text_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def full_text_search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """Best k products per query by field weight, ties by id."""
+    """(query_id, id, score, rank): best k products per query by field weight, ties by id."""
+    return share_equal(queries, REQUEST, lambda distinct: _best_matches(distinct, index, k))
+
+
+def _best_matches(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     return top_k(full_text_matches(queries, index), ["query_id"], [F.col("score").desc(), F.col("id")], k)
 
 
@@ -154,12 +159,11 @@ def check_bounds(queries: DataFrame) -> DataFrame:
 
 def product_search(queries: DataFrame, products: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): full-text search; queries it finds nothing for fall back to substrings."""
-    return share_equal(queries, ["query", "min_price", "max_price", "min_rating"],
-                       lambda distinct: _product_search(distinct, products, k))
+    return share_equal(queries, REQUEST, lambda distinct: _product_search(distinct, products, k))
 
 
 def _product_search(queries: DataFrame, products: DataFrame, k: int) -> DataFrame:
-    found = materialise(full_text_search(queries, postings(products), k).select(
+    found = materialise(_best_matches(queries, postings(products), k).select(
         "query_id", "id", (F.col("score") * 1.0).cast("double").alias("score"), "rank"), "found")
     missed = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
     fallback = top_k(like_matches(missed, products).withColumn("score", F.lit(0.0)), ["query_id"], [F.col("id")], k)

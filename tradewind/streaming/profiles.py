@@ -18,9 +18,7 @@ from ..operators.events import flatten_order_items, timed_ai_events, timed_event
 from ..operators.ranking import expire_idle
 from ..schemas import PROFILE, TOPICS, from_wire
 
-BUCKETS = 256
-NAMES = {"product-views": "views", "cart-events": "carts", "user-events": "users", "ai-events": "ai",
-         "order-events": "orders"}
+BUCKETS = 64
 
 
 def envelope(streams: dict[str, DataFrame]) -> DataFrame:
@@ -60,6 +58,7 @@ class ProfileStream:
 
     root: str
     ttl_seconds: int | None = None
+    buckets: int = BUCKETS
 
     def log_path(self) -> str:
         return f"{self.root}/log"
@@ -69,14 +68,14 @@ class ProfileStream:
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)).cast("int")
-        tagged = batch.withColumn("bucket", bucket).withColumn("batch", F.lit(batch_id))
-        tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "batch", "bucket").parquet(self.log_path())
-        schema = "topic string, user_id string, body string, batch bigint, bucket int"
+        bucket = F.pmod(F.xxhash64("user_id"), F.lit(self.buckets)).cast("int")
+        # Rebalancing gives few files per bucket and splits the bucket of a hot user.
+        tagged = batch.withColumn("bucket", bucket).hint("rebalance", "topic", "bucket")
+        tagged.write.mode("overwrite").partitionBy("topic", "bucket").parquet(f"{self.log_path()}/batch={batch_id}")
+        schema = "user_id string, body string, batch bigint, topic string, bucket int"
         log = spark.read.schema(schema).parquet(self.log_path()).filter(F.col("batch") <= batch_id)
         mine = log.filter(F.col("batch") == batch_id)
-        # At most BUCKETS numbers reach the driver; they prune the log to the touched folders.
+        # At most one number per bucket reaches the driver; they prune the log to the touched folders.
         touched = [r["bucket"] for r in mine.select("bucket").distinct().collect()]
         history = log.filter(F.col("bucket").isin(touched)) if touched else mine
         users = mine.select("user_id").distinct()
