@@ -59,21 +59,18 @@ def st2(s: Shapes) -> DataFrame:
     job = ProfileStream(fresh_path(s.spark, "profile-stream"), buckets=8)
     q = job.start(envelope(streams))
     q.awaitTermination()
-    return flat(job.latest(s.spark, q.lastProgress["batchId"]))
+    return flat(job.snapshot(s.spark))
 
 
 @query("st3_stream_views_with_ttl", "SELECT user_id, session_id, total_product_views, "
        + r("avg_product_price") + ", max_viewed_price FROM x_a1")
 def st3(s: Shapes) -> DataFrame:
     """Keyed state with expiry; nothing expires within one run, so totals equal the batch ones."""
-    s.spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    # State with processing-time expiry asks for empty batches for ever; a run that stops must not wait for them.
-    s.spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     path = topic_folder(s, "product-views")
     stream = read_events(s.spark, "product-views", path, streaming=True, maxFilesPerTrigger="1")
     totals = aggregates.running_views(timed_events(stream))
-    return flat(run_to_table(totals, s, "update", ["user_id", "session_id"]))
+    with aggregates.stateful_settings(s.spark):
+        return flat(run_to_table(totals, s, "update", ["user_id", "session_id"]))
 
 
 @query("st4_merge_into_cache", _merge_sql("b"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
@@ -18,6 +19,27 @@ def running_session_counts(events: DataFrame) -> DataFrame:
         F.max("event_time").alias("last_event_time"))
 
 
+@contextlib.contextmanager
+def stateful_settings(spark: SparkSession):
+    """Settings for a run of `running_views` that stops at the end of its input, restored afterwards.
+
+    Keyed state with expiry needs the RocksDB store, and processing-time expiry asks for empty
+    batches for ever, which a run that stops must not wait for.
+    """
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class ViewCounter(StatefulProcessor):
     """Running view totals per (user, session), forgotten after `ttl_ms` without an update."""
 

@@ -1,17 +1,17 @@
-"""Continuous profiles: the five topics in, a profile snapshot per batch out.
+"""Continuous profiles: the five topics in, upserted profiles per batch out.
 
 Stream-stream joins of updating aggregates are not available, so every micro-batch appends
-its events to a log, recomputes the batch operators for the users it touches, merges the
-result into the profile snapshot and writes the next version. The log is partitioned by a
-user bucket: a batch reads only the buckets of its users. Every write goes to a folder named
-by the batch, so a replayed batch replaces its own output and nothing else.
+its events to a log, recomputes the batch operators for the users it touches and writes those
+users' profiles. The log is partitioned by a user bucket: a batch reads only the buckets of
+its users, and its cost does not grow with the users it leaves alone. Every write goes to a
+folder named by the batch, so a replayed batch replaces its own output and nothing else.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators import activity, profiles
 from ..operators.events import flatten_order_items, timed_ai_events, timed_events
@@ -19,6 +19,7 @@ from ..operators.ranking import expire_idle
 from ..schemas import PROFILE, TOPICS, from_wire
 
 BUCKETS = 64
+_DELTA = T.StructType([*PROFILE.fields, T.StructField("batch", T.LongType())])
 
 
 def envelope(streams: dict[str, DataFrame]) -> DataFrame:
@@ -63,8 +64,8 @@ class ProfileStream:
     def log_path(self) -> str:
         return f"{self.root}/log"
 
-    def version_path(self, batch: int) -> str:
-        return f"{self.root}/profiles/v={batch}"
+    def delta_path(self) -> str:
+        return f"{self.root}/profiles"
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -80,10 +81,10 @@ class ProfileStream:
         history = log.filter(F.col("bucket").isin(touched)) if touched else mine
         users = mine.select("user_id").distinct()
         fresh = recompute(spark, history.join(users, "user_id", "left_semi"), self.ttl_seconds)
-        if batch_id > 0:
-            stored = spark.read.schema(PROFILE).parquet(self.version_path(batch_id - 1))
-            fresh = stored.join(users, "user_id", "left_anti").unionByName(fresh)
-        fresh.write.mode("overwrite").parquet(self.version_path(batch_id))
+        # A touched user without a profile leaves a row without session, which hides older ones.
+        gone = users.join(fresh.select("user_id").distinct(), "user_id", "left_anti").select(
+            *[(F.col("user_id") if f.name == "user_id" else F.lit(None).cast(f.dataType)).alias(f.name) for f in PROFILE])
+        fresh.unionByName(gone).write.mode("overwrite").parquet(f"{self.delta_path()}/batch={batch_id}")
 
     def start(self, events: DataFrame, trigger: dict | None = None):
         """Run over an envelope stream; the default trigger reads what is there and stops."""
@@ -91,8 +92,14 @@ class ProfileStream:
                 .option("checkpointLocation", f"{self.root}/checkpoint")
                 .trigger(**(trigger or {"availableNow": True})).start())
 
-    def latest(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        return spark.read.schema(PROFILE).parquet(self.version_path(batch_id))
+    def snapshot(self, spark: SparkSession, up_to: int | None = None) -> DataFrame:
+        """Profiles after a batch (default: the last): of every user, the rows of their newest batch."""
+        deltas = spark.read.schema(_DELTA).parquet(self.delta_path())
+        if up_to is not None:
+            deltas = deltas.filter(F.col("batch") <= up_to)
+        newest = deltas.groupBy("user_id").agg(F.max("batch").alias("batch"))
+        rows = deltas.join(newest, ["user_id", "batch"], "left_semi")
+        return rows.filter(F.col("session_id").isNotNull()).select(*PROFILE.names)
 
 
 def merge_into_cache(cache: DataFrame | None, incoming: DataFrame, as_of: str, ttl_seconds: int = 3600) -> DataFrame:
