@@ -141,17 +141,19 @@ def order_activity(items: DataFrame, keep: str = "first", per_order: bool = Fals
     behaviour). `per_order=True` counts every order event once instead.
     """
     order = [*ORDER, "item_pos"]
-    amounts = items
-    if per_order:
-        amounts = items.filter(F.col("item_pos") == 0)
-    main = amounts.groupBy("user_id").agg(
+    # Amounts are the same on every line of an event, so lines are first counted per event,
+    # which the lines' own task already does.
+    per_event = items.groupBy(
+        "user_id", "event_id", "order_id", "event_time", "total", "discount", "payment_method", "status"
+    ).agg(F.max(F.lit(1).cast("bigint")).alias("_n") if per_order else F.count("*").alias("_n"))
+    main = per_event.groupBy("user_id").agg(
         F.count_distinct("order_id").alias("total_orders"),
-        F.coalesce(F.sum("total"), F.lit(0.0)).alias("total_spent"),
-        F.coalesce(F.avg("total"), F.lit(0.0)).alias("avg_order_value"),
-        F.coalesce(F.sum("discount"), F.lit(0.0)).alias("total_discount"),
-        F.coalesce(last_value("total", order), F.lit(0.0)).alias("last_order_total"),
-        F.coalesce(last_value("payment_method", order), F.lit("UNKNOWN")).alias("preferred_payment_method"),
-        F.coalesce(last_value("status", order), F.lit("UNKNOWN")).alias("last_order_status"),
+        F.coalesce(F.sum(F.col("total") * F.col("_n")), F.lit(0.0)).alias("total_spent"),
+        F.expr("coalesce(sum(total * _n) / nullif(sum(if(total IS NOT NULL, _n, 0)), 0), 0.0D)").alias("avg_order_value"),
+        F.coalesce(F.sum(F.col("discount") * F.col("_n")), F.lit(0.0)).alias("total_discount"),
+        F.coalesce(last_value("total", ORDER), F.lit(0.0)).alias("last_order_total"),
+        F.coalesce(last_value("payment_method", ORDER), F.lit("UNKNOWN")).alias("preferred_payment_method"),
+        F.coalesce(last_value("status", ORDER), F.lit("UNKNOWN")).alias("last_order_status"),
         F.max("event_time").alias("last_event_time"),
     )
     categories = distinct_values(items, ["user_id"], "category", order, "_categories", 10, keep)

@@ -34,11 +34,13 @@ def build_session(app: str = "tradewind", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where `spark.checkpoint.dir` is unset (tests, one machine) a fresh local
-    folder is made and remembered in the session.
+    Only on one machine, where `spark.checkpoint.dir` is unset (tests), a fresh local folder
+    is made and remembered in the session; on a cluster the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="tradewind-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
