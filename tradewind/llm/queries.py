@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import fresh_path
 from .exact_dedup import exact_dedup
 from .simhash import simhash_dedup
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
 from .token_files import read_token_files, write_token_files
 
@@ -29,6 +30,11 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_suffix_dedup")
+def op1(spark, docs, sf_dir):
+    return suffix_dedup(docs).drop("spans")
+
+
 @query("op4_token_files")
 def op4(spark, docs, sf_dir):
     path = fresh_path(spark, "token-files")
