@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fresh_path
 from .exact_dedup import exact_dedup
+from .mixing import mix_sources
+from .secret_scan import oracle as secret_oracle, secret_scan
 from .simhash import simhash_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
@@ -35,6 +37,11 @@ def op1(spark, docs, sf_dir):
     return suffix_dedup(docs).drop("spans")
 
 
+@query("op2_secret_scan", secret_oracle())
+def op2(spark, docs, sf_dir):
+    return secret_scan(docs)
+
+
 @query("op4_token_files")
 def op4(spark, docs, sf_dir):
     path = fresh_path(spark, "token-files")
@@ -52,6 +59,11 @@ def op7(spark, docs, sf_dir):
     return token_counts(docs)
 
 
+@query("op9_mix_sources")
+def op9(spark, docs, sf_dir):
+    return mix_sources(docs).drop("copies", "key")
+
+
 @query("op10_exact_dedup", r"""
     WITH rows AS (
       SELECT doc_id, length(coalesce(text, '')) AS n_chars,
