@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: ASCII white space as the contracts define it: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Stands for a null id where rows are keyed by id and hash of the text.
+NO_ID = -2 ** 63
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fresh_path
+from .decontamination import contaminated_documents
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .quality import quality_scores
 from .secret_scan import oracle as secret_oracle, secret_scan
 from .simhash import simhash_dedup
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
+from .toxicity import toxicity_scores
 from .token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +45,11 @@ def op2(spark, docs, sf_dir):
     return secret_scan(docs)
 
 
+@query("op3_quality_scores")
+def op3(spark, docs, sf_dir):
+    return quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("hash")
+
+
 @query("op4_token_files")
 def op4(spark, docs, sf_dir):
     path = fresh_path(spark, "token-files")
@@ -49,6 +57,11 @@ def op4(spark, docs, sf_dir):
     return read_token_files(spark, path)
 
 
+@query("op5_toxicity")
+def op5(spark, docs, sf_dir):
+    return toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query("op6_simhash_dedup")
 def op6(spark, docs, sf_dir):
     return simhash_dedup(docs).select("doc_id", "fingerprint", "component_id")
@@ -59,6 +72,11 @@ def op7(spark, docs, sf_dir):
     return token_counts(docs)
 
 
+@query("op8_decontamination")
+def op8(spark, docs, sf_dir):
+    return contaminated_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("hash")
+
+
 @query("op9_mix_sources")
 def op9(spark, docs, sf_dir):
     return mix_sources(docs).drop("copies", "key")

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import id_and_text, slices, vocabulary_path, worker_cache
+from .common import NO_ID, id_and_text, slices, vocabulary_path, worker_cache
 
 CACHED_WORDS = 500_000
-NO_ID = -2 ** 63
 
 
 class TokenEncoder:
