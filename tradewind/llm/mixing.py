@@ -164,3 +164,15 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: fl
 def row_key(id_col: str, source_col: str, text_col: str) -> Column:
     """The key that tells documents apart in the mix."""
     return F.xxhash64(F.col(source_col).cast("string"), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                    **options) -> DataFrame:
+    """The mix itself: every document, with all its columns, as often as `mix_sources` takes it."""
+    taken = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where(
+        F.col("copies") > 0).groupBy("key").agg(F.max("copies").alias("__copies")).withColumnRenamed("key", "__key")
+    taken = materialise(taken, "mix-taken")
+    keyed = docs.withColumn("__own_key", row_key(id_col, source_col, text_col))
+    return keyed.join(taken, keyed["__own_key"] == taken["__key"]).withColumn(
+        "__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(
+        *[F.col(f"`{c}`") for c in docs.columns])

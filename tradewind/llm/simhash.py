@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialise
-from .common import id_and_text, slices
+from .common import NO_ID, id_and_text, slices
 
 BITS = 64
 POOL = 1024  # fingerprints compared with each other at once
@@ -39,8 +39,8 @@ def fingerprint(text: str, width: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """doc_id and the fingerprint as a signed long; no shuffle."""
-    rows = id_and_text(docs, id_col, text_col)
+    """doc_id, the hash of the text and the fingerprint as a signed long; no shuffle."""
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("hash"), "text")
     ids = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -48,11 +48,11 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str =
         import pyarrow as pa
 
         for batch in slices(batches):
-            prints = np.array([fingerprint(t, width, seed) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))],
-                                             names=["doc_id", "fp"])
+            prints = np.array([fingerprint(t, width, seed) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))],
+                                             names=["doc_id", "hash", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {ids}, fp long")
+    return rows.mapInArrow(run, f"doc_id {ids}, hash long, fp long")
 
 
 def bit_sliced_links(left, right, radius: int, same: bool):
@@ -265,24 +265,40 @@ def components(edges: DataFrame) -> DataFrame:
 
 def simhash_dedup(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id, fp (signed long).
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id, kept, hash.
 
     component_id is the smallest id that links of fingerprints within `radius` bits reach, itself included.
     Texts are lower-cased (A-Z) and cut at ASCII white space; a bit of the fingerprint is set if it is set in
     over half of the XXH64 values of the `width`-word shingles. Documents with equal fingerprints become one
-    node before any comparison, so exact copies cost an aggregation and no pairs.
+    node before any comparison, so exact copies cost an aggregation and no pairs. One document of each component is
+    kept: that of the smallest id, of several texts with that id the one with the smallest hash.
 
     Null texts count as empty; a text without words has fingerprint 0, which links like any other. Null ids count
-    as the smallest. Rows that repeat an id are rows of their own. An empty table gives no rows. Columns other
-    than id and text are not looked at.
+    as the smallest. Rows that repeat an id are rows of their own; rows that agree in id and text are kept or dropped
+    together. An empty table gives no rows. Columns other than id and text are not looked at.
     """
     rows = materialise(fingerprints(docs, width, seed, id_col, text_col), "fingerprints")
-    nodes = materialise(rows.groupBy("fp").agg(F.min(F.struct("doc_id")).alias("low")), "nodes")
+    nodes = materialise(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "hash")).alias("low")), "nodes")
     labels = components(fingerprint_links(nodes.select("fp"), radius))
     nodes = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "label", F.coalesce("label", "fp"))
     nodes = materialise(nodes, "labelled")
     lowest = materialise(nodes.groupBy("label").agg(F.min("low").alias("lowest")), "lowest")
-    ids = materialise(nodes.join(lowest, "label").select("fp", F.col("lowest.doc_id").alias("component_id")), "ids")
+    ids = materialise(nodes.join(lowest, "label").select("fp", "lowest"), "ids")
     return rows.join(ids, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("lowest.doc_id").alias("component_id"),
+        (F.col("doc_id").eqNullSafe(F.col("lowest.doc_id")) & (F.col("hash") == F.col("lowest.hash"))).alias("kept"),
+        "hash")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents, with all their columns: one row of each component of near duplicates."""
+    kept = simhash_dedup(docs, id_col=id_col, text_col=text_col, **options).where("kept")
+    kept = materialise(kept.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__kept_id"),
+                                   F.col("hash").alias("__kept_hash")).distinct(), "kept")
+    keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)),
+                              "__hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    joined = keyed.join(kept, (keyed["__id"] == kept["__kept_id"]) & (keyed["__hash"] == kept["__kept_hash"]))
+    first = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(1)))
+    return joined.withColumn("__row", first).where("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
