@@ -111,8 +111,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: fl
     is a probability for one more. Probabilities are rounded in pairs with words as mass (`round_probabilities`),
     heavy documents first: `tiers` are the sizes above which documents are rounded together. What a tier's last open
     document takes too much or too little is given back by the probabilities of all lighter documents of its source,
-    where they can bear either outcome, so probabilities keep their means and a source's taken words differ from its
-    target by about one light document. The draws hash ids and texts: reruns agree, whatever the partitioning.
+    as far as they can bear either outcome, so probabilities keep their means and a source's taken words differ from
+    its target by about one light document. The draws hash ids and texts: reruns agree, whatever the partitioning.
 
     Null texts have size 0 and are taken 0 words; null sources are one source, ranked last; null ids are told apart
     by their texts. Rows that agree in source, id and text are one item of their joint mass and get the same
@@ -147,10 +147,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: fl
         ups.append(left.where("up").select("key"))
         most = F.greatest("q", 1 - F.col("q")) * F.col("mass")
         more = F.when(F.col("up"), 1 - F.col("q")).otherwise(-F.col("q")) * F.col("mass")
-        below = F.col(f"below_{tier}")
-        shares = materialise(shares.join(lighter, "rank", "left").join(left, "rank", "left").select("rank", F.when(
-            most <= F.col("p") * (1 - F.col("p")) * below, F.col("p") - more / below).otherwise(F.col("p")).alias("p")),
-            "mix-shares")
+        below, p = F.col(f"below_{tier}"), F.col("p")
+        part = F.least(F.lit(1.0), p * (1 - p) * below / most)  # the same for either outcome, so means are kept
+        moved = F.when(below > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), p - part * more / below)))
+        shares = materialise(shares.join(lighter, "rank", "left").join(left, "rank", "left").select(
+            "rank", F.coalesce(moved, p).alias("p")), "mix-shares")
         upper = tier
     taken_more = ups[0]
     for more in ups[1:]:
