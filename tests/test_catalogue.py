@@ -138,16 +138,43 @@ def test_prices_shipping_and_tax(spark):
     assert empty["c"] == 0
 
 
-def test_stock_deltas_and_states(spark):
+def test_stock_deltas_and_states(spark, monkeypatch):
     p = spark.createDataFrame([product("1", stock=5), product("2", stock=0, status="OUT_OF_STOCK"),
-                               product("3", stock=2), product("4", stock=2, status="DISCONTINUED"), product("5")], PRODUCT)
-    d = spark.createDataFrame([("1", -5, 1), ("2", 3, 1), ("3", -3, 1), ("3", 4, 2), ("4", -2, 1), ("4", 2, 12)],
-                              "product_id string, delta int, t int")
-    for block in (1, 10, 100):
-        got = {r.id: (r.new_quantity, r.new_status, r.went_negative) for r in O.apply_stock_deltas(
-            p, d, ["t"], F.floor(F.col("t") / block)).collect()}
-        assert got == {"1": (0, "OUT_OF_STOCK", False), "2": (3, "ACTIVE", False), "3": (3, "ACTIVE", True),
-                       "4": (2, "ACTIVE", False), "5": (5, "ACTIVE", False)}
+                               product("3", stock=2), product("4", stock=2, status="DISCONTINUED"), product("5"),
+                               product("6", stock=5)], PRODUCT)
+    d = spark.createDataFrame([("1", -5, 1), ("2", 3, 1), ("3", -3, 1), ("3", 4, 2), ("4", -2, 1), ("4", 2, 12), ("6", -8, 1),
+                               ("6", 2, 2), ("6", -7, 3), ("6", -1, 4), ("6", None, 5), ("9", 4, 1)], "product_id string, delta int, t int")
+    for block in (10 ** 6, 3, 1):
+        monkeypatch.setattr(O, "STEP_BLOCK", block)
+        got = {r.id: (r.new_quantity, r.new_status, r.went_negative, r.refused) for r in O.apply_stock_deltas(p, d, ["t"]).collect()}
+        assert got == {"1": (0, "OUT_OF_STOCK", False, 0), "2": (3, "ACTIVE", False, 0), "3": (6, "ACTIVE", True, 1),
+                       "4": (2, "ACTIVE", False, 0), "5": (5, "ACTIVE", False, 0), "6": (0, "OUT_OF_STOCK", True, 2)}
+
+
+def test_names_taken_by_displaced_categories_displace_others(spark):
+    paths = ["A >> X", "B >> X", "C >> X (B)", "D >> X (B) (C)", "E >> Y", "X (B) (C) (D)", "A"]
+    got = {r.path: r.name for r in I.build_categories(spark.createDataFrame(list(enumerate(paths)), "line int, path string")).collect()}
+    used, want = set(), {}
+    for path in paths:
+        parts = path.split(" >> ")
+        for depth in range(len(parts)):
+            node, raw = " >> ".join(parts[:depth + 1]), parts[depth]
+            if node not in want:
+                want[node] = raw if raw not in used else f"{raw} ({parts[depth - 1]})" if depth else got[node]
+                used.add(want[node])
+    assert got == want
+    assert got["D >> X (B) (C)"] == "X (B) (C) (D)" and got["X (B) (C) (D)"].startswith("X (B) (C) (D) #")
+
+
+def test_open_ranges_and_pools(spark):
+    p = spark.createDataFrame([product(str(i), str(10 ** i), rating="4.0", cat="l") for i in range(8)], PRODUCT)
+    assert K.products_by_price_range(p, 5, None).count() == 7 and K.products_by_price_range(p, 5).count() == 5
+    assert K.products_by_price_range(p, None, None).count() == 8
+    many = spark.createDataFrame([product(f"{i:03}", str(i), cat="l") for i in range(230)], PRODUCT)
+    page = lambda n, pool: M.best_of(many, categories(spark), ["ELECTRONICS"], (10, 20), n, 20, 1, pool)
+    assert page(10, -1).count() == 0 and page(10, None).count() == 20 and page(11, None).count() == 10
+    seen = [r.id for n in range(12) for r in page(n, None).collect()]
+    assert len(seen) == len(set(seen)) == 230
 
 
 def test_payment_confirms_only_pending_orders(spark):

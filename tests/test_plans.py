@@ -36,3 +36,10 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "EqualTo(brand,x)" in text and "ReadSchema: struct<id:string,brand:string>" in text
     text = plan(K.Filters(min_price=3).apply(K.active_products(products)).select("id"))
     assert "GreaterThanOrEqual(price,3.0)" in text and "description" not in text and "rating" not in text
+
+
+def test_newest_rows_need_no_sorted_aggregate(spark):
+    df = spark.range(100).selectExpr("id % 3 AS k", "id AS t", "cast(id AS string) AS v")
+    text = plan(R.latest_by_key(df, ["k"], ["t"]))
+    assert "SortAggregate" not in text and text.index("Exchange hashpartitioning") < text.index(", Partial")
+    assert {(r.k, r.t) for r in R.latest_by_key(df, ["k"], ["t"]).collect()} == {(0, 99), (1, 97), (2, 98)}

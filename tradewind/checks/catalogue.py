@@ -60,7 +60,14 @@ def p7(s: Shapes) -> DataFrame:
 
 @query("p8_products_by_price_range", f"SELECT id FROM x_prod WHERE {ACTIVE} AND price BETWEEN 0 AND 5000")
 def p8(s: Shapes) -> DataFrame:
-    return K.products_by_price_range(s.products(), None, 5000).select("id")
+    return K.products_by_price_range(s.products(), high=5000).select("id")
+
+
+@query("p8_no_bounds", f"SELECT id, {r('price * 1000', 'price')} FROM x_prod WHERE {ACTIVE} AND price IS NOT NULL")
+def p8_open(s: Shapes) -> DataFrame:
+    """Without bounds no product is too dear; prices here go beyond the default ceiling."""
+    dear = s.products().withColumn("price", F.col("price").cast("double") * 1000)
+    return flat(K.products_by_price_range(dear, None, None).select("id", "price"))
 
 
 @query("p9_featured_products", f"SELECT id FROM x_prod WHERE {ACTIVE} AND featured")
@@ -347,11 +354,31 @@ def w1(s: Shapes) -> DataFrame:
     return M.trending(s.catalog(), 20).select("id", "category_name", "rank")
 
 
-@query("w2_featured_diverse")
+def spread_sql(rows: str, order: str, within: str, pool: int | None, size: int) -> str:
+    """SQL for a list spread over categories: `within` each in turn, categories by their first place in `order`."""
+    cut = f"QUALIFY pos <= {pool}" if pool else ""
+    return f"""
+SELECT id, category_name, row_number() OVER (ORDER BY turn, first) AS rank FROM (
+  SELECT id, category_name, row_number() OVER (PARTITION BY category_name ORDER BY {within}) AS turn,
+    min(pos) OVER (PARTITION BY category_name) AS first
+  FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS pos FROM x_pc WHERE {rows} {cut})) QUALIFY rank <= {size}"""
+
+
+@query("w1_trending_uncut", spread_sql(ACTIVE, "featured DESC, rating DESC NULLS LAST, review_count DESC, id", "pos", None, 300))
+def w1_uncut(s: Shapes) -> DataFrame:
+    return M.trending(s.catalog(), 300, pool=None).select("id", "category_name", "rank")
+
+
+@query("w2_featured_diverse", spread_sql(f"{ACTIVE} AND featured", "id", "md5(id || ':7'), id", 50, 10))
 def w2(s: Shapes) -> DataFrame:
     return M.featured_diverse(s.catalog(), 10, seed=7).select("id", "category_name", "rank")
 
 
+@query("w2_featured_diverse_uncut", spread_sql(f"{ACTIVE} AND featured", "id", "md5(id || ':7'), id", None, 200))
+def w2_uncut(s: Shapes) -> DataFrame:
+    return M.featured_diverse(s.catalog(), 200, seed=7, pool=None).select("id", "category_name", "rank")
+
+
 @query("w2_featured_candidates", f"""
 SELECT category_name, least(count(*), 1) AS shown FROM (
   SELECT id, category_name FROM x_pc WHERE {ACTIVE} AND featured ORDER BY id LIMIT 50) GROUP BY category_name
@@ -361,10 +388,28 @@ def w2_set(s: Shapes) -> DataFrame:
     return M.featured_diverse(s.catalog(), 10, seed=7).groupBy("category_name").agg(F.count("*").alias("shown"))
 
 
-@query("w3_best_of")
+def best_of_sql(pool: int | None, low: int, high: int) -> str:
+    cut = f"LIMIT {pool}" if pool else ""
+    return f"""
+SELECT id, band, row_number() OVER (ORDER BY turn, band) AS rank FROM (
+  SELECT id, band, row_number() OVER (PARTITION BY band ORDER BY md5(id || ':7'), id) AS turn FROM (
+    SELECT p.id, CASE WHEN price < 5000 THEN 2 WHEN price <= 30000 THEN 0 ELSE 1 END AS band
+    FROM x_prod p JOIN x_cat c ON c.id = p.category_id
+    WHERE {ACTIVE} AND (starts_with(c.path, 'Catalog >> LARGE') OR starts_with(c.path, 'Catalog >> SMALL'))
+    ORDER BY rating DESC NULLS LAST, p.id {cut})) QUALIFY rank BETWEEN {low} AND {high}"""
+
+
+@query("w3_best_of", best_of_sql(200, 21, 40))
 def w3(s: Shapes) -> DataFrame:
-    return flat(M.best_of(s.products(), s.categories(), ["large", "small"], M.ELECTRONICS_BANDS, 1, 20, seed=7).select(
-        "id", "band", "rank"))
+    return M.best_of(s.products(), s.categories(), ["large", "small"], M.ELECTRONICS_BANDS, 1, 20, seed=7).select(
+        "id", "band", "rank")
+
+
+@query("w3_best_of_uncut", best_of_sql(None, 241, 260))
+def w3_uncut(s: Shapes) -> DataFrame:
+    """A page that lies behind the default pool."""
+    return M.best_of(s.products(), s.categories(), ["large", "small"], M.ELECTRONICS_BANDS, 12, 20, seed=7, pool=None).select(
+        "id", "band", "rank")
 
 
 @query("w3_best_of_bands", f"""
@@ -563,21 +608,29 @@ def o2(s: Shapes) -> DataFrame:
                      F.coalesce("reason", F.lit("")).alias("reason"))
 
 
-@query("o3_apply_stock_deltas", """
-SELECT p.id, CAST(stock_quantity + coalesce(d, 0) AS BIGINT) AS new_quantity,
-  CASE WHEN coalesce(stock_quantity + low < 0, false) THEN 1 ELSE 0 END AS went_negative
-FROM x_prod p LEFT JOIN (
-  SELECT product_id, sum(delta) AS d, min(run) AS low FROM (
-    SELECT product_id, delta, sum(delta) OVER (PARTITION BY product_id ORDER BY created_at, order_id, line, quantity, subtotal
-      ROWS UNBOUNDED PRECEDING) AS run
-    FROM (SELECT l.*, created_at, CASE WHEN o.status = 'DELIVERED' THEN -quantity ELSE quantity END AS delta
-          FROM x_lines l JOIN x_ord o ON o.id = l.order_id)) GROUP BY product_id) ON product_id = p.id""")
+STEPS = """
+SELECT l.product_id, CASE WHEN o.status = 'DELIVERED' THEN -quantity ELSE quantity END AS delta, row_number() OVER (
+    PARTITION BY product_id ORDER BY created_at, order_id, line, quantity, subtotal) AS n
+FROM x_lines l JOIN x_ord o ON o.id = l.order_id"""
+
+
+@query("o3_apply_stock_deltas", f"""
+SELECT * FROM (WITH RECURSIVE steps AS MATERIALIZED ({STEPS}),
+walk(id, n, stock, status, refused) AS (
+  SELECT id, CAST(0 AS BIGINT), CAST(stock_quantity AS BIGINT), status, 0 FROM x_prod
+  UNION ALL SELECT w.id, s.n, CASE WHEN w.stock + s.delta < 0 THEN w.stock ELSE w.stock + s.delta END,
+    CASE WHEN w.stock + s.delta < 0 THEN w.status WHEN w.stock + s.delta = 0 THEN 'OUT_OF_STOCK'
+      WHEN w.status = 'OUT_OF_STOCK' THEN 'ACTIVE' ELSE w.status END,
+    w.refused + CASE WHEN w.stock + s.delta < 0 THEN 1 ELSE 0 END
+  FROM walk w JOIN steps s ON s.product_id = w.id AND s.n = w.n + 1)
+SELECT id, arg_max(stock, n) AS new_quantity, arg_max(status, n) AS new_status, CAST(max(refused) AS BIGINT) AS refused,
+  CASE WHEN max(refused) > 0 THEN 1 ELSE 0 END AS went_negative
+FROM walk GROUP BY id)""")
 def o3(s: Shapes) -> DataFrame:
     moved = s.order_lines().join(s.orders().select(F.col("id").alias("order_id"), "created_at", "status"), "order_id")
     deltas = moved.withColumn("delta", F.when(F.col("status") == "DELIVERED", -F.col("quantity")).otherwise(F.col("quantity")))
-    df = O.apply_stock_deltas(s.products(), deltas, ["created_at", "order_id", "line", "quantity", "subtotal"],
-                              F.date_trunc("month", "created_at"))
-    return df.select("id", "new_quantity", F.col("went_negative").cast("int").alias("went_negative"))
+    df = O.apply_stock_deltas(s.products(), deltas, ["created_at", "order_id", "line", "quantity", "subtotal"])
+    return df.select("id", "new_quantity", "new_status", "refused", F.col("went_negative").cast("int").alias("went_negative"))
 
 
 @query("o4_order_state", """
@@ -639,7 +692,7 @@ SELECT 'U-' || p_partkey AS sku, p_name AS name, p_name AS description, {r('p_re
   'KIDS' AS gender, 'Catalog >> ' || p_type || ' >> ' || split_part(p_name, ' ', -1) AS category_path,
   'http://img/1' AS thumbnail_url, 4.3 AS rating, 7 AS review_count, 'ACTIVE' AS status,
   CASE WHEN p_size <= 50 THEN 1 ELSE 0 END AS featured
-FROM part WHERE p_size <> 13 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 1)""")
+FROM part WHERE p_size <> 13 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(*) >= 30)""")
 def e1(s: Shapes) -> DataFrame:
     df = run_import(s.spark, product_file(s), known_skus(s)).filter("outcome = 'imported'")
     return flat(df.select(
@@ -650,12 +703,13 @@ def e1(s: Shapes) -> DataFrame:
 
 
 def known_skus(s: Shapes) -> DataFrame:
-    mine = s.t("lineitem").join(s.t("orders").filter("o_custkey = 1"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return mine.select(F.concat(F.lit("U-"), F.col("l_partkey").cast("string")).alias("sku")).distinct()
+    """Products of 30 order lines or more, over all lines, count as imported before."""
+    often = s.t("lineitem").groupBy("l_partkey").count().filter("count >= 30")
+    return often.select(F.concat(F.lit("U-"), F.col("l_partkey").cast("string")).alias("sku"))
 
 
 @query("a11_import_stats", """
-WITH known AS (SELECT DISTINCT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 1),
+WITH known AS (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(*) >= 30),
 lines AS (SELECT p_partkey, CASE WHEN p_size = 13 THEN 'errors' WHEN p_partkey IN (SELECT * FROM known) THEN 'skipped' ELSE 'imported' END AS outcome FROM part
   UNION ALL SELECT p_partkey, 'skipped' FROM part WHERE p_size = 7)
 SELECT outcome, count(*) AS rows FROM lines GROUP BY outcome""")

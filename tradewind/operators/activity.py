@@ -16,22 +16,19 @@ ORDER = ["event_time", "event_id"]
 SESSION = ["user_id", "session_id"]
 
 
-def _distinct_by_first(order: str, value: str, cap: int | None = None, newest: bool = False) -> Column:
-    """Distinct values of pre-aggregated rows, ordered by their first (newest: last) occurrence."""
+def _distinct_by_first(order: str, value: str, newest: bool = False) -> Column:
+    """Distinct values of pre-aggregated rows, ordered by their first (newest: last) occurrence; unbounded by definition."""
     pairs = F.collect_list(F.when(F.col(value).isNotNull() & F.col(order).isNotNull(), F.struct(order, value)))
-    if newest:  # latest occurrences win the cap, reported oldest first
-        values = F.transform(F.reverse(F.array_sort(pairs)), lambda x: x[value])
-        values = F.array_distinct(values)
-        return F.reverse(F.slice(values, 1, cap)) if cap else F.reverse(values)
-    values = F.array_distinct(F.transform(F.array_sort(pairs), lambda x: x[value]))
-    return F.slice(values, 1, cap) if cap else values
+    values = F.transform(F.array_sort(pairs), lambda x: x[value])
+    return F.reverse(F.array_distinct(F.reverse(values))) if newest else F.array_distinct(values)
 
 
-def product_activity(views: DataFrame, keep: str = "first") -> DataFrame:
+def product_activity(views: DataFrame, keep: str = "first", products: int | None = 10,
+                     categories: int | None = 5) -> DataFrame:
     """Per (user, session): viewed products, categories, queries, durations and prices.
 
-    `keep='first'` retains the earliest ten products / five categories of the session,
-    `keep='last'` the latest.
+    `keep='first'` retains the earliest `products` and `categories` of the session,
+    `keep='last'` the latest; None retains all.
     """
     newest = keep == "last"
     seen = (F.max if newest else F.min)(F.struct(*ORDER))
@@ -44,8 +41,7 @@ def product_activity(views: DataFrame, keep: str = "first") -> DataFrame:
         F.max("event_time").alias("_last"),
     )
     main = pairs.groupBy(*SESSION).agg(
-        default_blank(_distinct_by_first("_o", "category", 5, newest)).alias("recent_categories"),
-        default_blank(_distinct_by_first("_o", "search_query", None, newest)).alias("recent_search_queries"),
+        default_blank(_distinct_by_first("_o", "search_query", newest)).alias("recent_search_queries"),
         F.sum("_n").alias("total_product_views"),
         F.expr("coalesce(sum(_ms) div nullif(sum(_mss), 0), 0)").alias("avg_view_duration_ms"),
         F.expr("coalesce(sum(_price) / nullif(sum(_prices), 0), 0.0D)").alias("avg_product_price"),
@@ -53,10 +49,11 @@ def product_activity(views: DataFrame, keep: str = "first") -> DataFrame:
         F.coalesce(F.min("_min"), F.lit(0.0)).alias("min_viewed_price"),
         F.max("_last").alias("last_event_time"),
     )
-    products = first_values(views, SESSION, "product_id", ORDER, 10, "_products", keep)
-    return main.join(products, SESSION, "left").select(
+    seen_products = first_values(views, SESSION, "product_id", ORDER, products, "_products", keep)
+    seen_categories = distinct_values(views, SESSION, "category", ORDER, "_categories", categories, keep)
+    return main.join(seen_products, SESSION, "left").join(seen_categories, SESSION, "left").select(
         *SESSION, default_blank(F.col("_products")).alias("recent_product_ids"),
-        "recent_categories", "recent_search_queries", "total_product_views", "avg_view_duration_ms",
+        default_blank(F.col("_categories")).alias("recent_categories"), "recent_search_queries", "total_product_views", "avg_view_duration_ms",
         "avg_product_price", "max_viewed_price", "min_viewed_price", "last_event_time")
 
 
@@ -99,15 +96,14 @@ def session_activity(events: DataFrame) -> DataFrame:
     )
 
 
-def ai_activity(events: DataFrame, keep: str = "first") -> DataFrame:
+def ai_activity(events: DataFrame, keep: str = "first", queries: int | None = 10,
+                categories: int | None = 5) -> DataFrame:
     """Per user: assistant searches, their queries, categories, price bounds and tool use.
 
-    A bound of 0.0 means "none given" and still enters the averages.
+    The first (or last) `queries` and `categories` are kept, None keeps all. A bound of 0.0 means "none given" and still enters the averages.
     """
-    newest = keep == "last"
-    seen = (F.max if newest else F.min)(F.struct(*ORDER))
     parts = events.groupBy("user_id", "category").agg(
-        seen.alias("_o"), F.count("*").alias("_n"),
+        F.count("*").alias("_n"),
         F.sum("min_price").alias("_lo"), F.count("min_price").alias("_los"),
         F.sum("max_price").alias("_hi"), F.count("max_price").alias("_his"),
         F.max("max_price").alias("_budget"),
@@ -118,7 +114,6 @@ def ai_activity(events: DataFrame, keep: str = "first") -> DataFrame:
     )
     main = parts.groupBy("user_id").agg(
         F.sum("_n").alias("ai_search_count"),
-        default_blank(_distinct_by_first("_o", "category", 5, newest)).alias("ai_search_categories"),
         F.expr("coalesce(sum(_lo) / nullif(sum(_los), 0), 0.0D)").alias("ai_avg_min_price"),
         F.expr("coalesce(sum(_hi) / nullif(sum(_his), 0), 0.0D)").alias("ai_avg_max_price"),
         F.coalesce(F.max("_budget"), F.lit(0.0)).alias("ai_max_budget"),
@@ -128,14 +123,17 @@ def ai_activity(events: DataFrame, keep: str = "first") -> DataFrame:
         F.coalesce(F.sum("_results"), F.lit(0)).alias("ai_total_results_shown"),
         F.max("_last").alias("last_event_time"),
     )
-    queries = first_values(events, ["user_id"], "query", ORDER, 10, "_queries", keep)
-    return main.join(queries, "user_id", "left").select(
+    asked = first_values(events, ["user_id"], "query", ORDER, queries, "_queries", keep)
+    about = distinct_values(events, ["user_id"], "category", ORDER, "_categories", categories, keep)
+    return main.join(asked, "user_id", "left").join(about, "user_id", "left").select(
         "user_id", "ai_search_count", default_blank(F.col("_queries")).alias("ai_search_queries"),
+        default_blank(F.col("_categories")).alias("ai_search_categories"),
         *[c for c in main.columns if c not in ("user_id", "ai_search_count")])
 
 
-def order_activity(items: DataFrame, keep: str = "first", per_order: bool = False) -> DataFrame:
-    """Per user over flattened order lines.
+def order_activity(items: DataFrame, keep: str = "first", per_order: bool = False, categories: int | None = 10,
+                   products: int | None = 20) -> DataFrame:
+    """Per user over flattened order lines; of categories and products the first (or last) so many are kept, None: all.
 
     Amounts repeat on every line, so spend is weighted by line count (the published
     behaviour). `per_order=True` counts every order event once instead.
@@ -156,9 +154,9 @@ def order_activity(items: DataFrame, keep: str = "first", per_order: bool = Fals
         F.coalesce(last_value("status", ORDER), F.lit("UNKNOWN")).alias("last_order_status"),
         F.max("event_time").alias("last_event_time"),
     )
-    categories = distinct_values(items, ["user_id"], "category", order, "_categories", 10, keep)
-    products = distinct_values(items, ["user_id"], "product_id", order, "_products", 20, keep)
-    return main.join(categories, "user_id", "left").join(products, "user_id", "left").select(
+    kinds = distinct_values(items, ["user_id"], "category", order, "_categories", categories, keep)
+    bought = distinct_values(items, ["user_id"], "product_id", order, "_products", products, keep)
+    return main.join(kinds, "user_id", "left").join(bought, "user_id", "left").select(
         "user_id", "total_orders", "total_spent", "avg_order_value", "total_discount", "last_order_total",
         default_blank(F.col("_categories")).alias("purchased_categories"),
         default_blank(F.col("_products")).alias("purchased_product_ids"),

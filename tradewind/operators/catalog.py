@@ -68,11 +68,12 @@ def products_by_brand_filtered(products: DataFrame, brand: str, filters: Filters
     return filters.apply(active_products(products).filter(same)).orderBy("price", "id")
 
 
-def products_by_price_range(products: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
+def products_by_price_range(products: DataFrame, low: float | None = DEFAULT_MIN_PRICE,
+                            high: float | None = DEFAULT_MAX_PRICE) -> DataFrame:
+    """Active products within inclusive prices; None is no bound. The defaults are those of the service it follows."""
     if low is not None and high is not None and low > high:
         raise ValueError("minimum price is above maximum price")
-    return active_products(products).filter(F.col("price").between(
-        DEFAULT_MIN_PRICE if low is None else low, DEFAULT_MAX_PRICE if high is None else high))
+    return Filters(min_price=low, max_price=high).apply(active_products(products)).filter(F.col("price").isNotNull())
 
 
 def featured_products(products: DataFrame) -> DataFrame:

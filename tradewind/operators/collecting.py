@@ -21,17 +21,14 @@ def _collect(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.transform(pairs, lambda x: x["_v"]).alias(out))
 
 
-def first_values(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], n: int, out: str,
-                 keep: str = "first") -> DataFrame:
-    """The first (or last) n non-null values per group in event order, repeats kept."""
+def first_values(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], n: int | None,
+                 out: str, keep: str = "first") -> DataFrame:
+    """The first (or last) n non-null values per group in event order, repeats kept; None: all of them."""
     w = W.partitionBy(*keys).orderBy(*_ordering(order, keep == "last"))
-    limited = (
-        df.filter(F.col(value).isNotNull())
-        .select(*keys, *order, F.col(value).alias("_v"))
-        .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
-        .withColumn("_o", F.struct(*order))
-    )
-    return _collect(limited, keys, out)
+    limited = df.filter(F.col(value).isNotNull()).select(*keys, *order, F.col(value).alias("_v"))
+    if n is not None:
+        limited = limited.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+    return _collect(limited.withColumn("_o", F.struct(*order)), keys, out)
 
 
 def distinct_values(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], out: str,

@@ -8,6 +8,7 @@ from ..functions import catalog as C
 from ..functions.arrays import ancestor_paths, category_path
 from ..functions.text import clean_description, cut_within
 from ..schemas import PATH_DELIMITER
+from ..session import materialise
 
 
 def build_categories(paths: DataFrame) -> DataFrame:
@@ -32,19 +33,26 @@ def build_categories(paths: DataFrame) -> DataFrame:
     alternative = F.when(
         F.col("_parent").isNotNull(),
         F.substring(F.concat("_raw", F.lit(" ("), F.trim("_parent"), F.lit(")")), 1, 250)
-    ).otherwise(F.concat("_raw", F.lit(" #"), (F.abs(F.hash("path")) % 10000).cast("string")))
+    ).otherwise(F.concat("_raw", F.lit(" #"), F.pmod(F.hash("path"), F.lit(10000)).cast("string")))
     nodes = nodes.withColumn("_alt", alternative)
 
-    # A name is taken from the moment any path claims it as its own last part, or a
-    # displaced path receives it as its alternative.
+    # A name is taken from the moment any path claims it as its own last part, or a displaced path receives it
+    # as its alternative. A path displaced that way gives its own alternative away in turn, so the displaced ones,
+    # few as a rule, are found in rounds until no more follow.
     claims = nodes.groupBy(F.col("_raw").alias("_name")).agg(F.min("_born").alias("_claimed"))
-    first = nodes.join(claims, F.col("_raw") == F.col("_name")).drop("_name")
-    given = (
-        first.filter(F.col("_born") != F.col("_claimed"))
-        .groupBy(F.col("_alt").alias("_name")).agg(F.min("_born").alias("_given"))
-    )
-    named = first.join(given, F.col("_raw") == F.col("_name"), "left")
-    displaced = (F.col("_born") > F.col("_claimed")) | F.coalesce(F.col("_born") > F.col("_given"), F.lit(False))
+    claimed = materialise(nodes.join(claims, F.col("_raw") == F.col("_name")).drop("_name"), "category-claims")
+    moved, before = claimed.filter(F.col("_born") > F.col("_claimed")).select("path", "_alt", "_born"), -1
+    while True:
+        moved = materialise(moved, "displaced-categories")
+        now = moved.count()
+        if now == before:
+            break
+        before = now
+        given = moved.groupBy(F.col("_alt").alias("_name")).agg(F.min("_born").alias("_given"))
+        moved = claimed.join(given, F.col("_raw") == F.col("_name"), "left").filter(
+            (F.col("_born") > F.col("_claimed")) | (F.col("_born") > F.col("_given"))).select("path", "_alt", "_born")
+    named = claimed.join(moved.select("path", F.lit(True).alias("_moved")), "path", "left")
+    displaced = F.coalesce("_moved", F.lit(False))
     return named.select(
         F.md5("path").alias("id"),
         F.when(displaced, F.col("_alt")).otherwise(F.col("_raw")).alias("name"),

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import materialise
+
 # ---- fixed values -------------------------------------------------------------------------
 TAX_RATE = "0.08"
 FREE_SHIPPING_FROM = "50.00"
 STANDARD_SHIPPING = "5.99"
 CANCELLABLE = ["PENDING", "CONFIRMED"]
 # -------------------------------------------------------------------------------------------
+STEP_BLOCK = 1_000_000  # steps of all products together in one block of their order
 
 
 def _dec(text: str) -> Column:
@@ -85,33 +88,77 @@ def check_stock(lines: DataFrame, products: DataFrame) -> DataFrame:
         F.min(F.when(failed, F.col("product_id"))).alias("failed_product_id"))
 
 
-def apply_stock_deltas(products: DataFrame, deltas: DataFrame, order: list[str], block: Column) -> DataFrame:
-    """New stock and status after all deltas (product_id, delta, order columns).
-
-    `went_negative` marks products whose running stock fell below 0 at some step, which a
-    step-by-step update would have refused. The running minimum is found per `block` of the
-    order and then over blocks, so a product with very many deltas is not one window.
+def _step_blocks(deltas: DataFrame, order: str) -> Column:
+    """Which of several blocks of the order a step is in; about STEP_BLOCK steps each, by quantiles of `order`."""
+    blocks = -(-deltas.count() // STEP_BLOCK)
+    if blocks <= 1:
+        return F.lit(0)
+    cuts = deltas.agg(F.percentile_approx(order, [i / blocks for i in range(1, blocks)], 100 * blocks)).first()[0] or []
+    return F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(order)))
+
+
+def _fold_steps(rows):
+    """Products one after the other, each in step order: a step below zero is refused, the others change stock and status."""
+    import pandas as pd
+
+    held, out = None, []
+    for batch in rows:
+        for id, stock, status, delta in zip(batch["id"], batch["stock_quantity"], batch["status"], batch["delta"]):
+            if held is None or held[0] != id:
+                if held:
+                    out.append(held)
+                held = [id, int(stock), status, 0]
+            new = held[1] + int(delta)
+            if new < 0:
+                held[3] += 1
+                continue
+            held[1] = new
+            held[2] = "OUT_OF_STOCK" if new == 0 else "ACTIVE" if held[2] == "OUT_OF_STOCK" else held[2]
+        yield pd.DataFrame(out, columns=["id", "_stock", "_status", "_refused"])
+        out = []
+    if held:
+        yield pd.DataFrame([held], columns=["id", "_stock", "_status", "_refused"])
+
+
+def apply_stock_deltas(products: DataFrame, deltas: DataFrame, order: list[str]) -> DataFrame:
+    """New stock and status after all deltas (product_id, delta, order columns), applied step by step.
+
+    A step that would take the stock below zero is refused and changes nothing; `went_negative` marks products with
+    such a step and `refused` counts them. For products without one the result is a sum. Whether there is one shows
+    in the running minimum, found per block of the order and then over blocks, so a product with very many deltas
+    is not one window. Only the flagged products' steps are sorted and folded, in constant memory.
     """
-    tagged = deltas.withColumn("_block", block)
+    steps = deltas.filter(F.col("delta").isNotNull())
+    tagged = steps.withColumn("_block", _step_blocks(steps, order[0]))
     inner = W.partitionBy("product_id", "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    steps = tagged.withColumn("_run", F.sum("delta").over(inner))
-    blocks = steps.groupBy("product_id", "_block").agg(
+    runs = tagged.withColumn("_run", F.sum("delta").over(inner))
+    blocks = runs.groupBy("product_id", "_block").agg(
         F.sum("delta").alias("_sum"), F.min("_run").alias("_low"))
     outer = W.partitionBy("product_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_sum").over(outer), F.lit(0)))
     total = blocks.groupBy(F.col("product_id").alias("id")).agg(
         F.sum("_sum").alias("_delta"), F.min(F.col("_before") + F.col("_low")).alias("_lowest"))
-    stock = products.join(total, "id", "left").withColumn("_delta", F.coalesce("_delta", F.lit(0)))
+    held = F.coalesce(F.col("stock_quantity"), F.lit(0))
+    stock = materialise(products.select("id", "stock_quantity", "status").join(total, "id", "left"), "stock")
+    negative = F.coalesce(held + F.col("_lowest") < 0, F.lit(False))
+
+    flagged = stock.filter(negative).select("id", held.alias("stock_quantity"), "status")
+    mine = steps.select(F.col("product_id").alias("id"), "delta", *order).join(flagged, "id")
+    folded = mine.repartition("id").sortWithinPartitions("id", *order).select(
+        "id", "stock_quantity", "status", "delta").mapInPandas(
+        _fold_steps, f"id {flagged.schema['id'].dataType.simpleString()}, _stock long, _status string, _refused long")
+
     touched = F.col("_lowest").isNotNull()
-    new = F.col("stock_quantity") + F.col("_delta")
+    new = held + F.coalesce("_delta", F.lit(0))
     # Stock that was 0 at some step has been OUT_OF_STOCK since, so restocking activates it.
-    was_out = (F.col("status") == "OUT_OF_STOCK") | (F.col("stock_quantity") + F.col("_lowest") <= 0)
+    was_out = (F.col("status") == "OUT_OF_STOCK") | (held + F.col("_lowest") <= 0)
     status = (F.when(~touched, F.col("status")).when(new == 0, "OUT_OF_STOCK")
               .when(was_out & (new > 0), "ACTIVE").otherwise(F.col("status")))
-    return stock.select(
-        "id", F.col("stock_quantity").alias("old_quantity"), new.alias("new_quantity"),
-        F.col("status").alias("old_status"), status.alias("new_status"),
-        F.coalesce(F.col("stock_quantity") + F.col("_lowest") < 0, F.lit(False)).alias("went_negative"))
+    return stock.join(folded, "id", "left").select(
+        "id", F.col("stock_quantity").alias("old_quantity"),
+        F.when(touched, F.coalesce(F.col("_stock"), new)).otherwise(F.col("stock_quantity")).cast("long").alias("new_quantity"),
+        F.col("status").alias("old_status"), F.coalesce("_status", status).alias("new_status"),
+        negative.alias("went_negative"), F.coalesce("_refused", F.lit(0)).alias("refused"))
 
 
 def order_states(orders: DataFrame, changes: DataFrame) -> DataFrame:

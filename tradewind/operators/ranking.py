@@ -72,9 +72,12 @@ def exclude_seen(candidates: DataFrame, seen: DataFrame, keys: Sequence[str]) ->
 
 
 def latest_by_key(changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Newest row per key, as an aggregation with map-side combination (no per-key sort)."""
-    row = F.struct(*order, F.struct(*changes.columns).alias("_row"))
-    return changes.groupBy(*keys).agg(F.max(row).alias("_m")).select("_m._row.*")
+    """Newest row per key. Spark keeps one row per key and task before the shuffle (window group limit).
+
+    Rows of equal order are told apart by a hash of the row.
+    """
+    newest = [*[F.col(c).desc_nulls_last() for c in order], F.xxhash64(*changes.columns)]
+    return top_k(changes, keys, newest, 1, "_latest").drop("_latest")
 
 
 def ttl_epochs(events: DataFrame, keys: Sequence[str], ttl_seconds: int, time: str = "event_time") -> DataFrame:
