@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
-from .common import id_and_text
+from .common import NO_ID, id_and_text
 
 SEED = 16  # bytes that decide which position of a window is its anchor
 CHUNK = 1 << 22  # bytes looked at at once
 HELD = 20_000  # rows of one first rank that a task keeps in memory
 BLOCK = 256  # open stretches of one first rank compared in one task's group
 FULL, OPEN, EDGE = 1, 2, 4
-NO_ID = -2 ** 63
 
 
 def window_of(length: int) -> int:
@@ -131,8 +130,8 @@ def _ranks(length: int):
 def _rerank(batches):
     """Compare sorted neighbours: what is alone leaves, what has an equal stretch is settled, the rest stays open.
 
-    The first and the last core of a partition may go on in another one, and a core of very many rows is not held;
-    their rows leave as EDGE and are counted by an aggregation.
+    The first and the last core of a partition may go on in another one, and a core of very many rows is judged in
+    parts; of these, one row of each stretch name also leaves as EDGE, to be counted across parts by an aggregation.
     """
     import numpy as np
     import pyarrow as pa
@@ -151,8 +150,8 @@ def _rerank(batches):
         new_name[1:] |= (high[1:] != high[:-1]) | (low[1:] != low[:-1])
         by_core, by_name = np.cumsum(new_core) - 1, np.cumsum(new_name) - 1
         kind = np.where(np.bincount(by_name)[by_name] > 1, FULL, 0)
-        kind |= np.where((np.bincount(by_core[new_name])[by_core] > 1) & new_name, OPEN, 0)
-        kind = np.where(np.isin(core, edges), EDGE, kind)
+        several = np.bincount(by_core[new_name])[by_core] > 1
+        kind |= np.where(new_name, np.where(np.isin(core, edges), EDGE, np.where(several, OPEN, 0)), 0)
         keep = kind > 0
         if keep.any():
             yield out(kind[keep], [c[keep] for c in cols])
@@ -171,7 +170,7 @@ def _rerank(batches):
         rest = [c[cut:] for c in cols]
         if len(rest[0]) > HELD:
             large = [rest[0][0]]
-            yield out(np.full(len(rest[0]), EDGE), rest)
+            yield from judged(rest, large)
             rest = None
     if rest is not None:
         yield from judged(rest, [rest[0][-1]] if len(rest[0]) else [])
@@ -332,17 +331,16 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     ranked = materialise(ranks.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
         _rerank, "kind byte, " + columns), "ranks")
 
-    edge = ranked.where(F.col("kind") == EDGE)
-    classes = edge.groupBy(*pair).agg(F.count("*").alias("n"), F.min(F.struct(*key, "first")).alias("low_row"))
-    classes = materialise(classes, "edge-classes")
+    flag = lambda bit: F.col("kind").bitwiseAND(bit) != 0
+    edge = ranked.where(flag(EDGE))
+    classes = materialise(edge.groupBy(*pair).agg(F.sum(F.when(flag(FULL), 2).otherwise(1)).alias("n"),
+                                                  F.min(F.struct(*key, "first")).alias("low_row")), "edge-classes")
     cores = materialise(classes.groupBy("core").agg(F.count("*").alias("classes")), "edge-cores")
     edge = edge.join(classes, pair).join(cores, "core").select(
         *pair, *key, "first", "last", (F.col("n") > 1).alias("full"),
         ((F.col("classes") > 1) & (F.struct(*key, "first") == F.col("low_row"))).alias("open"))
-    inner = ranked.where(F.col("kind") != EDGE).select(
-        *pair, *key, "first", "last", (F.col("kind").bitwiseAND(FULL) != 0).alias("full"),
-        (F.col("kind").bitwiseAND(OPEN) != 0).alias("open"))
-    judged = inner.unionByName(edge)
+    judged = ranked.where(~flag(EDGE)).select(
+        *pair, *key, "first", "last", flag(FULL).alias("full"), flag(OPEN).alias("open")).unionByName(edge)
 
     packed = rows.mapInArrow(_pack, "id long, hash long, packed binary")
     opened = judged.where("open").groupBy(*key).agg(F.collect_list(F.struct("core", "first", "last")).alias("open"))
