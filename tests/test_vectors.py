@@ -45,9 +45,9 @@ def ranked(df):
     return {q: [i for _, i in sorted(v)] for q, v in out.items()}
 
 
-@pytest.mark.parametrize("path", ["broadcast", "leaves"])
+@pytest.mark.parametrize("leaves", [None, 1, 25])
 @pytest.mark.parametrize("threshold", [0.5, 0.1, -1.0])
-def test_exact_search(spark, path, threshold, monkeypatch):
+def test_exact_search(spark, leaves, threshold, monkeypatch):
     rows = data(120, 6, 1)
     queries = [{"query_id": f"q{i}", "embedding": r[1], "max_price": 60.0 if i % 2 else None,
                 "min_rating": 2.0 if i % 3 == 0 else None, "category_id": "c1" if i % 5 == 0 else None}
@@ -58,9 +58,7 @@ def test_exact_search(spark, path, threshold, monkeypatch):
     monkeypatch.setattr(V, "BLOCK_VECTORS", 10)
     monkeypatch.setattr(V, "BLOCK_QUERIES", 15)
     monkeypatch.setattr(V, "MAX_PRODUCT", 500)
-    if path == "leaves":
-        monkeypatch.setattr(V, "MAX_BROADCAST_BYTES", 8 * 6 * 3)  # 40 queries do not fit
-    got = ranked(V.vector_search(q, index, 7, threshold))
+    got = ranked(V.vector_search(q, index, 7, threshold, leaves=leaves))
     assert got == plain(queries, rows, 7, threshold)
 
 
@@ -69,10 +67,10 @@ def test_leaf_share_trades_recall(spark):
     index = spark.createDataFrame(rows, SCHEMA)
     q = index.selectExpr("id AS query_id", "embedding")
     exact = ranked(V.vector_search(q, index, 5, 0.3))
-    near = ranked(V.leaf_search(q, index, 5, 0.3, share=0.3, leaves=20))
+    near = ranked(V.vector_search(q, index, 5, 0.3, share=0.3, leaves=20))
     kept = sum(len(set(near.get(i, [])) & set(v)) for i, v in exact.items()) / sum(map(len, exact.values()))
     assert 0.5 < kept <= 1.0
-    every = ranked(V.leaf_search(q, index, 5, 0.3, share=1.0, leaves=20))
+    every = ranked(V.vector_search(q, index, 5, 0.3, share=1.0, leaves=20))
     assert every == exact
 
 
@@ -84,6 +82,37 @@ def test_threshold_is_inclusive_and_empty_queries(spark):
     assert V.vector_search(q.limit(0), index, 9, 0.5).count() == 0
 
 
+def test_missing_and_odd_vectors_are_in_no_result(spark):
+    rows = [("a", [1.0, 0.0], None, None, 1.0, 1.0), ("b", None, None, None, 1.0, 1.0), ("c", [1.0], None, None, 1.0, 1.0),
+            ("d", [1.0, None], None, None, 1.0, 1.0), ("e", [1.0, 0.1], None, None, None, None), ("f", [], None, None, 1.0, 1.0)]
+    index = spark.createDataFrame(rows, SCHEMA)
+    q = spark.createDataFrame([("q", [1.0, 0.0]), ("r", None), ("s", [1.0, 2.0, 3.0])], "query_id string, embedding array<float>")
+    assert ranked(V.vector_search(q, index, 9, 0.5)) == {"q": ["a", "e"]}
+    for empty in (index.limit(0), index.filter("id = 'b'")):
+        assert V.vector_search(q, empty, 9, 0.5).collect() == []
+    assert V.unit_rows(index.limit(0).toPandas()["embedding"]).shape[0] == 0
+
+
+def test_vectors_go_to_the_visits_of_their_own_leaf_alone(spark, monkeypatch):
+    """A vector is sent once for each group of queries that visit its leaf, and not at all without one."""
+    rows = [(f"{side}{i}", [side + i / 1000, 0.1 * side], None, None, 1.0, 1.0) for side in (1.0, -1.0) for i in range(30)]
+    index = spark.createDataFrame(rows, SCHEMA)
+    q = index.filter("id like '1.0%'").selectExpr("id AS query_id", "embedding")
+    monkeypatch.setattr(V, "BLOCK_QUERIES", 10)
+    match = V._block_matches
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(asked, vectors, threshold):
+        seen.add(len(vectors))
+        return match(asked, vectors, threshold)
+
+    monkeypatch.setattr(V, "_block_matches", counted)
+    found = V.vector_search(q, index, 3, 0.9, leaves=2).collect()
+    assert len(found) == 90 and all(r.id.startswith("1.0") for r in found)
+    assert seen.value <= 30 * 3  # thirty visits of one leaf are three groups; the other leaf stays where it is
+    assert V.leaf_count(10 ** 6, 64) == 1000 and V.leaf_count(10 ** 12, 1024) * 8 * 1024 <= V.CENTRE_BYTES
+
+
 def test_index_merge_and_files(spark, tmp_path):
     old = spark.createDataFrame([("a", [1.0], "c", "x", 1.0, None), ("b", [2.0], "c", None, 2.0, 3.0)], SCHEMA)
     new = spark.createDataFrame([("b", [5.0], "d", "y", 2.5, 4.0)], SCHEMA)

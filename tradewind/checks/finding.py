@@ -230,8 +230,8 @@ def v1(s: Shapes) -> DataFrame:
 
 @query("v1_vector_search_by_leaves", f"SELECT query_id, id, {r('similarity')}, rank FROM ({vector_sql('x_vq', '10', in_bounds('q', 'i'))})")
 def v1_leaves(s: Shapes) -> DataFrame:
-    """The same search by the path for large query sets."""
-    return flat(V.leaf_search(s.vector_queries(), s.vector_index(), 10, THRESHOLD, share=None, leaves=16))
+    """The same search with another number of leaves."""
+    return flat(V.vector_search(s.vector_queries(), s.vector_index(), 10, THRESHOLD, leaves=7))
 
 
 @query("v1_vector_search_allow", f"SELECT query_id, id, rank FROM ({vector_sql('x_vqa', '5', 'q.brand = lower(i.brand)')})")
@@ -243,7 +243,19 @@ def v1_allow(s: Shapes) -> DataFrame:
 
 @query("v1b_approximate_search")
 def v1b(s: Shapes) -> DataFrame:
-    return flat(V.leaf_search(s.vector_queries(), s.vector_index(), 10, THRESHOLD, share=V.LEAF_SHARE))
+    return flat(V.vector_search(s.vector_queries(), s.vector_index(), 10, THRESHOLD, share=V.LEAF_SHARE))
+
+
+@query("v1b_recall", f"""
+SELECT count(*) AS exact, 1 AS enough FROM ({vector_sql('x_vq', '10', in_bounds('q', 'i'))})""")
+def v1b_recall(s: Shapes) -> DataFrame:
+    """Matches of the exact search, and whether three quarters of the leaves find nine tenths of them."""
+    keys = ["query_id", "id"]
+    exact = V.vector_search(s.vector_queries(), s.vector_index(), 10, THRESHOLD).select(*keys)
+    near = V.vector_search(s.vector_queries(), s.vector_index(), 10, THRESHOLD, share=0.75).select(
+        *keys, F.lit(1).alias("hit")).distinct()
+    both = exact.join(near, keys, "left").agg(F.count("*").alias("exact"), F.count("hit").alias("_hits"))
+    return both.select("exact", (F.col("_hits") >= 0.9 * F.col("exact")).cast("int").alias("enough"))
 
 
 cte("x_variant", """
