@@ -7,35 +7,109 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import NO_ID, id_and_text, slices, vocabulary_path, worker_cache
 
 CACHED_WORDS = 500_000
+MARKS = ".,;:!?"
 
 
 class TokenEncoder:
-    """Bytes of the ids of a text; remembers the ids of the words that stand between spaces.
+    """Bytes of the ids of a text; remembers the ids of the words that stand between white space.
 
-    The vocabularies this is meant for drop white space and never join what a space separates, so the ids
-    of a text are those of its words in turn.
+    The vocabularies this is meant for drop white space and never join what ASCII white space separates, so the ids
+    of a text are those of its words in turn. Some CACHED_WORDS latest words and as many older ones are remembered;
+    the library encodes what is new. Words of letters alone go to it many in one text: where every word ends in a
+    token with the vocabulary's end-of-word suffix, these tokens cut the ids into words again. Marks behind
+    such a word are pieces of their own.
     """
 
     def __init__(self, path: str, id_bytes: int):
+        import json
+        import os
+
+        import numpy as np
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task for each core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.known = Tokenizer.from_file(path), f"<u{id_bytes}", {}
+        self.tokenizer, self.kind = Tokenizer.from_file(path), {1: "B", 2: "H", 4: "I"}[id_bytes]
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        suffix = model.get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def each(self, words: list[str]) -> list[bytes]:
+        """The ids of every word, asked for one by one."""
+        from array import array
+
+        coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [array(self.kind, c.ids).tobytes() for c in coded]
+
+    def together(self, words: list[str], at_once: int = 512) -> list[bytes]:
+        """The ids of words of letters, many words in one text."""
+        import numpy as np
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+        parts = [words[i:i + at_once] for i in range(0, len(words), at_once)]
+        out = []
+        for part, coded in zip(parts, self.tokenizer.encode_batch_fast(
+                [" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(coded.ids, np.int64)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part) or ids.max(initial=0) > np.iinfo(self.kind).max:
+                out += self.each(part)  # a word that is more than one piece, or an id that does not fit
+                continue
+            data, size = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+            stops = (ends * size).tolist()
+            out += [data[a:b] for a, b in zip([0, *stops], stops)]
+        return out
+
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        plain, marked, odd = {}, [], []
+        for word in words:
+            if word in known:
+                continue
+            if (found := older.get(word)) is not None:
+                known[word] = found
+            elif word.isalpha():
+                plain[word] = None
+            else:
+                core = word.rstrip(MARKS)
+                if core.isalpha() and core[-1].lower().isalpha():
+                    marked.append((word, core, word[len(core):]))
+                    if core not in known:
+                        plain[core] = None
+                else:
+                    odd.append(word)
+        known.update(zip(plain, self.together(list(plain))))
+        known.update(zip(odd, self.each(odd)))
+        for word, core, marks in marked:
+            if marks not in self.marks:
+                self.marks[marks] = self.each([marks])[0]
+            known[word] = known[core] + self.marks[marks]
+        return [known[w] for w in words]
+
+    def encode(self, texts):
+        """All ids of an Arrow array of texts, one text after the other, and where each text ends."""
         import numpy as np
+        import pyarrow.compute as pc
 
-        cut = [t.split(" ") for t in texts]
-        new = {w for words in cut for w in words}.difference(self.known)
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = {w for words in cut for w in words}
-        new = list(new)
-        top = np.iinfo(self.kind).max
-        for word, coded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            if coded.ids and max(coded.ids) > top:
-                raise OverflowError(f"id {max(coded.ids)} needs more than {self.kind}")
-            self.known[word] = np.array(coded.ids, self.kind).tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        cut = pc.ascii_split_whitespace(texts)
+        coded = cut.flatten().dictionary_encode()
+        which = coded.indices.to_numpy()
+        pieces = self.look_up(coded.dictionary.to_pylist())
+        size = np.dtype(self.kind).itemsize
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // size
+        starts, sizes = np.cumsum(lengths) - lengths, lengths[which]
+        ends = np.cumsum(sizes)
+        at = np.repeat(starts[which] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        words = np.cumsum(pc.list_value_length(cut).to_numpy())
+        return np.frombuffer(b"".join(pieces), self.kind)[at], np.concatenate([[0], ends])[words]
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", end_id: int = 1,
@@ -67,21 +141,21 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49
 
         def out(part, values):
             nonlocal row
-            row += len(values)
+            row += 1
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard] * len(values), pa.int32()), pa.array([part] * len(values), pa.string()),
-                 pa.array(range(row - len(values), row), pa.int64()), pa.array(values, pa.binary())],
+                [pa.array([shard], pa.int32()), pa.array([part]), pa.array([row], pa.int64()), pa.array([values], pa.binary())],
                 names=["shard", "part", "row", "bytes"])
 
-        for batch in slices(batches):
-            coded = encoder.encode(batch.column(1).to_pylist())
+        for batch in slices(batches, 2048):
+            coded, ends = encoder.encode(batch.column(1))
             ids.append(np.array([NO_ID if i is None else i for i in batch.column(0).to_pylist()], "<i8"))
-            sizes.append(np.array([len(c) // id_bytes + 1 for c in coded], "<i8"))
-            yield out("ids", coded)
+            sizes.append(np.diff(ends, prepend=0) + 1)
+            # the writer closes the last document with the end id
+            yield out("ids", np.insert(coded, ends[:-1], end_id).tobytes())
         if ids:
             starts = np.concatenate([np.zeros(1, "<i8"), np.cumsum(np.concatenate(sizes), dtype="<i8")])
-            yield out("offsets", [starts.tobytes()])
-            yield out("docs", [np.concatenate(ids).tobytes()])
+            yield out("offsets", starts.tobytes())
+            yield out("docs", np.concatenate(ids).tobytes())
 
     end = end_id.to_bytes(id_bytes, "little").decode("ascii")
     order = ["shard", "part", "row"]
