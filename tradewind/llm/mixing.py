@@ -149,7 +149,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: fl
         more = F.when(F.col("up"), 1 - F.col("q")).otherwise(-F.col("q")) * F.col("mass")
         below, p = F.col(f"below_{tier}"), F.col("p")
         part = F.least(F.lit(1.0), p * (1 - p) * below / most)  # the same for either outcome, so means are kept
-        moved = F.when(below > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), p - part * more / below)))
+        moved = F.when(more.isNotNull() & (below > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p - part * more / below)))
         shares = materialise(shares.join(lighter, "rank", "left").join(left, "rank", "left").select(
             "rank", F.coalesce(moved, p).alias("p")), "mix-shares")
         upper = tier
