@@ -8,7 +8,7 @@ from ..session import materialise
 from .common import NO_ID, fold_of, id_and_text
 
 FOLDS, HELD_OUT = 4, 2
-CHUNK = 1 << 22  # bytes looked at at once
+CHUNK = 1 << 20  # bytes looked at at once
 STATISTICS = (
     "log words", "mean word length", "spread of word lengths", "log longest word", "upper case among ASCII letters",
     "digits", "symbols", "bars and slashes", "exclamation and question marks", "full stops and commas",
@@ -30,16 +30,19 @@ def byte_classes():
     return table
 
 
-def statistics(data, sizes, classes):
-    """A row of transformed statistics for each document of `data` (bytes, one document after the other)."""
+#: What is summed over a document: the bytes of each class, then these.
+SUMS = ("words", "lengths", "squares", "longest", "repeated", "marked", "bare", "distinct")
+
+
+def count(data, sizes, classes):
+    """Sums for each document of `data` (bytes, one document after the other), and the hash of every word."""
     import numpy as np
 
     n, docs = len(data), len(sizes)
     kind = classes[data]
-    doc = np.repeat(np.arange(docs), sizes)
-    counts = np.bincount(doc * 12 + kind, minlength=docs * 12).reshape(docs, 12).astype(float)
-    inside = kind < BLANK
-    inside |= kind == OTHER
+    doc = np.repeat(np.arange(docs, dtype=np.int32), sizes)
+    counts = np.bincount(doc * 12 + kind, minlength=docs * 12).reshape(docs, 12)
+    inside = (kind < BLANK) | (kind == OTHER)
     edge = np.ones(n + 1, bool)
     edge[1:-1] = doc[1:] != doc[:-1]
     before = np.concatenate([[False], inside[:-1]])
@@ -47,43 +50,89 @@ def statistics(data, sizes, classes):
     first = np.flatnonzero(inside & (~before | edge[:-1]))
     last = np.flatnonzero(inside & (~after | edge[1:]))
     of = doc[first]
-    words = np.bincount(of, minlength=docs).astype(float)
-    least = np.maximum(words, 1)
     per_doc = lambda x: np.bincount(of, x, docs)
-    letters = np.concatenate([[0], np.cumsum(kind != INNER)])
-    length = (letters[last + 1] - letters[first]).astype(float)
-    mean = per_doc(length) / least
-    spread = np.sqrt(np.maximum(per_doc(length * length) / least - mean * mean, 0))
+    characters = np.concatenate([[0], np.cumsum(kind != INNER, dtype=np.int32)])
+    length = (characters[last + 1] - characters[first]).astype(float)
     longest = np.zeros(docs)
     np.maximum.at(longest, of, length)
-    alphabetic = np.concatenate([[0], np.cumsum((kind <= UPPER) | (kind == BEYOND))])
-    bare = alphabetic[last + 1] == alphabetic[first]
+    letters = np.concatenate([[0], np.cumsum((kind <= UPPER) | (kind == BEYOND), dtype=np.int32)])
+    bare = letters[last + 1] == letters[first]
     mark = np.isin(kind, (SYMBOL, BAR, SHOUT, STOP, OTHER))
     marked = mark[last] & mark[np.maximum(last - 1, 0)] & (last > first)
-    # a word's hash: sum of its bytes times growing odd powers, from prefix sums
-    step = np.uint64(0x9E3779B97F4A7C15)
-    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(length.max() * 4 + 4) if len(length) else 1, step)]))
-    at = np.arange(n) - np.repeat(first, np.diff(np.concatenate([first, [n]]))) if len(first) else np.zeros(0, int)
-    head = first[0] if len(first) else n
-    value = np.zeros(n, np.uint64)
-    tail = np.minimum(at, len(powers) - 1)
-    value[head:] = powers[tail] * (data[head:].astype(np.uint64) + np.uint64(1)) if len(first) else 0
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(value, dtype=np.uint64)])
-    hashes = sums[last + 1] - sums[first]
+    hashes = np.zeros(0, np.uint64)
+    if len(first):  # a word's hash is the sum of its bytes times powers of an odd number, by prefix sums
+        powers = np.cumprod(np.full(int((last - first).max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+        place = np.arange(n, dtype=np.int32) - np.repeat(
+            np.concatenate([[0], first]), np.diff(np.concatenate([[0], first, [n]]))).astype(np.int32)
+        value = powers[np.minimum(place, len(powers) - 1)] * (data.astype(np.uint64) + np.uint64(1))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+        hashes = sums[last + 1] - sums[first]
     same = np.zeros(len(first), bool)
     same[1:] = (hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1])
     order = np.lexsort((hashes, of))
     new = np.ones(len(order), bool)
     new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (of[order][1:] != of[order][:-1])
     distinct = np.bincount(of[order][new], minlength=docs)
-    chars = np.maximum(counts.sum(axis=1) - counts[:, INNER], 1)
-    share = lambda k: np.sqrt(counts[:, k] / chars)
-    cased = np.maximum(counts[:, LOWER] + counts[:, UPPER], 1)
-    return np.stack([
-        np.log1p(words), mean, spread, np.log1p(longest), np.sqrt(counts[:, UPPER] / cased), share(DIGIT),
-        share(SYMBOL), share(BAR), share(SHOUT), share(STOP), share(BEYOND), (counts[:, BLANK] + counts[:, LINE]) / chars,
-        np.sqrt(counts[:, LINE] / least), np.sqrt(per_doc(same) / least), np.log1p(distinct) / np.log1p(least),
-        np.sqrt(per_doc(marked) / least), np.sqrt(per_doc(bare) / least)], axis=1)
+    return np.column_stack([counts, np.bincount(of, minlength=docs), per_doc(length), per_doc(length * length), longest,
+                            per_doc(same), per_doc(marked), per_doc(bare), distinct]).astype(float), hashes
+
+
+def count_long(data, classes):
+    """Sums of one long document, part by part; parts end behind white space, or at CHUNK bytes of a longer word."""
+    import numpy as np
+
+    total, seen, end, at = None, np.zeros(0, np.uint64), None, 0
+    while at < len(data):
+        stop = min(len(data), at + CHUNK)
+        if stop < len(data):
+            blanks = np.flatnonzero(np.isin(classes[data[at:stop]], (BLANK, LINE)))
+            stop = at + int(blanks[-1]) + 1 if len(blanks) else stop
+        sums, hashes = count(data[at:stop], np.array([stop - at]), classes)
+        if total is None:
+            total = sums
+        else:
+            longest = max(total[0, 12 + SUMS.index("longest")], sums[0, 12 + SUMS.index("longest")])
+            total = total + sums
+            total[0, 12 + SUMS.index("longest")] = longest
+            total[0, 12 + SUMS.index("repeated")] += len(hashes) > 0 and hashes[0] == end
+        end = hashes[-1] if len(hashes) else end
+        seen = np.union1d(seen, hashes)
+        at = stop
+    total[0, 12 + SUMS.index("distinct")] = len(seen)
+    return total
+
+
+def statistics(sums):
+    """The transformed statistics, one row for each row of sums."""
+    import numpy as np
+
+    of = dict(zip(SUMS, sums[:, 12:].T))
+    least, chars = np.maximum(of["words"], 1), np.maximum(sums[:, :12].sum(axis=1) - sums[:, INNER], 1)
+    mean = of["lengths"] / least
+    share = lambda k: np.sqrt(sums[:, k] / chars)
+    per_word = lambda x: np.sqrt(x / least)
+    return np.column_stack([
+        np.log1p(of["words"]), mean, np.sqrt(np.maximum(of["squares"] / least - mean * mean, 0)), np.log1p(of["longest"]),
+        np.sqrt(sums[:, UPPER] / np.maximum(sums[:, LOWER] + sums[:, UPPER], 1)), share(DIGIT), share(SYMBOL), share(BAR),
+        share(SHOUT), share(STOP), share(BEYOND), (sums[:, BLANK] + sums[:, LINE]) / chars, per_word(sums[:, LINE]),
+        per_word(of["repeated"]), np.log1p(of["distinct"]) / np.log1p(least), per_word(of["marked"]), per_word(of["bare"])])
+
+
+def text_statistics(texts, classes):
+    """Blocks of rows of transformed statistics for an Arrow array of binary texts, a bounded number of bytes each."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = texts.cast(pa.binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    content = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    row = 0
+    while row < len(texts):
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
+        data = content[offsets[row]:offsets[end]]
+        yield statistics(count_long(data, classes) if len(data) > CHUNK else count(
+            data, np.diff(offsets[row:end + 1]), classes)[0])
+        row = end
 
 
 def _statistics_rows(batches):
@@ -92,19 +141,14 @@ def _statistics_rows(batches):
 
     classes = byte_classes()
     for batch in batches:
-        texts = batch.column(2)
-        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
-        content = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
         row = 0
-        while row < len(texts):
-            end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
-            values = statistics(content[offsets[row]:offsets[end]], np.diff(offsets[row:end + 1]), classes)
-            flat = pa.array(values.ravel(), pa.float64())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(end - row + 1) * values.shape[1], pa.int32()), flat)
+        for values in text_statistics(batch.column(2), classes):
+            n = len(values)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * values.shape[1], pa.int32()),
+                                             pa.array(values.ravel(), pa.float64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), lists],
-                names=["id", "hash", "x"])
-            row = end
+                [batch.column(0).slice(row, n), batch.column(1).slice(row, n), lists], names=["id", "hash", "x"])
+            row += n
 
 
 def _moments(batches):
@@ -192,11 +236,34 @@ def fit(labelled: DataFrame, shrinkage: float, ridge: float, sample: int) -> Dis
     if any(moments.get(k, np.zeros((1, 1)))[0, 0] < 2 for k in (0, 1)):
         return None
     model = Discriminant({k: moments[k] for k in (0, 1)}, shrinkage, ridge)
-    few = labelled.orderBy(F.xxhash64("x")).limit(sample).select("label", "x").toPandas()
-    model.calibrate(model.difference(np.stack(few["x"])), few["label"].to_numpy(float))
+
+    def differences(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                d = model.difference(np.stack(batch.column(1).to_numpy(zero_copy_only=False)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d)], names=["label", "d"])
+
+    few = labelled.select("label", "x").orderBy(F.xxhash64("x")).limit(sample).mapInArrow(
+        differences, "label long, d double").toPandas()
+    model.calibrate(few["d"].to_numpy(float), few["label"].to_numpy(float))
     return model
 
 
+def train(docs: DataFrame, labels: DataFrame, label_col: str, shrinkage: float, ridge: float, sample: int, id_col: str,
+          text_col: str) -> tuple[Discriminant | None, DataFrame]:
+    """The discriminant of the labelled documents that are not held out, and the statistics of all documents."""
+    rows = id_and_text(docs, id_col, text_col).select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("hash"),
+        F.col("text").cast("binary").alias("bytes"))
+    stats = materialise(rows.mapInArrow(_statistics_rows, "id long, hash long, x array<double>"), "statistics")
+    stats = stats.withColumn("doc_id", F.when(F.col("id") != NO_ID, F.col("id")))
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label")).where(
+        F.col("label").isin(0, 1) & (fold_of(F.col("id"), FOLDS) != HELD_OUT)).dropDuplicates(["id"])
+    return fit(materialise(stats.join(known, "id").select("label", "x"), "labelled"), shrinkage, ridge, sample), stats
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality", shrinkage: float = 0.1,
                    ridge: float = 0.02, threshold: float = 0.7, sample: int = 20_000, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
@@ -209,20 +276,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     the two log densities, computed by Mahalanobis distances from Cholesky factors that are inverted once. Ids,
     labels and other columns are never inputs of a score.
 
+    Long texts are read in parts of 1 MiB that end behind white space; a longer word counts as several.
+
     Null texts count as empty, and an empty text is scored from its (zero) statistics like any other. Null ids
     belong to fold 0 or 3 as the crc32 of the empty text says and match no label; rows that repeat an id are scored
     each by its own text, and each learns from the id's label. Labels other than 0 and 1, or null, are not learned.
     Without two documents of either label every score is 0.5. An empty table gives no rows.
     """
-    rows = id_and_text(docs, id_col, text_col).select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("hash"),
-        F.col("text").cast("binary").alias("bytes"))
-    stats = materialise(rows.mapInArrow(_statistics_rows, "id long, hash long, x array<double>"), "statistics")
-    stats = stats.withColumn("doc_id", F.when(F.col("id") != NO_ID, F.col("id")))
+    model, stats = train(docs, labels, label_col, shrinkage, ridge, sample, id_col, text_col)
     held_out = (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out")
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label")).where(
-        F.col("label").isin(0, 1) & (fold_of(F.col("id"), FOLDS) != HELD_OUT)).dropDuplicates(["id"])
-    model = fit(materialise(stats.join(known, "id").select("label", "x"), "labelled"), shrinkage, ridge, sample)
 
     def run(batches):
         import numpy as np
