@@ -19,9 +19,7 @@ from .ranking import share_equal, top_k
 FIELD_WEIGHTS = {"name": 10, "category_name": 10, "brand": 4, "description": 2}
 LIKE_FIELDS = ["name", "description", "brand"]
 # -------------------------------------------------------------------------------------------
-# A term in more than 1/HOT_SHARE of all postings is hot; there are fewer than HOT_SHARE such terms.
-HOT_SHARE = 1024
-HOT_PIECES = 32
+PIECE_ROWS = 500_000  # postings of one term or letter piece that meet queries in one task's group
 REQUEST = ["query", "min_price", "max_price", "min_rating"]
 
 
@@ -52,11 +50,26 @@ def within_bounds(price: Column, rating: Column) -> Column:
             & (stars.isNull() | F.coalesce(rating >= stars, F.lit(False))))
 
 
+def _frequencies(hits: DataFrame, key: str) -> DataFrame:
+    """Rows per key, and the pieces they are dealt to."""
+    return hits.groupBy(key).agg(F.count("*").alias("df"), F.ceil(F.count("*") / PIECE_ROWS).cast("int").alias("_pieces"))
+
+
+def _dealt(hits: DataFrame, frequencies: DataFrame, key: str, by: str) -> DataFrame:
+    """Rows with the piece of their key that they belong to."""
+    return hits.join(frequencies.select(key, "_pieces"), key).withColumn(
+        "_piece", F.pmod(F.xxhash64(by), F.col("_pieces")).cast("int")).drop("_pieces")
+
+
+def _to_all_pieces(keyed: DataFrame) -> DataFrame:
+    return keyed.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).drop("_pieces")
+
+
 def full_text_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
     """(query_id, id, score) for products that hold every term of the query and meet its bounds.
 
     Candidates come from the rarest term of each query only, then the other terms are
-    checked by (term, product). Postings of hot terms are split over pieces.
+    checked by (term, product). Postings of hot terms are split over as many pieces as their count asks for.
     """
     wanted = queries.select("query_id", "min_price", "max_price", "min_rating").join(
         term_sets(queries, "query_id", "query"), "query_id")
@@ -67,21 +80,15 @@ def full_text_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
         .groupBy("term", "product_id").agg(
             F.bit_or("field").alias("fields"), F.first("price").alias("price"), F.first("rating").alias("rating"))
         .withColumn("weight", _weight(F.col("fields"))).drop("fields"), "hits")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    df = materialise(_frequencies(hits, "term"), "frequencies")
     rarest = (
         wanted.select("query_id", F.explode("terms").alias("term")).join(df, "term", "left")
         .groupBy("query_id").agg(
-            F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("_r"))
-        .filter("_r.df > 0").select("query_id", F.col("_r.term").alias("term"))
+            F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "_pieces")).alias("_r"))
+        .filter("_r.df > 0").select("query_id", F.col("_r.term").alias("term"), "_r._pieces")
     )
-    # Fewer than HOT_SHARE rows by construction, so this side is always small enough to broadcast.
-    total = df.agg(F.sum("df")).scalar()
-    hot = df.filter(F.col("df") * HOT_SHARE > total).select("term", F.lit(True).alias("_hot"))
-    spread = hits.join(F.broadcast(hot), "term", "left").withColumn(
-        "_piece", F.when(F.col("_hot"), F.pmod(F.xxhash64("product_id"), F.lit(HOT_PIECES))).otherwise(F.lit(0)))
-    asked = wanted.join(rarest, "query_id").join(F.broadcast(hot), "term", "left").withColumn(
-        "_piece", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_PIECES - 1)))
-                            .otherwise(F.array(F.lit(0))).cast("array<bigint>")))
+    spread = _dealt(hits, df, "term", "product_id")
+    asked = wanted.join(_to_all_pieces(rarest), "query_id")
     candidates = (
         asked.join(spread.select("term", "_piece", "product_id", "price", "rating"), ["term", "_piece"])
         .filter(within_bounds(F.col("price"), F.col("rating")))
@@ -115,30 +122,38 @@ def _pieces(text: Column, n: int) -> Column:
 def like_matches(queries: DataFrame, products: DataFrame) -> DataFrame:
     """(query_id, id): active products whose name, description or brand contains the query text.
 
-    `%` and `_` in the query are wildcards, `\\` escapes. The longest literal run of the query
-    gives a key of up to three letters; products offer all their pieces of the key lengths, so
-    candidates meet by an equi-join (queries of wildcards only meet every product under the
-    empty key) and the pattern decides.
+    `%` and `_` in the query are wildcards, `\\` escapes. The literal runs of a query are cut into three-letter
+    pieces (a query without such a run gives its longest run, of two letters, one or none). Products offer
+    their pieces of the lengths that are asked for; candidates come from the rarest piece of a query, counted
+    first, and the pattern decides. Pieces that very many products hold are split by count. Queries of
+    wildcards only match every product, and meet them under the empty piece.
     """
     low = F.lower(F.coalesce("query", F.lit("")))
     runs = F.split(low, r"\\.|[%_\\]")
     longest = F.element_at(F.array_sort(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r")))), -1)
     literal = F.regexp_replace(low, r"\\([^%_\\])", "$1")
+    empty = F.array().cast("array<string>")
+    threes = F.flatten(F.transform(runs, lambda r: F.coalesce(_pieces(r, 3), empty)))
     asked = queries.select(
-        "query_id", "min_price", "max_price", "min_rating",
-        F.concat(F.lit("%"), literal, F.lit("%")).alias("_pattern"),
-        F.substring(longest["r"], F.lit(1), F.lit(3)).alias("_key"))
+        "query_id", "min_price", "max_price", "min_rating", F.concat(F.lit("%"), literal, F.lit("%")).alias("_pattern"),
+        F.when(F.size(threes) > 0, F.array_distinct(threes)).otherwise(F.array(longest["r"])).alias("_keys"))
+    asked = materialise(asked, "substring-queries")
+    wanted = asked.select(F.explode("_keys").alias("_key")).distinct()
+    lengths = sorted(r[0] for r in wanted.select(F.length("_key")).distinct().collect())  # of 0 to 3
     offered = active_products(products).select(
         "id", "price", "rating", *[F.lower(c).alias(c) for c in LIKE_FIELDS])
-    empty = F.array().cast("array<string>")
-    keys = F.concat(F.array(F.lit("")), *[
-        F.coalesce(_pieces(F.col(c), n), empty) for c in LIKE_FIELDS for n in (1, 2, 3)])
+    keys = F.concat(*([F.array(F.lit(""))] if 0 in lengths else []), empty, *[
+        F.coalesce(_pieces(F.col(c), n), empty) for c in LIKE_FIELDS for n in lengths if n])
     # Only pieces some query asks for are kept, before the product columns travel any further.
-    wanted = asked.select("_key").distinct()
-    meeting = (
-        offered.select("id", F.explode(F.array_distinct(keys)).alias("_key"))
-        .join(wanted, "_key", "left_semi").join(asked, "_key")
-    )
+    hits = materialise(offered.select("id", F.explode(F.array_distinct(keys)).alias("_key")).join(
+        wanted, "_key", "left_semi"), "substring-hits")
+    df = materialise(_frequencies(hits, "_key"), "substring-frequencies")
+    rarest = (
+        asked.select("query_id", F.explode("_keys").alias("_key")).join(df, "_key", "left").groupBy("query_id").agg(
+            F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "_key", "_pieces")).alias("_r"))
+        .filter("_r.df > 0").select("query_id", F.col("_r._key").alias("_key"), "_r._pieces"))
+    meeting = asked.drop("_keys").join(_to_all_pieces(rarest), "query_id").join(
+        _dealt(hits, df, "_key", "id"), ["_key", "_piece"])
     matched = F.lit(False)
     for c in LIKE_FIELDS:
         matched = matched | F.coalesce(F.expr(f"{c} LIKE _pattern"), F.lit(False))
@@ -152,18 +167,21 @@ def like_matches(queries: DataFrame, products: DataFrame) -> DataFrame:
 def check_bounds(queries: DataFrame) -> DataFrame:
     """Queries whose minimum price is above the maximum are refused by raising when read."""
     bad = F.col("min_price") > F.col("max_price")
-    return queries.withColumn(
-        "query", F.when(bad, F.raise_error(F.lit("minimum price is above maximum price")).cast("string"))
-        .otherwise(F.col("query")))
+    return queries.withColumn("min_price", F.when(bad, F.raise_error(F.lit(
+        "minimum price is above maximum price")).cast(queries.schema["min_price"].dataType)).otherwise(F.col("min_price")))
+
 
+def product_search(queries: DataFrame, products: DataFrame, k: int, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank): full-text search; queries it finds nothing for fall back to substrings.
 
-def product_search(queries: DataFrame, products: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): full-text search; queries it finds nothing for fall back to substrings."""
-    return share_equal(queries, REQUEST, lambda distinct: _product_search(distinct, products, k))
+    `index` is the stored `postings` of the products; without it they are tokenised anew.
+    """
+    index = postings(products) if index is None else index
+    return share_equal(check_bounds(queries), REQUEST, lambda distinct: _product_search(distinct, products, k, index))
 
 
-def _product_search(queries: DataFrame, products: DataFrame, k: int) -> DataFrame:
-    found = materialise(_best_matches(queries, postings(products), k).select(
+def _product_search(queries: DataFrame, products: DataFrame, k: int, index: DataFrame) -> DataFrame:
+    found = materialise(_best_matches(queries, index, k).select(
         "query_id", "id", (F.col("score") * 1.0).cast("double").alias("score"), "rank"), "found")
     missed = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
     fallback = top_k(like_matches(missed, products).withColumn("score", F.lit(0.0)), ["query_id"], [F.col("id")], k)
@@ -212,7 +230,7 @@ def category_id_by_name(names: DataFrame, categories: DataFrame) -> DataFrame:
     return hits.groupBy("requested").agg(F.min(F.struct("name", "id"))["id"].alias("category_id"))
 
 
-def product_details(requests: DataFrame, products: DataFrame) -> DataFrame:
+def product_details(requests: DataFrame, products: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(request_id, id): the product with the given id, else the best search hit for the name."""
     by_id = requests.filter(F.trim(F.coalesce("product_id", F.lit(""))) != "").join(
         products.select(F.col("id").alias("product_id")), "product_id").select(
@@ -222,16 +240,16 @@ def product_details(requests: DataFrame, products: DataFrame) -> DataFrame:
         (F.trim(F.coalesce("product_id", F.lit(""))) == "") & (F.trim(F.coalesce("product_name", F.lit(""))) != "")
     ).select(F.col("request_id").alias("query_id"), F.col("product_name").alias("query"), no_bound.alias("min_price"),
              no_bound.alias("max_price"), no_bound.alias("min_rating"))
-    best = product_search(by_name, products, 1).select(F.col("query_id").alias("request_id"), "id")
+    best = product_search(by_name, products, 1, index).select(F.col("query_id").alias("request_id"), "id")
     return by_id.unionByName(best)
 
 
-def compare_products(requests: DataFrame, products: DataFrame) -> DataFrame:
+def compare_products(requests: DataFrame, products: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(compare_id, position, id): the best hit for each listed name, misses dropped, input order kept."""
     names = requests.select("compare_id", F.posexplode("names").alias("position", "query"))
     distinct = names.select("query").distinct()
     no_bound = F.lit(None).cast("double")
     asked = distinct.select(F.col("query").alias("query_id"), "query", no_bound.alias("min_price"),
                             no_bound.alias("max_price"), no_bound.alias("min_rating"))
-    best = product_search(asked, products, 1).select(F.col("query_id").alias("query"), "id")
+    best = product_search(asked, products, 1, index).select(F.col("query_id").alias("query"), "id")
     return names.join(best, "query").select("compare_id", "position", "id")
