@@ -325,14 +325,10 @@ def s8_list(s: Shapes) -> DataFrame:
         "user_id", "session_id", "last_updated")
 
 
-@query("j1_profiles_with_ttl", """
-SELECT p.user_id, p.session_id, coalesce(c.cart_adds, 0) AS cart_adds, coalesce(s.total_page_views, 0) AS total_page_views
-FROM x_a1 p LEFT JOIN x_a2 c ON c.user_id = p.user_id AND c.session_id = p.session_id AND c.t >= p.t - INTERVAL 6 HOUR
-LEFT JOIN x_a3 s ON s.user_id = p.user_id AND s.session_id = p.session_id AND s.t >= p.t - INTERVAL 6 HOUR""")
+@query("j1_profiles_with_ttl", f"SELECT {PROFILE_SQL_COLS} FROM x_prof_ttl")
 def j1_ttl(s: Shapes) -> DataFrame:
-    df = build_profiles_from_events(s.product_views(), s.cart_events(), s.user_events(), s.ai_events(),
-                                    s.order_events(), ttl_seconds=6 * 3600)
-    return df.select("user_id", "session_id", "cart_adds", "total_page_views")
+    return flat(build_profiles_from_events(s.product_views(), s.cart_events(), s.user_events(), s.ai_events(),
+                                           s.order_events(), ttl_seconds=6 * 3600))
 
 
 @query("w6_latest_by_key", """

@@ -460,23 +460,43 @@ def f1_long(s: Shapes) -> DataFrame:
         F.col("source"), F.col("text"), F.col("lang"), F.lit("Laptops")).alias("content"))
 
 
-@query("f2_category_synonyms", """
-SELECT p_partkey, CASE WHEN p_name LIKE '%ring%' THEN 'notebooks, portable computers, ultrabooks'
-  WHEN p_name LIKE '%gear%' THEN 'denim, pants, trousers'
-  WHEN p_name LIKE '%rod%' THEN 'fitness tracker, wearable, smartwatch' ELSE '' END AS synonyms FROM part""")
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def case_of(key: str, values: list[str]) -> str:
+    """SQL for the value whose place in the list is key modulo its length."""
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {quoted(v)}" for i, v in enumerate(values)) + " END"
+
+
+def nth_of(key: str, values: list[str]):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values) + 1).cast("int"))
+
+
+# a category name and the place of its rule; the last ones meet none, or two of which the first counts
+SYNONYM_CASES = [
+    ("SmartPhones & more", 0), ("mobiles", 0), ("Mobiles and", None), ("LED Television", 1), ("TVs", 1), ("Gaming LAPTOPS", 2),
+    ("Earphone Cases", 3), ("headphones", 3), ("Tablets", 4), ("Cameras", 5), ("Watches (Smart)", 6), ("Watches", None),
+    ("Mini Fridge", 7), ("Refrigerators", 7), ("Washing Machines", 8), ("Air Conditioners", 9), ("ACs", 9), ("Kurtis", 10),
+    ("Kurtas", 10), ("Sarees", 11), ("Saris", 11), ("T-Shirts", 12), ("Tshirts", 12), ("Slim Jeans", 13), ("Sneakers", 14),
+    ("Sports Shoes", 14), ("Laptop Camera", 2), ("Smartphone Watch", 0), ("Garden", None)]
+
+
+@query("f2_category_synonyms", "SELECT p_partkey, " + case_of("p_partkey", [
+    "" if rule is None else X.CATEGORY_SYNONYMS[rule][3] for _, rule in SYNONYM_CASES]) + " AS synonyms FROM part")
 def f2(s: Shapes) -> DataFrame:
-    name = F.col("p_name")
-    mapped = (F.when(name.contains("ring"), "Gaming LAPTOPS").when(name.contains("gear"), "Slim Jeans")
-              .when(name.contains("rod"), "Watches (Smart)").otherwise(name))
-    return s.t("part").select("p_partkey", X.category_synonyms(mapped).alias("synonyms"))
+    return s.t("part").select("p_partkey", X.category_synonyms(nth_of(
+        "p_partkey", [name for name, _ in SYNONYM_CASES])).alias("synonyms"))
 
 
 @query("f3_rerank_text", """
-SELECT doc_id, source || ' by ' || lang || '. ' || CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS content
+SELECT doc_id, source || CASE WHEN doc_id % 5 = 0 THEN '' ELSE ' by ' || lang END || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '. Category: ' || source END
+  || '. ' || CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS content
 FROM documents""")
 def f3(s: Shapes) -> DataFrame:
     return s.t("documents").select("doc_id", X.rerank_text(
-        F.col("source"), F.col("lang"), F.lit(None).cast("string"), F.col("text")).alias("content"))
+        F.col("source"), F.when(F.col("doc_id") % 5 != 0, F.col("lang")), F.when(F.col("doc_id") % 3 != 0, F.col("source")),
+        F.col("text")).alias("content"))
 
 
 @query("f4_product_query_text", "SELECT id, trim(name || ' ' || category_name || ' ' || brand) AS content FROM x_pc")
@@ -485,11 +505,16 @@ def f4(s: Shapes) -> DataFrame:
         F.col("name"), F.col("category_name"), F.col("brand")).alias("content"))
 
 
-@query("f5_extract_brand", """
-SELECT p_partkey, CASE WHEN p_name LIKE '%gizmo%' THEN 'Google' WHEN p_name LIKE '%bolt%' THEN 'boAt' ELSE '' END AS brand FROM part""")
+BRAND_CASES = [
+    ("cheap SAMSUNG phone", "Samsung"), ("an apple", "Apple"), ("iPhone case", "Apple"), ("oneplus 12", "OnePlus"),
+    ("google home", "Google"), ("cheap PIXEL and sony", "Google"), ("Sony tv", "Sony"), ("jbl box", "JBL"), ("Bose", "Bose"),
+    ("my Boat", "boAt"), ("marshall amp", "Marshall"), ("NIKE shoes", "Nike"), ("iqoo neo", "iQOO"), ("plain shoes", ""),
+    ("nike or samsung", "Samsung")]
+
+
+@query("f5_extract_brand", "SELECT p_partkey, " + case_of("p_partkey", [b for _, b in BRAND_CASES]) + " AS brand FROM part")
 def f5(s: Shapes) -> DataFrame:
-    text = F.when(F.col("p_name").contains("gizmo"), F.concat(F.lit("cheap PIXEL and sony "), "p_name")).when(
-        F.col("p_name").contains("bolt"), F.concat("p_name", F.lit(" for my Boat"))).otherwise(F.col("p_name"))
+    text = nth_of("p_partkey", [q for q, _ in BRAND_CASES])
     return s.t("part").select("p_partkey", F.coalesce(X.extract_brand(text), F.lit("")).alias("brand"))
 
 
@@ -502,9 +527,16 @@ def f6(s: Shapes) -> DataFrame:
 
 
 @query("f7_clean_description", """
-SELECT page_id, md5(CASE WHEN instr(html, 'var ') > 1 THEN trim(substr(html, 1, instr(html, 'var ') - 1)) ELSE html END) AS cleaned FROM pages""")
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN md5(url) WHEN 1 THEN md5('Soft ' || url) WHEN 2 THEN md5('Soft ' || url)
+  WHEN 3 THEN md5('var x = 1; ' || url) ELSE md5(CASE WHEN instr(html, 'var ') > 1 THEN trim(substr(html, 1, instr(html, 'var ') - 1)) ELSE html END) END AS cleaned
+FROM pages""")
 def f7(s: Shapes) -> DataFrame:
-    return s.t("pages").select("page_id", F.md5(X.clean_description(F.col("html"), F.col("url"))).alias("cleaned"))
+    """Blank short texts, both remnants, a remnant at the start, and whole pages."""
+    kind, url = F.col("page_id") % 5, F.col("url")
+    short = (F.when(kind == 0, "  ").when(kind == 1, F.concat(F.lit("Soft "), url, F.lit(" P.when('A').execute(var y)")))
+             .when(kind == 2, F.concat(F.lit("Soft "), url, F.lit(" var y = P.when(1)")))
+             .when(kind == 3, F.concat(F.lit("var x = 1; "), url)).otherwise(F.col("html")))
+    return s.t("pages").select("page_id", F.md5(X.clean_description(short, url)).alias("cleaned"))
 
 
 @query("f8_parse_fields", """
@@ -633,14 +665,33 @@ def o3(s: Shapes) -> DataFrame:
     return df.select("id", "new_quantity", "new_status", "refused", F.col("went_negative").cast("int").alias("went_negative"))
 
 
-@query("o4_order_state", """
-SELECT id, CASE WHEN status = 'PENDING' AND CAST(id AS BIGINT) % 2 = 0 THEN 'CONFIRMED' ELSE status END AS status,
-  CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'PAID' ELSE 'FAILED' END AS payment_status,
-  CASE WHEN status IN ('PENDING', 'CONFIRMED') THEN 1 ELSE 0 END AS cancellable FROM x_ord""")
+# Two payments and up to two status changes for each order, at several places among each other.
+CHANGES = """
+SELECT id, unnest([1, 3]) AS step, 'PAYMENT' AS kind, unnest([CASE WHEN id % 2 = 0 THEN 'PAID' ELSE 'FAILED' END,
+  CASE WHEN id % 3 = 0 THEN 'PAID' ELSE 'FAILED' END]) AS value FROM o
+UNION ALL SELECT id, 2, 'STATUS', CASE WHEN id % 4 = 0 THEN 'PENDING' ELSE 'PROCESSING' END FROM o WHERE id % 5 < 3
+UNION ALL SELECT id, 4, 'STATUS', CASE WHEN id % 7 = 0 THEN 'CANCELLED' ELSE 'PENDING' END FROM o WHERE id % 5 < 2"""
+
+
+@query("o4_order_state", f"""
+SELECT * FROM (WITH RECURSIVE o AS (SELECT CAST(id AS BIGINT) AS id, status FROM x_ord),
+changes AS MATERIALIZED ({CHANGES}),
+walk(id, step, status, payment) AS (
+  SELECT id, 0, status, 'PENDING' FROM o
+  UNION ALL SELECT w.id, w.step + 1, CASE WHEN c.kind = 'STATUS' THEN c.value WHEN c.value = 'PAID' AND w.status = 'PENDING' THEN 'CONFIRMED'
+    ELSE w.status END, CASE WHEN c.kind = 'PAYMENT' THEN c.value ELSE w.payment END
+  FROM walk w LEFT JOIN changes c ON c.id = w.id AND c.step = w.step + 1 WHERE w.step < 4)
+SELECT CAST(id AS VARCHAR) AS id, status, payment AS payment_status, CASE WHEN status IN ('PENDING', 'CONFIRMED') THEN 1 ELSE 0 END AS cancellable
+FROM walk WHERE step = 4)""")
 def o4(s: Shapes) -> DataFrame:
-    changes = s.orders().select(
-        F.col("id").alias("order_id"), F.col("created_at").alias("changed_at"), F.lit("PAYMENT").alias("kind"),
-        F.when(F.col("id").cast("bigint") % 2 == 0, "PAID").otherwise("FAILED").alias("value"))
+    n = F.col("id").cast("bigint")
+    paid = lambda d: F.when(n % d == 0, "PAID").otherwise("FAILED")
+    change = lambda at, kind, value, cond: F.when(cond, F.struct(
+        F.lit(at).alias("changed_at"), F.lit(kind).alias("kind"), value.alias("value")))
+    changes = s.orders().select(F.col("id").alias("order_id"), F.explode(F.array_compact(F.array(
+        change(1, "PAYMENT", paid(2), F.lit(True)), change(3, "PAYMENT", paid(3), F.lit(True)),
+        change(2, "STATUS", F.when(n % 4 == 0, "PENDING").otherwise("PROCESSING"), n % 5 < 3),
+        change(4, "STATUS", F.when(n % 7 == 0, "CANCELLED").otherwise("PENDING"), n % 5 < 2)))).alias("c")).select("order_id", "c.*")
     return O.order_states(s.orders(), changes).select(
         "id", "status", "payment_status", F.col("cancellable").cast("int").alias("cancellable"))
 

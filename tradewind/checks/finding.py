@@ -9,6 +9,7 @@ from ..operators import hybrid as H, search as S, suggestions as G, vectors as V
 from ..session import fresh_path
 from ..sources import product_files as PF, vector_store as VS
 from .behaviour import profiles_staged
+from .catalogue import case_of, nth_of
 from .registry import flat, query, r
 from .shapes import Shapes, staged
 from .sql import cte
@@ -129,9 +130,9 @@ def h2(s: Shapes) -> DataFrame:
     return S.like_matches(keyword_queries(s), s.products())
 
 
-@query("h2_product_search_fallback", f"SELECT query_id, id, rank FROM ({search_sql('x_query', 10)})")
+@query("h2_product_search_fallback", f"SELECT query_id, id, {r('score')}, rank FROM ({search_sql('x_query', 10)})")
 def h2_fallback(s: Shapes) -> DataFrame:
-    return S.product_search(keyword_queries(s), s.catalog(), 10).select("query_id", "id", "rank")
+    return flat(S.product_search(keyword_queries(s), s.catalog(), 10).select("query_id", "id", "score", "rank"))
 
 
 cte("x_req", """
@@ -165,14 +166,15 @@ def h4(s: Shapes) -> DataFrame:
     return S.expand_category_names(requested_names(s), s.categories())
 
 
-@query("h4b_related_categories", """
-SELECT p_partkey, CASE WHEN p_name LIKE '%ring%' THEN 28 WHEN p_name LIKE '%gear%' THEN 8 WHEN p_name LIKE '%rod%' THEN 4 ELSE 0 END AS related
-FROM part""")
+RELATED_CASES = [("Running Shoes", "footwear"), ("Boots", "footwear"), ("On-Ear", "audio"), ("Wireless Headphones", "audio"),
+                 ("Blouses", "tops"), ("Shirts & Tees", "tops"), ("jeans", "bottoms"), ("Sweatpants", "bottoms"), ("Garden", None)]
+
+
+@query("h4b_related_categories", "SELECT p_partkey, " + case_of("p_partkey", [
+    "" if domain is None else "|".join(H.CATEGORY_DOMAINS[domain]) for _, domain in RELATED_CASES]) + " AS related FROM part")
 def h4b(s: Shapes) -> DataFrame:
-    name = F.col("p_name")
-    asked = (F.when(name.contains("ring"), "Running Shoes").when(name.contains("gear"), "jeans")
-             .when(name.contains("rod"), "Wireless Headphones").otherwise(name))
-    return s.t("part").withColumn("asked", asked).select("p_partkey", F.size(H.related_categories("asked")).alias("related"))
+    asked = s.t("part").select("p_partkey", nth_of("p_partkey", [name for name, _ in RELATED_CASES]).alias("asked"))
+    return flat(asked.select("p_partkey", H.related_categories("asked").alias("related")))
 
 
 @query("h4c_category_id_by_name", """

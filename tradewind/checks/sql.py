@@ -175,7 +175,7 @@ JOIN (SELECT user_id, list(category ORDER BY o)[1:10] AS purchased_categories FR
 JOIN (SELECT user_id, list(product_id ORDER BY o)[1:20] AS purchased_product_ids FROM (
   SELECT user_id, product_id, min((event_time, event_id, item_pos)) AS o FROM x_items GROUP BY ALL) GROUP BY ALL) USING (user_id)
 GROUP BY user_id""")
-cte("x_prof", """
+PROFILE_SELECT = """
 SELECT p.user_id, p.session_id, recent_product_ids, recent_categories, recent_search_queries, total_product_views,
   avg_view_duration_ms, avg_product_price,
   CASE WHEN coalesce(ai_max_budget, 0) > 0 AND ai_max_budget < 500 THEN 'BUDGET'
@@ -198,5 +198,11 @@ SELECT p.user_id, p.session_id, recent_product_ids, recent_categories, recent_se
   strftime(greatest(p.t, coalesce(c.t, TIMESTAMP '1970-01-01'), coalesce(s.t, TIMESTAMP '1970-01-01'),
     coalesce(a.t, TIMESTAMP '1970-01-01'), coalesce(o.t, TIMESTAMP '1970-01-01')), '%Y-%m-%d %H:%M:%S') AS last_updated,
   p.t AS pt
-FROM x_a1 p LEFT JOIN x_a2 c USING (user_id, session_id) LEFT JOIN x_a3 s USING (user_id, session_id)
+"""
+cte("x_prof", PROFILE_SELECT + """FROM x_a1 p LEFT JOIN x_a2 c USING (user_id, session_id) LEFT JOIN x_a3 s USING (user_id, session_id)
 LEFT JOIN x_a4 a USING (user_id) LEFT JOIN x_a5 o USING (user_id)""")
+# A right row counts only while its last event is at most six hours older than the left one's.
+cte("x_prof_ttl", PROFILE_SELECT + "FROM x_a1 p " + " ".join(
+    f"LEFT JOIN {table} {t} ON {' AND '.join(f'{t}.{k} = p.{k}' for k in keys)} AND {t}.t >= p.t - INTERVAL 6 HOUR"
+    for t, table, keys in (("c", "x_a2", ["user_id", "session_id"]), ("s", "x_a3", ["user_id", "session_id"]),
+                           ("a", "x_a4", ["user_id"]), ("o", "x_a5", ["user_id"]))))
