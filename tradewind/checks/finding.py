@@ -286,7 +286,7 @@ def v2(s: Shapes) -> DataFrame:
 
 cte("x_vqi", "SELECT id AS query_id, v FROM x_index")
 SIMILAR = f"""
-SELECT item_id, id, similarity, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, id) AS rank FROM (
+SELECT item_id, id, similarity, fetched, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, id) AS rank FROM (
   SELECT f.query_id AS item_id, f.id, f.similarity, f.rank AS fetched FROM ({vector_sql('x_vqi', '{n}')}) f
   JOIN x_pc a ON a.id = f.query_id JOIN x_pc b ON b.id = f.id AND lower(a.category_name) = lower(b.category_name) WHERE f.id <> f.query_id)"""
 
@@ -518,8 +518,17 @@ def query_vectors(s: Shapes) -> DataFrame:
             .join(e, "vec_id").select("query", "variant", "embedding"))
 
 
-def nobody(s: Shapes) -> DataFrame:
-    return s.spark.createDataFrame([], "user_id string, id string")
+cte("x_taken", """
+SELECT user_id, product_id AS id FROM (SELECT DISTINCT user_id, product_id FROM x_views)
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY product_id) <= CAST(user_id AS BIGINT) % 15""")
+
+
+def already_taken(s: Shapes) -> DataFrame:
+    """Some of the products a user has seen, none to fourteen of them."""
+    from pyspark.sql import Window as W
+    rank = F.row_number().over(W.partitionBy("user_id").orderBy("product_id"))
+    return s.product_views().select("user_id", "product_id").distinct().withColumn("_n", rank).filter(
+        F.col("_n") <= F.col("user_id").cast("bigint") % 15).select("user_id", F.col("product_id").alias("id"))
 
 
 cte("x_cats", """
@@ -532,7 +541,9 @@ def _fold_sql() -> str:
     pick = lambda c, n: f"CASE WHEN b.user_id IS NULL THEN a.{c} WHEN a.user_id IS NULL THEN b.{c} ELSE {merged(f'b.{c}', f'a.{c}', n)} END AS {c}"
     return f"""
 SELECT coalesce(b.user_id, a.user_id) AS user_id, coalesce(b.price_preference, a.price_preference) AS price_preference,
-  {pick('cart_categories', 10)}, {pick('ai_search_categories', 10)}, {pick('recent_categories', 10)}, {pick('recent_product_ids', 20)}
+  {pick('cart_categories', 10)}, {pick('ai_search_categories', 10)}, {pick('recent_categories', 10)}, {pick('recent_product_ids', 20)},
+  {pick('ai_search_queries', 15)}, {pick('recent_search_queries', 10)},
+  CASE WHEN b.user_id IS NULL THEN a.ai_max_budget WHEN a.user_id IS NULL THEN b.ai_max_budget ELSE greatest(a.ai_max_budget, b.ai_max_budget) END AS ai_max_budget
 FROM (SELECT * FROM x_prof WHERE session_id LIKE '%-a') a FULL JOIN (SELECT * FROM x_prof WHERE session_id LIKE '%-b') b ON a.user_id = b.user_id"""
 
 
@@ -541,26 +552,77 @@ cte("x_fold", _fold_sql())
 
 @query("r4_w5_category_affinity", """
 SELECT user_id, id, category AS context, row_number() OVER (PARTITION BY user_id ORDER BY turn, place) AS rank FROM (
-  SELECT c.user_id, c.category, c.place, p.id, row_number() OVER (PARTITION BY c.user_id, c.place
-    ORDER BY p.rating DESC NULLS LAST, p.review_count DESC, p.id) AS turn, greatest(2, 12 // c.n + 1) AS per
-  FROM x_cats c JOIN x_pc p ON p.category_name = c.category AND p.status = 'ACTIVE'
-    AND p.price >= CASE c.price_preference WHEN 'BUDGET' THEN 0 WHEN 'MID_RANGE' THEN 500 ELSE 2000 END
-    AND p.price <= CASE c.price_preference WHEN 'BUDGET' THEN 500 WHEN 'MID_RANGE' THEN 2000 ELSE 1e12 END
-  QUALIFY turn <= per) QUALIFY rank <= 12""")
+  SELECT *, row_number() OVER (PARTITION BY user_id, place ORDER BY place_in) AS turn FROM (
+    SELECT c.user_id, c.category, c.place, p.id, 12 - coalesce(t.n, 0) AS room, row_number() OVER (PARTITION BY c.user_id, c.place
+      ORDER BY p.rating DESC NULLS LAST, p.review_count DESC, p.id) AS place_in, greatest(2, (12 - coalesce(t.n, 0)) // c.n + 1) AS per
+    FROM x_cats c LEFT JOIN (SELECT user_id, count(*) AS n FROM x_taken GROUP BY 1) t ON t.user_id = c.user_id
+    JOIN x_pc p ON p.category_name = c.category AND p.status = 'ACTIVE'
+      AND p.price >= CASE c.price_preference WHEN 'BUDGET' THEN 0 WHEN 'MID_RANGE' THEN 500 ELSE 2000 END
+      AND p.price <= CASE c.price_preference WHEN 'BUDGET' THEN 500 WHEN 'MID_RANGE' THEN 2000 ELSE 1e12 END
+    WHERE coalesce(t.n, 0) < 12 QUALIFY place_in <= per) ANTI JOIN x_taken USING (user_id, id)) QUALIFY rank <= room""")
 def r4(s: Shapes) -> DataFrame:
-    return G.category_affinity(user_profiles(s), s.catalog(), nobody(s), 12).select("user_id", "id", "context", "rank")
+    return G.category_affinity(user_profiles(s), s.catalog(), already_taken(s), 12).select("user_id", "id", "context", "rank")
 
 
 @query("r5_similar_to_viewed", f"""
-SELECT u.user_id, f.id, row_number() OVER (PARTITION BY u.user_id ORDER BY f.similarity DESC, f.id) AS rank
-FROM (SELECT user_id, recent_product_ids[1] AS item_id FROM x_fold) u
-JOIN ({SIMILAR.replace('{n}', '45')}) f USING (item_id) WHERE true QUALIFY rank <= 15""")
+SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY similarity DESC, id) AS rank FROM (
+  SELECT u.user_id, f.id, f.similarity, room FROM (
+    SELECT user_id, recent_product_ids[1] AS item_id, least(50 - coalesce(n, 0), 15) AS room
+    FROM x_fold LEFT JOIN (SELECT user_id, count(*) AS n FROM x_taken GROUP BY 1) USING (user_id)) u
+  JOIN ({SIMILAR.replace('{n}', '45')}) f USING (item_id) WHERE fetched <= 3 * room) ANTI JOIN x_taken USING (user_id, id) QUALIFY rank <= room""")
 def r5(s: Shapes) -> DataFrame:
-    return G.similar_to_viewed(user_profiles(s), s.catalog(), s.vector_index(), nobody(s), 50, THRESHOLD).select(
+    return G.similar_to_viewed(user_profiles(s), s.catalog(), s.vector_index(), already_taken(s), 50, THRESHOLD).select(
         "user_id", "id", "rank")
 
 
-@query("r3_ai_intent")
+QUOTA = 5  # of 12 suggestions, those that searches may fill
+FILLED = "list_filter({}, lambda x: trim(x) <> '')"
+cte("x_search", f"""
+SELECT user_id, generate_subscripts(l, 1) - 1 AS step, unnest(l).expanded AS expanded, unnest(l).query AS query, max_price FROM (
+  SELECT user_id, CASE WHEN ai_max_budget > 0 THEN ai_max_budget END AS max_price, list_concat(
+    list_transform({FILLED.format('ai_search_queries')}[1:2], lambda q: {{'expanded': true, 'query': q}}),
+    list_transform({FILLED.format('recent_search_queries')}[1:3], lambda q: {{'expanded': false, 'query': q}})) AS l
+  FROM x_fold)""")
+cte("x_qvec", """
+SELECT query, variant, CAST(embedding AS DOUBLE[]) AS v FROM (
+  SELECT query, min(key) AS key FROM (SELECT p_name AS query, p_partkey AS key FROM part
+    UNION ALL SELECT text, conv_id * 8 + turn FROM conversations WHERE role = 'user') WHERE trim(query) <> '' GROUP BY query)
+CROSS JOIN (VALUES (0), (1), (2)) t(variant) JOIN embeddings ON vec_id = (key + variant) % (SELECT count(*) FROM embeddings)""")
+cte("x_asked", """
+SELECT expanded, query, max_price, variant, v, CASE WHEN expanded THEN 3 ELSE 1 END AS variants,
+  row_number() OVER (ORDER BY expanded, query, max_price, variant) AS query_id, NULL::DOUBLE AS min_price, NULL::DOUBLE AS min_rating
+FROM (SELECT DISTINCT expanded, query, max_price FROM x_search) JOIN x_qvec USING (query) WHERE expanded OR variant = 0""")
+cte("x_interest", f"""
+SELECT user_id, unnest(base) AS requested FROM (SELECT user_id, list_concat({FILLED.format('ai_search_categories')},
+  {FILLED.format('recent_categories')}) AS base FROM x_fold)""")
+cte("x_ireq", "SELECT DISTINCT requested FROM x_interest")
+cte("x_iexpand", EXPAND.replace("x_req", "x_ireq"))
+cte("x_step", f"""
+SELECT s.user_id, s.step, s.expanded, s.query, max(a.variants) AS n, list({{'s': f.similarity, 'id': f.id, 'r': f.rank, 'fits':
+  s.user_id NOT IN (SELECT user_id FROM x_interest) OR (s.user_id, p.category_name) IN (
+    SELECT user_id, category_name FROM x_interest JOIN x_iexpand USING (requested))}} ORDER BY f.similarity DESC, f.id) AS hits
+FROM x_search s JOIN x_asked a ON a.expanded = s.expanded AND a.query = s.query AND a.max_price IS NOT DISTINCT FROM s.max_price
+JOIN ({vector_sql('x_asked', '15', in_bounds('q', 'i'))}) f USING (query_id) JOIN x_pc p ON p.id = f.id GROUP BY ALL""")
+cte("x_intent", f"""
+SELECT user_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS rank, unnest(context) AS context FROM (
+  WITH RECURSIVE steps AS MATERIALIZED (SELECT * FROM x_step),
+  walk(user_id, step, ids, context) AS (
+    SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) FROM steps
+    UNION ALL SELECT user_id, step + 1, list_concat(ids, list_transform(added, lambda h: h.id)),
+      list_concat(context, list_transform(added, lambda h: short)) FROM (
+      SELECT user_id, step, ids, context, short, CASE WHEN query IS NULL OR missing <= 0 THEN [] WHEN len(list_filter(fresh, lambda h: h.fits)) > 0
+        THEN list_filter(fresh, lambda h: h.fits)[1:missing] ELSE fresh[1:missing] END AS added FROM (
+        SELECT *, list_filter(list_filter(near, lambda h, i: list_position(list_transform(near, lambda y: y.id), h.id) = i)[1:wide],
+          lambda h: NOT list_contains(ids, h.id)) AS fresh FROM (
+          SELECT *, list_filter(hits, lambda h: h.r <= CASE WHEN n > 1 THEN greatest(3, CAST(ceil(wide / n) AS BIGINT) + 1) ELSE wide END) AS near,
+            CASE WHEN length(query) > width THEN substr(query, 1, width - 3) || '...' ELSE query END AS short FROM (
+            SELECT w.*, s.query, s.n, s.hits, {QUOTA} - len(w.ids) AS missing, greatest(10, ({QUOTA} - len(w.ids)) * 3) AS wide,
+              CASE WHEN s.expanded THEN 40 ELSE 30 END AS width
+            FROM walk w LEFT JOIN steps s ON s.user_id = w.user_id AND s.step = w.step WHERE w.step < 5)))))
+  SELECT * FROM walk WHERE step = 5)""")
+
+
+@query("r3_ai_intent", "SELECT user_id, id, rank, context FROM x_intent")
 def r3(s: Shapes) -> DataFrame:
     return G.ai_intent(user_profiles(s), s.catalog(), s.categories(), s.vector_index(), query_vectors(s), 12, THRESHOLD)
 
@@ -569,14 +631,39 @@ def all_users(s: Shapes) -> DataFrame:
     return s.t("customer").select(F.col("c_custkey").cast("string").alias("user_id"))
 
 
-@query("r6_suggest")
+cte("x_alike", f"""
+SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY similarity DESC, id) AS rank,
+  CASE WHEN length(name) > 30 THEN substr(name, 1, 30) || '...' ELSE name END AS context FROM (
+  SELECT u.user_id, f.id, f.similarity, room, p.name FROM (
+    SELECT user_id, recent_product_ids[1] AS item_id, least(12 - coalesce(n, 0), 4) AS room
+    FROM x_fold LEFT JOIN (SELECT user_id, count(*) AS n FROM x_intent GROUP BY 1) USING (user_id)) u
+  JOIN ({SIMILAR.replace('{n}', '12')}) f USING (item_id) JOIN x_pc p ON p.id = u.item_id WHERE fetched <= 3 * room)
+ANTI JOIN x_intent USING (user_id, id) QUALIFY rank <= room""")
+cte("x_sofar", "SELECT user_id, id FROM x_intent UNION ALL SELECT user_id, id FROM x_alike")
+cte("x_affine", """
+SELECT user_id, id, category AS context, row_number() OVER (PARTITION BY user_id ORDER BY turn, place) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, place ORDER BY place_in) AS turn FROM (
+    SELECT c.user_id, c.category, c.place, p.id, 12 - coalesce(t.n, 0) AS room, row_number() OVER (PARTITION BY c.user_id, c.place
+      ORDER BY p.rating DESC NULLS LAST, p.review_count DESC, p.id) AS place_in, greatest(2, (12 - coalesce(t.n, 0)) // c.n + 1) AS per
+    FROM x_cats c LEFT JOIN (SELECT user_id, count(*) AS n FROM x_sofar GROUP BY 1) t ON t.user_id = c.user_id
+    JOIN x_pc p ON p.category_name = c.category AND p.status = 'ACTIVE'
+      AND p.price >= CASE c.price_preference WHEN 'BUDGET' THEN 0 WHEN 'MID_RANGE' THEN 500 ELSE 2000 END
+      AND p.price <= CASE c.price_preference WHEN 'BUDGET' THEN 500 WHEN 'MID_RANGE' THEN 2000 ELSE 1e12 END
+    WHERE coalesce(t.n, 0) < 12 QUALIFY place_in <= per) ANTI JOIN x_sofar USING (user_id, id)) QUALIFY rank <= room""")
+
+
+@query("r6_suggest", """
+WITH listed AS (
+  SELECT user_id, id, strategy, reason, row_number() OVER (PARTITION BY user_id ORDER BY place, rank, id) AS position FROM (
+    SELECT user_id, id, 0 AS place, rank, 'ai_intent' AS strategy, 'Based on your search for ' || context AS reason FROM x_intent
+    UNION ALL SELECT user_id, id, 1, rank, 'similar_products', 'Similar to ' || context FROM x_alike
+    UNION ALL SELECT user_id, id, 2, rank, 'category_affinity', 'Popular in ' || context FROM x_affine) QUALIFY position <= 12)
+SELECT u.user_id, coalesce(position, 0) AS position, coalesce(id, '') AS id, coalesce(strategy, '') AS strategy, coalesce(reason, '') AS reason,
+  CASE WHEN u.user_id IN (SELECT user_id FROM x_fold) THEN 1 ELSE 0 END AS personalised
+FROM (SELECT CAST(c_custkey AS VARCHAR) AS user_id FROM customer) u LEFT JOIN listed l ON l.user_id = u.user_id""".replace(
+    "WITH listed AS (", "SELECT * FROM (WITH listed AS (", 1) + ")")
 def r6(s: Shapes) -> DataFrame:
-    return G.suggest(all_users(s), user_profiles(s), s.catalog(), s.categories(), s.vector_index(), query_vectors(s), 12, THRESHOLD)
-
-
-@query("r6_personalised", """
-SELECT CAST(c_custkey AS VARCHAR) AS user_id, CASE WHEN CAST(c_custkey AS VARCHAR) IN (SELECT user_id FROM x_prof) THEN 1 ELSE 0 END AS personalised
-FROM customer""")
-def r6_personalised(s: Shapes) -> DataFrame:
     df = G.suggest(all_users(s), user_profiles(s), s.catalog(), s.categories(), s.vector_index(), query_vectors(s), 12, THRESHOLD)
-    return df.groupBy("user_id").agg(F.max(F.col("personalised").cast("int")).alias("personalised"))
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return df.select("user_id", F.coalesce("position", F.lit(0)).alias("position"), text("id"), text("strategy"), text("reason"),
+                     F.col("personalised").cast("int").alias("personalised"))
