@@ -174,6 +174,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("copies") > 0).groupBy("key").agg(F.max("copies").alias("__copies")).withColumnRenamed("key", "__key")
     taken = materialise(taken, "mix-taken")
     keyed = docs.withColumn("__own_key", row_key(id_col, source_col, text_col))
-    return keyed.join(taken, keyed["__own_key"] == taken["__key"]).withColumn(
+    # most documents are taken, so this side grows with the documents and is merged at every size
+    return keyed.join(taken.hint("merge"), keyed["__own_key"] == taken["__key"]).withColumn(
         "__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(
         *[F.col(f"`{c}`") for c in docs.columns])

@@ -299,6 +299,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                                    F.col("hash").alias("__kept_hash")).distinct(), "kept")
     keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)),
                               "__hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    joined = keyed.join(kept, (keyed["__id"] == kept["__kept_id"]) & (keyed["__hash"] == kept["__kept_hash"]))
+    # most documents are kept, so this side grows with the documents and is merged at every size
+    joined = keyed.join(kept.hint("merge"), (keyed["__id"] == kept["__kept_id"]) & (keyed["__hash"] == kept["__kept_hash"]))
     first = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(1)))
     return joined.withColumn("__row", first).where("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
