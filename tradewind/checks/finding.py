@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.terms import STOP_WORDS
-from ..operators import hybrid as H, search as S, suggestions as G, vectors as V
+from ..operators import catalog as K, hybrid as H, search as S, suggestions as G, vectors as V
 from ..session import fresh_path
 from ..sources import product_files as PF, vector_store as VS
 from .behaviour import profiles_staged
@@ -102,7 +102,7 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r
 SELECT query_id, id, {r('score')}, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
 FROM ({fts_sql('x_query')}) QUALIFY rank <= 10""")
 def h1(s: Shapes) -> DataFrame:
-    df = S.full_text_search(keyword_queries(s), S.postings(s.catalog()), 10)
+    df = S.full_text_search(keyword_queries(s), s.postings(), 10)
     return flat(df.select("query_id", "id", F.col("score").cast("double").alias("score"), "rank"))
 
 
@@ -132,7 +132,7 @@ def h2(s: Shapes) -> DataFrame:
 
 @query("h2_product_search_fallback", f"SELECT query_id, id, {r('score')}, rank FROM ({search_sql('x_query', 10)})")
 def h2_fallback(s: Shapes) -> DataFrame:
-    return flat(S.product_search(keyword_queries(s), s.catalog(), 10).select("query_id", "id", "score", "rank"))
+    return flat(S.product_search(keyword_queries(s), s.catalog(), 10, s.postings()).select("query_id", "id", "score", "rank"))
 
 
 cte("x_req", """
@@ -194,7 +194,7 @@ def h5(s: Shapes) -> DataFrame:
     key = F.col("p_partkey").cast("string")
     asked = s.t("part").select(key.alias("request_id"), F.when(F.col("p_type") == "LARGE", key).alias("product_id"),
                                F.col("p_name").alias("product_name"))
-    return S.product_details(asked, s.catalog())
+    return S.product_details(asked, s.catalog(), s.postings())
 
 
 @query("h5_compare_products", f"""
@@ -204,7 +204,7 @@ SELECT compare_id, position, id FROM (
 JOIN ({search_sql('x_names', 1)}) ON query_id = name""")
 def h5_compare(s: Shapes) -> DataFrame:
     asked = s.t("part").groupBy(F.col("p_brand").alias("compare_id")).agg(F.array_sort(F.collect_set("p_name")).alias("names"))
-    return S.compare_products(asked, s.catalog())
+    return S.compare_products(asked, s.catalog(), s.postings())
 
 
 # ---- vectors ----
@@ -424,18 +424,43 @@ UNION ALL SELECT q.query_id, p.id, p.rank FROM x_hq q JOIN (
 
 @query("h3_hybrid_search", HYBRID)
 def h3(s: Shapes) -> DataFrame:
-    return H.hybrid_search(hybrid_queries(s), s.catalog(), s.categories(), s.vector_index(), THRESHOLD)
+    return H.hybrid_search(hybrid_queries(s), s.catalog(), s.categories(), s.vector_index(), THRESHOLD, s.postings())
 
 
 @query("h3b_browse_search", BROWSE)
 def h3b(s: Shapes) -> DataFrame:
-    return H.browse_search(hybrid_queries(s), s.catalog(), s.categories())
+    return H.browse_search(hybrid_queries(s), s.catalog(), s.categories(), s.postings())
+
+
+cte("x_bounded", """
+SELECT CAST(o_orderkey AS VARCHAR) AS query_id, p_brand AS brand, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice / 40 END AS min_price,
+  CASE WHEN o_custkey % 2 = 0 THEN o_totalprice / 10 END AS max_price, CASE WHEN o_custkey % 3 = 0 THEN (o_orderkey % 50) / 10.0 END AS min_rating
+FROM orders JOIN part ON p_partkey = 1 + o_orderkey % (SELECT count(*) FROM part)""")
+
+
+@query("h3_first_in_bounds", f"""
+SELECT q.query_id, p.id, row_number() OVER (PARTITION BY q.query_id ORDER BY p.price, p.id) AS rank
+FROM x_bounded q JOIN x_prod p ON p.brand = q.brand AND p.status = 'ACTIVE' AND {in_bounds('q', 'p')} QUALIFY rank <= 5""")
+def h3_bounded(s: Shapes) -> DataFrame:
+    """A request for each order: products of some brand around its price."""
+    n, c, total = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
+    part = s.t("part").select(F.col("p_partkey").alias("_part"), F.col("p_brand").alias("brand"))
+    asked = s.t("orders").withColumn("_part", n % part.agg(F.count("*")).scalar() + 1).join(part, "_part").select(
+        n.cast("string").alias("query_id"), "brand", F.when(n % 3 > 0, total / 40).alias("min_price"),
+        F.when(c % 2 == 0, total / 10).alias("max_price"), F.when(c % 3 == 0, (n % 50) / 10).alias("min_rating"))
+    return S.first_in_bounds(asked, K.active_products(s.products()), ["brand"], [F.col("price"), F.col("id")], 5)
+
+
+@query("h3b_browse_rating_first", BROWSE.replace("QUALIFY rank <= 10)\n  WHERE min_rating IS NULL OR rating >= min_rating", "QUALIFY rank <= 10)").replace(
+    "coalesce(q.max_price, 999999)\n", "coalesce(q.max_price, 999999) AND (q.min_rating IS NULL OR p.rating >= q.min_rating)\n"))
+def h3b_rating_first(s: Shapes) -> DataFrame:
+    return H.browse_search(hybrid_queries(s), s.catalog(), s.categories(), s.postings(), rating_first=True)
 
 
 def search_results(s: Shapes) -> DataFrame:
     """Keyword results of every product name, with category names."""
     asked = keyword_queries(s)
-    return H.hydrate(S.product_search(asked, s.catalog(), 20), s.catalog().select("id", "name", "category_name", "rating"))
+    return H.hydrate(S.product_search(asked, s.catalog(), 20, s.postings()), s.catalog().select("id", "name", "category_name", "rating"))
 
 
 @query("h6_rerank", f"""

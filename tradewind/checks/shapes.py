@@ -54,6 +54,12 @@ class Shapes:
             F.col("p_partkey").alias("line"),
             F.concat_ws(" >> ", F.lit("Catalog"), "p_type", F.element_at(F.split("p_name", " "), -1)).alias("path"))
 
+    @staged
+    def postings(self) -> DataFrame:
+        """The search terms of the catalogue, stored with it."""
+        from ..operators.search import postings
+        return postings(self.catalog())
+
     @staged
     def categories(self) -> DataFrame:
         return build_categories(self.category_paths())

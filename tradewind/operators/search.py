@@ -103,6 +103,63 @@ def full_text_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
+def _cells() -> list[Column]:
+    """Coarse and fine cells of price and rating: half and 1/64 of a doubling, whole and tenths of a star."""
+    price, rating = F.col("price"), F.col("rating")
+    doublings = F.log2(F.greatest(price, F.lit(0.5)) + 1)
+    coarse = lambda c, v: F.when(c.isNotNull(), F.floor(v)).otherwise(-1).cast("int")
+    return [coarse(price, doublings * 2).alias("_p"), coarse(rating, rating).alias("_r"),
+            (coarse(price, doublings * 64) * 1000 + coarse(rating, rating * 10)).alias("_f")]
+
+
+def first_in_bounds(queries: DataFrame, rows: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
+    """(query_id, id, rank): the first n rows, in the given order, of each query's group within its bounds.
+
+    Neither a popular group nor many requests for it multiply: rows fall into cells of price and rating, of which
+    the extremes are known. A cell that lies within a request's bounds offers its own first n rows, one outside
+    none. A cell on a border is looked at again in finer cells, and only fine cells on a border give all their rows,
+    in pieces of PIECE_ROWS. A request without bounds takes the first n of its group. Equal requests are one.
+    """
+    bounds = ["min_price", "max_price", "min_rating"]
+    numbers = [F.col(c).cast("double").alias(c) for c in ("price", "rating")]
+    rows = rows.select(*group, "id", *numbers).filter(" AND ".join(f"{g} IS NOT NULL" for g in group))
+    rows = materialise(rows.select("*", *_cells()), "bounded-rows")
+    coarse, fine = [*group, "_p", "_r"], [*group, "_p", "_r", "_f"]
+
+    def extremes(keys: list[str]) -> DataFrame:
+        return rows.groupBy(*keys).agg(
+            F.min("price").alias("_low"), F.max("price").alias("_high"), F.min("rating").alias("_worst"),
+            F.max("rating").alias("_best"), F.ceil(F.count("*") / PIECE_ROWS).cast("int").alias("_pieces"))
+
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    lo, hi, stars = (F.col(b) for b in bounds)
+    inside = ((lo.isNull() | holds(F.col("_low") >= lo)) & (hi.isNull() | holds(F.col("_high") <= hi))
+              & (stars.isNull() | holds(F.col("_worst") >= stars)))
+    meets = ((lo.isNull() | holds(F.col("_high") >= lo)) & (hi.isNull() | holds(F.col("_low") <= hi))
+             & (stars.isNull() | holds(F.col("_best") >= stars)))
+
+    def heads(asked: DataFrame, keys: list[str]) -> DataFrame:
+        first = top_k(rows, keys, order, n, "_head")
+        return asked.select("query_id", *keys).join(first.select(*keys, "id", "price", "rating"), keys)
+
+    def search(asked: DataFrame) -> DataFrame:
+        cols = ["query_id", "id", "price", "rating"]
+        free = lo.isNull() & hi.isNull() & stars.isNull()
+        hits = heads(asked.filter(free), group).select(*cols)
+        wide = asked.filter(~free).join(extremes(coarse), group).filter(meets)
+        hits = hits.unionByName(heads(wide.filter(inside), coarse).select(*cols))
+        near = wide.filter(~inside).select("query_id", *bounds, *coarse).join(extremes(fine), coarse).filter(meets)
+        hits = hits.unionByName(heads(near.filter(inside), fine).select(*cols))
+        border = near.filter(~inside).withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
+        dealt = rows.join(extremes(fine).select(*fine, "_pieces"), fine).withColumn(
+            "_piece", F.pmod(F.xxhash64("id"), F.col("_pieces")).cast("int")).drop("_pieces")
+        hits = hits.unionByName(border.select("query_id", *bounds, *fine, "_piece").join(dealt, [*fine, "_piece"]).filter(
+            within_bounds(F.col("price"), F.col("rating"))).select(*cols))
+        return top_k(hits, ["query_id"], order, n).select("query_id", "id", "rank")
+
+    return share_equal(queries.select("query_id", *group, *bounds), [*group, *bounds], search)
+
+
 def full_text_search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): best k products per query by field weight, ties by id."""
     return share_equal(queries, REQUEST, lambda distinct: _best_matches(distinct, index, k))
