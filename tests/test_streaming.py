@@ -56,6 +56,63 @@ def test_stream_in_batches_equals_one_batch_and_replays(spark, tmp_path):
     assert key(job.snapshot(spark)) == want
 
 
+def envelopes(events):
+    return envelope({t: from_wire(df) for t, df in events.items()})
+
+
+def test_a_batch_reads_the_newest_state_of_its_buckets_and_nothing_else(spark, tmp_path):
+    events = envelopes(make_events(spark, n=120))
+    job, seen, plain = ProfileStream(str(tmp_path / "state"), buckets=2), [], ProfileStream.stored
+
+    def stored(self, session, name, schema, at):
+        df = plain(self, session, name, schema, at)
+        seen.append(set() if df is None else {int(f.split("/batch=")[1].split("/")[0]) for f in df.inputFiles()})
+        return df
+
+    rows = events.collect()
+    for n in range(4):
+        del seen[:]
+        ProfileStream.stored = stored
+        try:
+            job.process(spark.createDataFrame(rows[n::4], events.schema), n)
+        finally:
+            ProfileStream.stored = plain
+        assert set().union(*seen) <= {n - 1}  # both buckets are touched by every batch
+    want = key(batch_profiles(make_events(spark, n=120)))
+    assert key(job.snapshot(spark)) == want
+    job.compact(spark)
+    assert key(job.snapshot(spark)) == want and job._batches(spark, "profiles") == []
+    job.process(spark.createDataFrame(rows[:1], events.schema), 4)  # the state goes on after compaction
+    assert {r.user_id for r in job.snapshot(spark).collect()} == {r[0] for r in want}
+
+
+def test_life_spans_end_between_batches(spark, tmp_path):
+    events = make_events(spark, n=150)
+    rows = envelopes(events).collect()
+    import json
+    stamp = lambda r: json.loads(r.body)["timestamp"].replace("T", " ").replace("Z", "")[:19]
+    rows = sorted(rows, key=stamp)  # batches in the order of time
+    job = ProfileStream(str(tmp_path / "state"), ttl_seconds=3600, buckets=2)
+    for n in range(3):
+        job.process(spark.createDataFrame(rows[50 * n:50 * n + 50], "topic string, user_id string, body string"), n)
+    from tradewind.operators.events import timed_ai_events, timed_events
+    from tradewind.operators.ranking import expire_idle
+    from tradewind.operators import activity as A
+    from tradewind.operators.events import flatten_order_items
+    from tradewind.operators.profiles import build_user_profiles
+    e = {t: from_wire(df) for t, df in events.items()}
+    session = ["user_id", "session_id"]
+    live = lambda t, keys, timed=timed_events: expire_idle(timed(e[t]), keys, 3600)
+    want = build_user_profiles(
+        A.product_activity(live("product-views", session)), A.cart_activity(live("cart-events", session)),
+        A.session_activity(live("user-events", session)), A.ai_activity(live("ai-events", ["user_id"], timed_ai_events)),
+        A.order_activity(flatten_order_items(live("order-events", ["user_id"]))), 3600)
+    everything = key(batch_profiles(events))
+    assert key(want) != everything
+    got = {r[:2]: r for r in key(job.snapshot(spark))}
+    assert got == {r[:2]: r for r in key(want)}
+
+
 def test_wire_names_survive_a_round_trip(spark, tmp_path):
     orders = make_events(spark)["order-events"]
     path = str(tmp_path / "orders")

@@ -21,13 +21,20 @@ def _collect(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.transform(pairs, lambda x: x["_v"]).alias(out))
 
 
+def first_rows(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], n: int | None,
+               keep: str = "first") -> DataFrame:
+    """(keys, order, value): the first (or last) n rows per group with a value, in event order; None: all of them."""
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, *order, value)
+    if n is None:
+        return rows
+    w = W.partitionBy(*keys).orderBy(*_ordering([*order, value], keep == "last"))
+    return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
 def first_values(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], n: int | None,
                  out: str, keep: str = "first") -> DataFrame:
     """The first (or last) n non-null values per group in event order, repeats kept; None: all of them."""
-    w = W.partitionBy(*keys).orderBy(*_ordering(order, keep == "last"))
-    limited = df.filter(F.col(value).isNotNull()).select(*keys, *order, F.col(value).alias("_v"))
-    if n is not None:
-        limited = limited.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+    limited = first_rows(df, keys, value, order, n, keep).withColumnRenamed(value, "_v")
     return _collect(limited.withColumn("_o", F.struct(*order)), keys, out)
 
 
