@@ -43,3 +43,11 @@ def test_newest_rows_need_no_sorted_aggregate(spark):
     text = plan(R.latest_by_key(df, ["k"], ["t"]))
     assert "SortAggregate" not in text and text.index("Exchange hashpartitioning") < text.index(", Partial")
     assert {(r.k, r.t) for r in R.latest_by_key(df, ["k"], ["t"]).collect()} == {(0, 99), (1, 97), (2, 98)}
+
+
+def test_folding_profiles_sorts_no_wide_aggregate(spark):
+    from tradewind.operators.profiles import fold_profiles
+    from tradewind.schemas import PROFILE
+
+    text = plan(fold_profiles(spark.createDataFrame([], PROFILE), ["session_id"]))
+    assert "SortAggregate" not in text and "WindowGroupLimit" in text

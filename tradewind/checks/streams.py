@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import time
 
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators.events import minute_activity, timed_events
-
 from ..schemas import PROFILE, TOPICS
 from ..session import fresh_path
 from ..sources.topics import read_events
@@ -17,8 +17,6 @@ from .registry import flat, query, r
 from .shapes import Shapes
 
 
-
-
 def topic_folder(s: Shapes, topic: str, files: int = 3) -> str:
     """A topic landed as a few files, so that a stream reads it in several batches."""
     path = fresh_path(s.spark, topic)
@@ -26,9 +24,12 @@ def topic_folder(s: Shapes, topic: str, files: int = 3) -> str:
     return path
 
 
-def run_to_table(df: DataFrame, s: Shapes, mode: str, keys: list[str]) -> DataFrame:
-    """Run a stream over what is there, keep every emitted row with its batch, read the newest per key."""
-    out, state = fresh_path(s.spark, "stream-out"), fresh_path(s.spark, "stream-state")
+def run_to_table(df: DataFrame, s: Shapes, mode: str, keys: list[str], places: tuple[str, str] | None = None) -> DataFrame:
+    """Run a stream over what is there, keep every emitted row with its batch, read the newest per key.
+
+    `places` are the folders of the output and the checkpoint, if a run goes on with those of an earlier one.
+    """
+    out, state = places or (fresh_path(s.spark, "stream-out"), fresh_path(s.spark, "stream-state"))
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/b={number}")
@@ -73,19 +74,40 @@ def st3(s: Shapes) -> DataFrame:
         return flat(run_to_table(totals, s, "update", ["user_id", "session_id"]))
 
 
-@query("st4_merge_into_cache", _merge_sql("b"))
+SECOND = "right(event_id, 1) IN ('0', '1', '2')"
+
+
+@query("st3_stream_views_expired", f"""
+SELECT user_id, session_id, count(*) AS total_product_views, {r('coalesce(avg(price), 0)', 'avg_product_price')}, coalesce(max(price), 0.0) AS max_viewed_price
+FROM x_views v WHERE {SECOND} OR NOT EXISTS (
+  SELECT 1 FROM x_views w WHERE w.user_id = v.user_id AND w.session_id = v.session_id AND {SECOND.replace('event_id', 'w.event_id')})
+GROUP BY ALL""")
+def st3_expired(s: Shapes) -> DataFrame:
+    """Two runs over one state, further apart than its time to live: keys seen again start anew."""
+    path, places = fresh_path(s.spark, "product-views"), (fresh_path(s.spark, "stream-out"), fresh_path(s.spark, "stream-state"))
+    wire = s.wire("product-views")
+    second = F.substring("eventId", -1, 1).isin("0", "1", "2")
+    for part in (wire.filter(~second), wire.filter(second)):
+        part.write.mode("append").parquet(path)
+        stream = read_events(s.spark, "product-views", path, streaming=True)
+        with aggregates.stateful_settings(s.spark):
+            rows = run_to_table(aggregates.running_views(timed_events(stream), ttl_seconds=2), s, "update",
+                                ["user_id", "session_id"], places)
+        time.sleep(3)
+    return flat(rows)
+
+
+FILLED_AT, MERGED_AT = "2024-01-31 00:00:00", "2024-02-01 00:00:00"
+
+
+@query("st4_merge_into_cache", f"""
+SELECT * REPLACE (CASE WHEN user_id IN (SELECT user_id FROM x_prof WHERE session_id LIKE '%-b') THEN '{MERGED_AT}' ELSE '{FILLED_AT}' END
+  AS last_updated) FROM ({_merge_sql("b")})""")
 def st4(s: Shapes) -> DataFrame:
     """First sessions fill the cache, second sessions are merged into it while it is live."""
-    p, as_of = profiles_staged(s), "2024-02-01 00:00:00"
-    month = 60 * 86400
-    cache = merge_into_cache(None, p.filter(F.col("session_id").endswith("-a")), as_of, month)
-    cache = cache.join(p.filter(F.col("session_id").endswith("-a")).select("user_id", F.col("last_updated").alias("_at")),
-                       "user_id").withColumn("last_updated", F.col("_at")).drop("_at")
-    merged = merge_into_cache(cache, p.filter(F.col("session_id").endswith("-b")), as_of, month)
-    # Users with a single row keep the time of that row in the SQL.
-    single = p.groupBy("user_id").agg(F.count("*").alias("_n"), F.max("last_updated").alias("_at"))
-    merged = merged.join(single, "user_id").withColumn(
-        "last_updated", F.when(F.col("_n") == 1, F.col("_at")).otherwise(F.col("last_updated"))).drop("_n", "_at")
+    p, month = profiles_staged(s), 60 * 86400
+    cache = merge_into_cache(None, p.filter(F.col("session_id").endswith("-a")), FILLED_AT, month)
+    merged = merge_into_cache(cache, p.filter(F.col("session_id").endswith("-b")), MERGED_AT, month)
     return flat(merged, *[f.name for f in PROFILE])
 
 

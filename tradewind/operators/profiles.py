@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.arrays import default_blank, latest_time_text, merge_lists, not_blank
 from ..schemas import PROFILE
+from .ranking import top_k
 
 # ---- fixed values -------------------------------------------------------------------------
 BUDGET_BELOW, MID_RANGE_BELOW = 500, 2000
@@ -133,44 +134,43 @@ def merge_profiles(existing: DataFrame, incoming: DataFrame, as_of: str) -> Data
 def fold_profiles(history: DataFrame, order: list[str], as_of: str | None = None) -> DataFrame:
     """Replay `merge_profiles` over all profile rows of each user, in the given order.
 
-    The step-by-step merge is expressed as aggregates that combine map-side: a merged
-    list is the first `cap` distinct non-blank values reading the rows newest first, and
-    each scalar is the newest row passing its rule. A user with one row keeps it as is.
+    The step-by-step merge is expressed by rows that a user keeps: the newest and the oldest one as they are, for every
+    column with a rule the newest value that passes it, and of a merged list the first `cap` distinct non-blank
+    values reading the rows newest first. Each is a first row per group, which Spark cuts before the shuffle.
+    A user with one row keeps it as is.
     """
-    stamp = F.struct(*order)
-    rows = history.withColumn("_t", stamp)
-
-    def newest(c: str, cond: Column | None = None) -> Column:
-        pair = F.struct("_t", F.col(c).alias("v"))
-        return F.max(pair if cond is None else F.when(cond, pair))["v"]
-
-    def oldest(c: str) -> Column:
-        return F.min(F.struct("_t", F.col(c).alias("v")))["v"]
-
-    aggs = [F.count("*").alias("_rows")]
-    for f in PROFILE:
-        c = f.name
-        if c == "user_id":
-            continue
-        if c in LIST_CAPS:
-            aggs.append(newest(c).alias(f"_raw_{c}"))
-        elif c in POSITIVE_COUNT:
-            raw = newest(c)
-            aggs.append(F.when(F.count("*") == 1, raw)
-                        .otherwise(F.coalesce(newest(c, F.col(c) > 0), F.lit(0))).alias(c))
-        elif c in POSITIVE_AMOUNT:
-            aggs.append(F.coalesce(newest(c, F.col(c) > 0), oldest(c)).alias(c))
-        elif c in MEANINGFUL:
-            ok = F.col(c).isNotNull()
-            if MEANINGFUL[c]:
-                ok = ok & (F.col(c) != MEANINGFUL[c])
-            aggs.append(F.coalesce(newest(c, ok), oldest(c)).alias(c))
-        elif c == "ai_max_budget":
-            aggs.append(F.when(F.count("*") == 1, newest(c))
-                        .otherwise(F.greatest(F.coalesce(F.max(c), F.lit(0.0)), F.lit(0.0))).alias(c))
-        else:
-            aggs.append(newest(c).alias(c))
-    scalars = rows.groupBy("user_id").agg(*aggs)
+    rows = history.withColumn("_t", F.struct(*order))
+    latest_first, earliest_first = [F.col("_t").desc()], [F.col("_t").asc()]
+    count = rows.groupBy("user_id").agg(F.count("*").alias("_rows"), F.max("ai_max_budget").alias("_budget"))
+    newest = top_k(rows, ["user_id"], latest_first, 1, "_first").select(
+        "user_id", *[F.col(f.name).alias(f"_new_{f.name}") for f in PROFILE if f.name != "user_id"])
+    oldest = top_k(rows, ["user_id"], earliest_first, 1, "_first").select(
+        "user_id", *[F.col(c).alias(f"_old_{c}") for c in (*POSITIVE_AMOUNT, *MEANINGFUL)])
+
+    def passes(c: str) -> Column:
+        if c not in MEANINGFUL:
+            return F.col(c) > 0
+        ok = F.col(c).isNotNull()
+        return ok & (F.col(c) != MEANINGFUL[c]) if MEANINGFUL[c] else ok
+
+    # Values of all columns with a rule, as text; numbers come back from it unchanged.
+    ruled = F.array_compact(F.array(*[
+        F.when(passes(c), F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")))
+        for c in (*POSITIVE_COUNT, *POSITIVE_AMOUNT, *MEANINGFUL)]))
+    kept = top_k(rows.select("user_id", "_t", F.inline(ruled)), ["user_id", "kind"], latest_first, 1, "_first")
+    kept = kept.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("kind", "value"))).alias("_kept"))
+    scalars = count.join(newest, "user_id").join(oldest, "user_id").join(kept, "user_id", "left")
+    types = {f.name: f.dataType for f in PROFILE}
+
+    def scalar(c: str) -> Column:
+        new, found = F.col(f"_new_{c}"), F.col("_kept").getItem(c).cast(types[c])
+        if c in POSITIVE_COUNT:
+            return F.when(F.col("_rows") == 1, new).otherwise(F.coalesce(found, F.lit(0)))
+        if c in POSITIVE_AMOUNT or c in MEANINGFUL:
+            return F.coalesce(found, F.col(f"_old_{c}"))
+        if c == "ai_max_budget":
+            return F.when(F.col("_rows") == 1, new).otherwise(F.greatest(F.coalesce("_budget", F.lit(0.0)), F.lit(0.0)))
+        return new
 
     # All seven lists in one pass: (user, list, value) with the newest row and lowest position it appears at.
     lists = F.array(*[F.struct(F.lit(c).alias("kind"), F.lit(cap).alias("cap"), F.col(c).alias("vals"))
@@ -179,14 +179,10 @@ def fold_profiles(history: DataFrame, order: list[str], as_of: str | None = None
         rows.select("user_id", "_t", F.explode(lists).alias("l"))
         .select("user_id", "_t", "l.kind", "l.cap", F.posexplode("l.vals").alias("pos", "value"))
         .filter(not_blank(F.col("value")))
-        .groupBy("user_id", "kind", "cap", "value")
-        .agg(F.max(F.struct("_t", (-F.col("pos")).alias("near"))).alias("_at"))
-    )
-    w = W.partitionBy("user_id", "kind").orderBy(F.col("_at").desc())
-    capped = (
-        elements.withColumn("_rn", F.row_number().over(w))
-        .filter(F.col("_rn") <= max(LIST_CAPS.values())).filter(F.col("_rn") <= F.col("cap"))
     )
+    nearest = [F.col("_t").desc(), F.col("pos").asc()]
+    elements = top_k(elements, ["user_id", "kind", "value"], nearest, 1, "_first")
+    capped = top_k(elements, ["user_id", "kind"], nearest, max(LIST_CAPS.values()), "_rn").filter(F.col("_rn") <= F.col("cap"))
     merged = capped.groupBy("user_id").agg(*[
         F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == c, F.struct("_rn", "value")))),
                     lambda x: x["value"]).alias(f"_list_{c}")
@@ -197,11 +193,11 @@ def fold_profiles(history: DataFrame, order: list[str], as_of: str | None = None
     for f in PROFILE:
         c = f.name
         if c in LIST_CAPS:
-            col = F.when(F.col("_rows") == 1, F.col(f"_raw_{c}")).otherwise(F.coalesce(F.col(f"_list_{c}"), empty))
+            col = F.when(F.col("_rows") == 1, F.col(f"_new_{c}")).otherwise(F.coalesce(F.col(f"_list_{c}"), empty))
         elif c == "last_updated" and as_of is not None:
-            col = F.when(F.col("_rows") == 1, F.col(c)).otherwise(F.lit(as_of))
+            col = F.when(F.col("_rows") == 1, F.col("_new_last_updated")).otherwise(F.lit(as_of))
         else:
-            col = F.col(c)
+            col = F.col(c) if c == "user_id" else scalar(c)
         out.append(col.cast(f.dataType).alias(c))
     return both.select(*out)
 

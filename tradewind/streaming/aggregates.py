@@ -43,7 +43,7 @@ def stateful_settings(spark: SparkSession):
 class ViewCounter(StatefulProcessor):
     """Running view totals per (user, session), forgotten after `ttl_ms` without an update."""
 
-    SCHEMA = "views long, price_sum double, max_price double"
+    SCHEMA = "views long, prices long, price_sum double, max_price double"
     OUTPUT = "user_id string, session_id string, total_product_views long, avg_product_price double, max_viewed_price double"
 
     def __init__(self, ttl_ms: int):
@@ -53,15 +53,17 @@ class ViewCounter(StatefulProcessor):
         self.totals = handle.getValueState("totals", self.SCHEMA, ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        views, price_sum, max_price = self.totals.get() if self.totals.exists() else (0, 0.0, 0.0)
+        views, prices, price_sum, max_price = self.totals.get() if self.totals.exists() else (0, 0, 0.0, 0.0)
         for batch in rows:
+            given = batch["price"].dropna()  # a view without a price counts as a view, not in the mean
             views += len(batch)
-            price_sum += float(batch["price"].sum())
-            max_price = max(max_price, float(batch["price"].max()))
-        self.totals.update((views, price_sum, max_price))
+            prices += len(given)
+            price_sum += float(given.sum())
+            max_price = max(max_price, float(given.max())) if len(given) else max_price
+        self.totals.update((views, prices, price_sum, max_price))
         yield pd.DataFrame({
             "user_id": [key[0]], "session_id": [key[1]], "total_product_views": [views],
-            "avg_product_price": [price_sum / views], "max_viewed_price": [max_price]})
+            "avg_product_price": [price_sum / prices if prices else 0.0], "max_viewed_price": [max_price]})
 
     def close(self) -> None:
         pass
