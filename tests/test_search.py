@@ -127,3 +127,60 @@ def test_mode_of_category_and_event(spark, products):
     assert events["phone"].category == "Smartphones" and events["phone"].returned_product_ids == ["5", "1", "2"]
     assert events["nothing at all"].category == "" and events["nothing at all"].results_count == 0
     assert events["phone"].user_id == "anonymous" and events["phone"].timestamp == "2024-01-01T00:00:00Z"
+
+
+def test_first_in_bounds_against_sorting_everything(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    some = lambda *values: rng.choice([None, *values])
+    rows = [(f"{i:03}", rng.choice(["hot"] * 5 + ["b", None]), some(*[rng.choice([5.0, 20.0, 20.0, rng.uniform(0, 90)]) for _ in range(6)]),
+             some(*[rng.randrange(51) / 10 for _ in range(6)])) for i in range(400)]
+    asked_rows = []
+    for i in range(120):
+        low, high = sorted((rng.uniform(0, 60), rng.uniform(0, 60)))
+        asked_rows.append((str(i), rng.choice(["hot", "b", "c"]), some(low, 20.0 if high >= 20 else low), some(max(high, 20.0)),
+                           some(rng.randrange(51) / 10)))
+    monkeypatch.setattr(S, "PIECE_ROWS", 3)
+    products = spark.createDataFrame(rows, "id string, g string, price double, rating double")
+    queries = spark.createDataFrame(asked_rows, "query_id string, g string, min_price double, max_price double, min_rating double")
+    got = {}
+    for r in S.first_in_bounds(queries, products, ["g"], [F.col("price"), F.col("id")], 6).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id))
+    want = {}
+    for q, g, low, high, stars in asked_rows:
+        fits = [(-1 if p is None else p, i) for i, h, p, s in rows if h == g and (low is None or p is not None and p >= low)
+                and (high is None or p is not None and p <= high) and (stars is None or s is not None and s >= stars)]
+        if fits:
+            want[q] = [i for _, i in sorted(fits)[:6]]
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == want
+
+
+def test_bounds_do_not_join_requests_with_whole_groups(spark):
+    """Rows that leave the joins of one hot group grow with the requests alone, not with requests times products."""
+    from pyspark.sql import functions as F
+
+    def joined_rows(n):
+        products = spark.range(n).selectExpr("cast(id AS string) id", "'hot' AS g", "id % 5000 / 7.0 AS price", "id % 50 / 10.0 AS rating")
+        queries = spark.range(200).selectExpr("cast(id AS string) query_id", "'hot' AS g", "50.0 + id AS min_price",
+                                              "500.0 - id AS max_price", "cast(null AS double) min_rating")
+        df = S.first_in_bounds(queries, products, ["g"], [F.col("price"), F.col("id")], 5)
+        df.collect()
+        plan, total = df._jdf.queryExecution().executedPlan(), 0
+        stack = [plan]
+        while stack:
+            node = stack.pop()
+            name = node.nodeName()
+            if "AdaptiveSparkPlan" in name:
+                stack.append(node.executedPlan())
+                continue
+            if "QueryStage" in name:
+                stack.append(node.plan())
+                continue
+            if "Join" in name and node.metrics().contains("numOutputRows"):
+                total += node.metrics().apply("numOutputRows").value()
+            stack += [node.children().apply(i) for i in range(node.children().size())]
+        return total
+
+    few, many = joined_rows(5_000), joined_rows(50_000)
+    assert few > 0 and many < 3 * few + 50_000  # each product is dealt to its piece once

@@ -180,12 +180,12 @@ def j4(s: Shapes) -> DataFrame:
 
 
 @query("j4_products_by_category", f"""
-SELECT p.id, {r('coalesce(rating, -1)', 'rating')}, row_number() OVER (ORDER BY rating DESC NULLS LAST, p.id) AS place
+SELECT p.id, {r('coalesce(rating, -1)', 'rating')}, row_number() OVER (PARTITION BY rating ORDER BY p.id) AS place
 FROM x_prod p JOIN x_cat c ON c.id = p.category_id WHERE {ACTIVE} AND starts_with(c.path, 'Catalog >> LARGE')""")
 def j4_products(s: Shapes) -> DataFrame:
     from pyspark.sql import Window as W
     df = K.products_by_category(s.products(), s.categories(), md5("Catalog >> LARGE"))
-    place = F.row_number().over(W.orderBy(F.col("rating").desc_nulls_last(), "id"))
+    place = F.row_number().over(W.partitionBy("rating").orderBy("id"))
     return flat(df.select("id", F.coalesce(F.col("rating").cast("double"), F.lit(-1.0)).alias("rating"), place.alias("place")))
 
 
@@ -278,11 +278,11 @@ def l1_info(s: Shapes) -> DataFrame:
 
 
 @query("l2_sort_nulls_last", f"""
-SELECT id, row_number() OVER (ORDER BY rating DESC NULLS LAST, id) AS place FROM x_prod WHERE {ACTIVE} AND featured""")
+SELECT id, row_number() OVER (PARTITION BY category_id ORDER BY rating DESC NULLS LAST, id) AS place FROM x_prod WHERE {ACTIVE} AND featured""")
 def l2(s: Shapes) -> DataFrame:
     from pyspark.sql import Window as W
-    return K.featured_products(s.products()).select(
-        "id", F.row_number().over(W.orderBy(F.col("rating").desc_nulls_last(), "id")).alias("place"))
+    return K.featured_products(s.products()).select("id", F.row_number().over(
+        W.partitionBy("category_id").orderBy(F.col("rating").desc_nulls_last(), "id")).alias("place"))
 
 
 @query("l3_budget_order", """

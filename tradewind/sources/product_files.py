@@ -13,16 +13,21 @@ from ..schemas import PRODUCT_FILE
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value): lines numbered from 0 over all files in name order, without a global sort.
 
-    Lines of a file split are read by one task in order. Splits are counted (one small row
-    each), their starts added up, and every line takes its place within its split.
+    Lines of a file split are read by one task in order. Splits are counted (one small row each), and starts are
+    added up, of splits within their file and of files in the order of names; only the latter is one window, of a
+    row per file. Every line takes its place within its split.
     """
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
         F.monotonically_increasing_id().alias("_id"))
     splits = lines.groupBy("_file", "_at").agg(F.count("*").alias("_n"), F.min("_id").alias("_low"))
-    before = W.orderBy("_file", "_at").rowsBetween(W.unboundedPreceding, -1)
-    splits = splits.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return lines.join(splits.select("_file", "_at", "_low", "_start"), ["_file", "_at"]).select(
+    of_file = W.partitionBy("_file").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    of_all = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
+    files = splits.groupBy("_file").agg(F.sum("_n").alias("_lines")).withColumn(
+        "_before", F.coalesce(F.sum("_lines").over(of_all), F.lit(0)))
+    splits = splits.withColumn("_within", F.coalesce(F.sum("_n").over(of_file), F.lit(0))).join(files, "_file")
+    starts = splits.select("_file", "_at", "_low", (F.col("_before") + F.col("_within")).alias("_start"))
+    return lines.join(starts, ["_file", "_at"]).select(
         (F.col("_start") + F.col("_id") - F.col("_low")).alias("line_no"), "value")
 
 
