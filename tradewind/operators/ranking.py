@@ -53,10 +53,11 @@ def ordered_union(sources: Sequence[DataFrame], keys: Sequence[str], rank: str =
     for i, src in enumerate(sources):
         part = src.withColumn("source", F.lit(i))
         tagged = part if tagged is None else tagged.unionByName(part)
-    firsts = tagged.groupBy(*keys).agg(F.min(F.struct("source", rank)).alias("_at"))
-    w = W.partitionBy(*keys[:-1]).orderBy("source", rank, keys[-1])
-    return (firsts.select(*keys, "_at.source", F.col(f"_at.{rank}").alias(rank))
-            .withColumn(rank, F.row_number().over(w)))
+    # Source and rank as one number, so that the aggregation hashes; ranks stay below 2^40.
+    place = F.shiftleft(F.col("source").cast("bigint"), 40) + F.col(rank)
+    firsts = tagged.groupBy(*keys).agg(F.min(place).alias("_at"))
+    w = W.partitionBy(*keys[:-1]).orderBy("_at", keys[-1])
+    return firsts.select(*keys, F.shiftright("_at", 40).cast("int").alias("source"), F.row_number().over(w).alias(rank))
 
 
 def best_score_union(sources: Sequence[DataFrame], keys: Sequence[str], score: str = "score") -> DataFrame:
