@@ -51,3 +51,15 @@ def test_folding_profiles_sorts_no_wide_aggregate(spark):
 
     text = plan(fold_profiles(spark.createDataFrame([], PROFILE), ["session_id"]))
     assert "SortAggregate" not in text and "WindowGroupLimit" in text
+
+
+def test_scratch_tables_go_with_their_owner(spark):
+    import os
+
+    from tradewind.session import materialise, scratch
+
+    with scratch(spark):
+        df = materialise(spark.range(3), "owned")
+        files = [f.removeprefix("file:").replace("//", "/") for f in df.inputFiles()]
+        assert all(os.path.exists(f) for f in files) and df.count() == 3
+    assert files and not any(os.path.exists(f) for f in files)
