@@ -4,12 +4,6 @@ import pytest
 from pyspark.sql import types as T
 
 
-@pytest.fixture(autouse=True)
-def shared_folder(spark, tmp_path_factory):
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-
-
 @pytest.fixture
 def make(spark):
     """documents of (doc_id, text) pairs, with a source and columns whose names clash with the operators' own."""
