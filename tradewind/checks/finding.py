@@ -245,7 +245,7 @@ def v1_allow(s: Shapes) -> DataFrame:
 
 @query("v1b_approximate_search")
 def v1b(s: Shapes) -> DataFrame:
-    return flat(V.vector_search(s.vector_queries(), s.vector_index(), 10, THRESHOLD, share=V.LEAF_SHARE))
+    return flat(V.vector_search(s.vector_queries(), s.vector_index(), 10, THRESHOLD, share=V.LEAF_SHARE, leaves=20))
 
 
 @query("v1b_recall", f"""
@@ -254,7 +254,7 @@ def v1b_recall(s: Shapes) -> DataFrame:
     """Matches of the exact search, and whether three quarters of the leaves find nine tenths of them."""
     keys = ["query_id", "id"]
     exact = V.vector_search(s.vector_queries(), s.vector_index(), 10, THRESHOLD).select(*keys)
-    near = V.vector_search(s.vector_queries(), s.vector_index(), 10, THRESHOLD, share=0.75).select(
+    near = V.vector_search(s.vector_queries(), s.vector_index(), 10, THRESHOLD, share=0.75, leaves=20).select(
         *keys, F.lit(1).alias("hit")).distinct()
     both = exact.join(near, keys, "left").agg(F.count("*").alias("exact"), F.count("hit").alias("_hits"))
     return both.select("exact", (F.col("_hits") >= 0.9 * F.col("exact")).cast("int").alias("enough"))
