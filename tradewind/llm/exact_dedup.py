@@ -35,7 +35,7 @@ def _runs(batches):
             names=["doc_id", "n_chars", "text_sha256", "first"])
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 16) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_chars.
 
     Texts are equal if they are equal without ASCII white space. Of equal texts the row with the most
