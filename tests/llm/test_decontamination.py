@@ -1,9 +1,10 @@
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
 
-from tradewind.llm.decontamination import contaminated_documents, decontaminate, masks_of, seed_hashes
+from tradewind.llm.decontamination import MASKS, contaminated_documents, decontaminate, masks_for, masks_of, seed_hashes
 
 
 def tokens(text):
@@ -80,3 +81,27 @@ def test_only_contaminated_documents_go(make, bench):
         (0, "clean"), (1, "clean"), (2, ""), (3, "clean"), (3, "clean")]
     assert decontaminate(docs, bench([])).count() == 7
     assert contaminated_documents(make([]), bench([(5, item)])).collect() == []
+
+
+@pytest.mark.parametrize("n", range(5, 21))
+def test_every_allowed_substitution_leaves_a_mask_whole(n):
+    ones = [sum(1 << at + i for i, c in enumerate(m) if c == "1") for m in masks_for(n) for at in range(n - len(m) + 1)]
+    for changed in (c for k in range(n // 5 + 1) for c in combinations(range(n), k)):
+        bits = sum(1 << i for i in changed)
+        assert any(not mask & bits for mask in ones), changed
+
+
+def test_short_items_with_substitutions(make, bench):
+    """Every pattern of lengths 5 to 12, and of 15 to 17 those that the fixed masks alone would lose."""
+    items, rows = [], []
+    for n in (*range(5, 13), 15, 16, 17):
+        item = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for changed in combinations(range(n), n // 5):
+            lost = [m for m in MASKS for at in range(n - len(m) + 1) if not any(
+                0 <= c - at < len(m) and m[c - at] == "1" for c in changed)]
+            if n < 13 or not lost:
+                text = ["other" if k in changed else w for k, w in enumerate(item)]
+                rows.append((len(rows), " ".join(["some", "words", *text, "and", "more"])))
+    got = {r.doc_id: r.item_ids for r in contaminated_documents(make(rows), bench(items)).collect()}
+    assert got == brute(rows, items) and len(got) == len(rows) > 200

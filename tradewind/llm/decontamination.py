@@ -10,7 +10,13 @@ from .common import NO_ID, id_and_text, slices
 #: 1 is a token that must agree, 0 one that may differ. The masks differ in rhythm, so that a
 #: substitution that breaks one of them at every place leaves another whole.
 MASKS = ("1111011", "110110111", "1011100111", "11101011")
+#: By the tokens of an item (or window) under 20, what the masks above need so that every choice of up to a fifth of the
+#: tokens, substituted, leaves one mask whole at some place. Lengths that are not listed need nothing.
+SHORT_MASKS = {5: ("1111", "10111", "11011", "11101"), 6: ("1111", "11011"), 7: ("11111", "110111"),
+               8: ("111111", "11011111"), 10: ("11111", "1100111"),
+               **dict.fromkeys((11, 12, 15, 16, 17), ("11000010111",))}
 LEAST = 5  # tokens of the shortest item that is looked for
+WINDOW = 20  # tokens from which the fixed masks find every window alone
 CACHED_WORDS = 1_000_000
 
 
@@ -47,10 +53,17 @@ def seed_hashes(tokens, mask: str):
     return out * np.uint64(factor)
 
 
-def masks_of(lengths: list[int]) -> list[str]:
-    """The fixed masks, and a whole one for each length of items that are too short for one of them."""
+def masks_for(n: int) -> list[str]:
+    """The masks that seed an item, or a window, of n tokens."""
     longest = max(map(len, MASKS))
-    return [*MASKS, *["1" * n for n in sorted(set(lengths)) if LEAST <= n < longest]]
+    whole = ["1" * n] if LEAST <= n < longest else []
+    return [*[m for m in MASKS if len(m) <= n], *SHORT_MASKS.get(n, ()), *whole]
+
+
+def masks_of(lengths: list[int]) -> list[str]:
+    """The fixed masks, those that items of these lengths need besides, and whole ones for the shortest items."""
+    own = [m for n in sorted(set(lengths)) for m in masks_for(n) if m not in MASKS]
+    return [*MASKS, *dict.fromkeys(sorted(own, key=lambda m: "0" not in m and len(m) in lengths))]
 
 
 def _item_tokens(batches):
@@ -64,7 +77,7 @@ def _item_tokens(batches):
                                          names=["item", "tokens"])
 
 
-def _item_seeds(masks: list[str]):
+def _item_seeds(window: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -72,9 +85,7 @@ def _item_seeds(masks: list[str]):
         for batch in slices(batches):
             for item, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = np.array(tokens, np.int64).view(np.uint64)
-                for mask in masks:
-                    if len(mask) > len(tokens) or "0" not in mask and len(mask) != len(tokens):
-                        continue
+                for mask in masks_for(min(window, len(tokens))):
                     seeds = seed_hashes(tokens, mask)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(seeds.view(np.int64)), pa.array(np.full(len(seeds), item)),
@@ -162,7 +173,8 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, similarity: fl
 
     A document is contaminated by an item if, laid over each other at some offset, a window of `window` tokens of the
     item (all of it if it is shorter) agrees in `similarity` of its tokens or more, position by position: tokens may
-    be substituted, not inserted. Tokens are the words between white space, lower-cased, without punctuation.
+    be substituted, not inserted. All such windows of up to 20 tokens are found at a similarity of 0.8 or more; with
+    other values the masks may pass some by. Tokens are the words between white space, lower-cased, without punctuation.
 
     Spaced-seed hashing: fixed masks ignore chosen token positions, and the masked hashes of both sides are joined. A
     filter of 2^filter_bits bits over the benchmark's hashes, of that size whatever the benchmark holds, goes to the
@@ -181,10 +193,10 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, similarity: fl
     items = items.where("item is not null").mapInArrow(_item_tokens, "item long, tokens array<long>").where(
         F.size("tokens") >= LEAST).groupBy("tokens").agg(F.min("item").alias("item")).select("item", "tokens")
     items = materialise(items, "items")
-    lengths = [r[0] for r in items.where(F.size("tokens") < max(map(len, MASKS))).select(
+    lengths = [r[0] for r in items.where(F.size("tokens") < WINDOW).select(
         F.size("tokens")).distinct().collect()]  # a handful of small numbers
-    masks = masks_of(lengths)
-    seeds = materialise(items.mapInArrow(_item_seeds(masks), "seed long, item long, at long"), "item-seeds")
+    masks = masks_of([min(window, n) for n in [*lengths, WINDOW]])
+    seeds = materialise(items.mapInArrow(_item_seeds(window), "seed long, item long, at long"), "item-seeds")
     bit = lambda shift: F.shiftrightunsigned("seed", shift).bitwiseAND(F.lit(2 ** filter_bits - 1))
     lit_bits = seeds.select(F.explode(F.array(bit(64 - filter_bits), bit(64 - 2 * filter_bits))).alias("bit"))
     filled = lit_bits.select(F.shiftright("bit", 6).alias("word"), F.expr(
