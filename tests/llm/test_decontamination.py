@@ -105,3 +105,12 @@ def test_short_items_with_substitutions(make, bench):
                 rows.append((len(rows), " ".join(["some", "words", *text, "and", "more"])))
     got = {r.doc_id: r.item_ids for r in contaminated_documents(make(rows), bench(items)).collect()}
     assert got == brute(rows, items) and len(got) == len(rows) > 200
+
+
+def test_items_without_an_id_are_items(make, bench):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = make([(1, a), (2, f"{a} {b} {c}"), (3, c), (4, "clean")])
+    items = bench([(None, a), (None, b), (7, c), (None, c)])
+    got = {r.doc_id: (r.item_ids, r.n_items) for r in contaminated_documents(docs, items).collect()}
+    assert got == {1: ([None], 1), 2: ([7, None, None], 3), 3: ([7], 1)}
+    assert [r.doc_id for r in decontaminate(docs, items).collect()] == [4]

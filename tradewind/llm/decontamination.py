@@ -160,8 +160,8 @@ def _verify(window: int, similarity: float):
                 sums = np.concatenate([[0], np.cumsum(same)])
                 best.append(float((sums[size:] - sums[:-size]).max()) / size)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("hash"), batch.column("item"), pa.array(best, pa.float64())],
-                names=["id", "hash", "item", "overlap"])
+                [*[batch.column(c) for c in ("id", "hash", "item", "item_id")], pa.array(best, pa.float64())],
+                names=["id", "hash", "item", "item_id", "overlap"])
 
     return run
 
@@ -181,7 +181,8 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, similarity: fl
     tasks, so that of the documents only seeds that may occur there (two bits are looked up) and the tokens around them
     are shuffled; a full filter would cost time, not results. Seeds meet by their hash in a join of written
     tables, which adaptive execution splits where a passage is in very many documents; each pair of region and item is
-    then verified once per offset. Items with the same tokens are one item (the smallest id).
+    then verified once per offset. Items with the same tokens are one item (the smallest id); an item whose id is
+    null is looked for like any other and stands as a null at the end of item_ids, once for each such text.
 
     Null texts and texts without words hold nothing; items of under five tokens are not looked for. Null ids and
     repeated ids are told apart by the hash of the text; rows that agree in both give one row. Empty tables give no
@@ -190,13 +191,14 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, similarity: fl
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"),
                              F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    items = items.where("item is not null").mapInArrow(_item_tokens, "item long, tokens array<long>").where(
-        F.size("tokens") >= LEAST).groupBy("tokens").agg(F.min("item").alias("item")).select("item", "tokens")
+    items = items.mapInArrow(_item_tokens, "item long, tokens array<long>").where(
+        F.size("tokens") >= LEAST).groupBy("tokens").agg(F.min("item").alias("item_id")).select(
+        F.xxhash64("tokens").alias("item"), "item_id", "tokens")
     items = materialise(items, "items")
     lengths = [r[0] for r in items.where(F.size("tokens") < WINDOW).select(
         F.size("tokens")).distinct().collect()]  # a handful of small numbers
     masks = masks_of([min(window, n) for n in [*lengths, WINDOW]])
-    seeds = materialise(items.mapInArrow(_item_seeds(window), "seed long, item long, at long"), "item-seeds")
+    seeds = materialise(items.select("item", "tokens").mapInArrow(_item_seeds(window), "seed long, item long, at long"), "item-seeds")
     bit = lambda shift: F.shiftrightunsigned("seed", shift).bitwiseAND(F.lit(2 ** filter_bits - 1))
     lit_bits = seeds.select(F.explode(F.array(bit(64 - filter_bits), bit(64 - 2 * filter_bits))).alias("bit"))
     filled = lit_bits.select(F.shiftright("bit", 6).alias("word"), F.expr(
@@ -217,11 +219,12 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, similarity: fl
     pairs = materialise(pairs, "pairs")
     laid = pairs.join(regions.select("region", "id", "hash", "tokens"), ["region", "id", "hash"]).join(
         items.withColumnRenamed("tokens", "item_tokens"), "item")
-    found = laid.select("id", "hash", "item", "shift", "tokens", "item_tokens").mapInArrow(
-        _verify(window, similarity), "id long, hash long, item long, overlap double").where(
+    found = laid.select("id", "hash", "item", "item_id", "shift", "tokens", "item_tokens").mapInArrow(
+        _verify(window, similarity), "id long, hash long, item long, item_id long, overlap double").where(
         F.col("overlap") >= similarity)
     return found.groupBy("id", "hash").agg(
-        F.array_sort(F.collect_set("item")).alias("item_ids"), F.max("overlap").alias("overlap")).select(
+        F.array_sort(F.transform(F.collect_set(F.struct("item_id", F.expr("if(item_id is null, item, 0)"))),
+                                 lambda x: x["item_id"])).alias("item_ids"), F.max("overlap").alias("overlap")).select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), F.lit(True).alias("contaminated"),
         F.size("item_ids").cast("long").alias("n_items"), "item_ids", "overlap", "hash")
 
