@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tradewind.llm.decontamination import decontaminate
 from tradewind.llm.mixing import mixed_documents
-from tradewind.llm.near_copies import keep_one_near_copy
 from tradewind.llm.quality import keep_quality
+from tradewind.llm.simhash import keep_one_of_each
 from tradewind.llm.token_files import read_token_files, write_token_files
 from tradewind.session import fresh_path, materialise
 
@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (Jaccard of 5-word shingles 0.8 or more), that with the smallest id."""
-    return keep_one_near_copy(docs)
+    """One document of each component of SimHash fingerprints (4-word shingles, 4 bits), that with the smallest id."""
+    return keep_one_of_each(docs, width=4, radius=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
