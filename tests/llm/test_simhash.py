@@ -41,7 +41,7 @@ def test_fingerprint(text):
     assert fingerprint(text) == plain_fingerprint(text)
 
 
-@pytest.mark.parametrize("radius", [0, 1, 4, 7])
+@pytest.mark.parametrize("radius", [0, 1, 4, 7, 8, 10, 17])
 def test_bit_sliced_links_are_all_pairs_within_the_radius(radius):
     rng = np.random.default_rng(radius)
     base = rng.integers(0, 2 ** 63, 30, np.uint64)

@@ -24,6 +24,12 @@ def fold_of(id_col: Column, folds: int) -> Column:
     return (F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds).cast("int")
 
 
+def packed_rows(docs: DataFrame, **keys: Column) -> DataFrame:
+    """The documents with all their columns in one struct `row`, beside key columns that so cannot clash with them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       *[key.alias(name) for name, key in keys.items()])
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, so that tasks share loaded vocabularies.
 

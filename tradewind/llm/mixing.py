@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialise
-from .common import WORD
+from .common import WORD, packed_rows
 
 BLOCK = 256  # documents that one step of the reduction tree pairs with each other
 NEAR = 1e-9  # a probability this near to 0 or 1 is 0 or 1
@@ -171,10 +171,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     **options) -> DataFrame:
     """The mix itself: every document, with all its columns, as often as `mix_sources` takes it."""
     taken = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where(
-        F.col("copies") > 0).groupBy("key").agg(F.max("copies").alias("__copies")).withColumnRenamed("key", "__key")
+        F.col("copies") > 0).groupBy("key").agg(F.max("copies").alias("copies")).withColumnRenamed("key", "taken_key")
     taken = materialise(taken, "mix-taken")
-    keyed = docs.withColumn("__own_key", row_key(id_col, source_col, text_col))
+    keyed = packed_rows(docs, key=row_key(id_col, source_col, text_col))
     # most documents are taken, so this side grows with the documents and is merged at every size
-    return keyed.join(taken.hint("merge"), keyed["__own_key"] == taken["__key"]).withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(taken.hint("merge"), F.col("key") == F.col("taken_key")).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialise
-from .common import NO_ID, id_and_text, slices
+from .common import NO_ID, id_and_text, packed_rows, slices
 
 BITS = 64
 POOL = 1024  # fingerprints compared with each other at once
@@ -59,9 +59,9 @@ def bit_sliced_links(left, right, radius: int, same: bool):
     """Index pairs (i, j) of two arrays of uint64 whose values differ in at most `radius` bits; i < j if `same`.
 
     The values of `right` are stored as bit planes, one bit of 64 values in a word. A lane is a value of `left`
-    against a word of planes. Differences are added into three bitwise counters by carries; the counters start at
-    7 - radius, so the bit that leaves them says that the radius is exceeded. After every eighth plane the lanes
-    in which all 64 pairs are over the radius are abandoned.
+    against a word of planes. Differences are added into bitwise counters by carries, as many as the radius has bits
+    and three at least; they start at the largest count they hold less the radius, so the bit that leaves them says that
+    the radius is exceeded. After every eighth plane the lanes in which all 64 pairs are over the radius are abandoned.
     """
     import numpy as np
 
@@ -79,7 +79,9 @@ def bit_sliced_links(left, right, radius: int, same: bool):
         keep = (word + 1) * 64 > probe + 1
         probe, word = probe[keep], word[keep]
     over = ends[word]
-    counters = [np.full(len(word), -((7 - radius) >> k & 1) & (2 ** 64 - 1), np.uint64) for k in range(3)]
+    levels = max(3, radius.bit_length())
+    start = 2 ** levels - 1 - radius
+    counters = [np.full(len(word), -(start >> k & 1) & (2 ** 64 - 1), np.uint64) for k in range(levels)]
     full = np.uint64(2 ** 64 - 1)
     for k in range(BITS):
         carry = planes[k][word] ^ masks[k][probe]
@@ -295,11 +297,11 @@ def simhash_dedup(docs: DataFrame, radius: int = 4, width: int = 4, seed: int =
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, with all their columns: one row of each component of near duplicates."""
     kept = simhash_dedup(docs, id_col=id_col, text_col=text_col, **options).where("kept")
-    kept = materialise(kept.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__kept_id"),
-                                   F.col("hash").alias("__kept_hash")).distinct(), "kept")
-    keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)),
-                              "__hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    kept = materialise(kept.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("kept_id"),
+                                   F.col("hash").alias("kept_hash")).distinct(), "kept")
+    keyed = packed_rows(docs, id=F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)),
+                        hash=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     # most documents are kept, so this side grows with the documents and is merged at every size
-    joined = keyed.join(kept.hint("merge"), (keyed["__id"] == kept["__kept_id"]) & (keyed["__hash"] == kept["__kept_hash"]))
-    first = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.lit(1)))
-    return joined.withColumn("__row", first).where("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = keyed.join(kept.hint("merge"), (F.col("id") == F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")))
+    first = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(1)))
+    return joined.withColumn("place", first).where("place = 1").select("row.*")
