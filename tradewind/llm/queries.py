@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import fresh_path
+from .alignment import align_tokenizers
+from .collocations import collocations, oracle as collocation_oracle
 from .decontamination import contaminated_documents
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .personal_data import personal_data
 from .quality import quality_scores
 from .secret_scan import oracle as secret_oracle, secret_scan
 from .simhash import simhash_dedup
@@ -94,3 +97,18 @@ def op9(spark, docs, sf_dir):
     WINDOW best AS (PARTITION BY norm ORDER BY n_chars DESC, doc_id)""")
 def op10(spark, docs, sf_dir):
     return exact_dedup(docs)
+
+
+@query("op11_personal_data")
+def op11(spark, docs, sf_dir):
+    return personal_data(docs)
+
+
+@query("op12_collocations", collocation_oracle())
+def op12(spark, docs, sf_dir):
+    return collocations(docs)
+
+
+@query("op13_token_alignment")
+def op13(spark, docs, sf_dir):
+    return align_tokenizers(docs)
