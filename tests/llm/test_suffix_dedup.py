@@ -55,6 +55,19 @@ def test_large_ranks_take_the_split_paths(make, rng, monkeypatch):
     check(suffix_dedup(make(rows), 48), rows, 48)
 
 
+def test_a_core_with_many_open_stretches(make, rng):
+    """More than BLOCK different surroundings of one passage, some of which agree further to one side or the other."""
+    letters = lambda n: "".join(rng.choice("efghß") for _ in range(n))
+    passage, left, right = letters(45), [letters(24) for _ in range(4)], [letters(24) for _ in range(4)]
+    rows = []
+    for i in range(module.BLOCK + 60):
+        before = letters(30) + rng.choice(left)[rng.randrange(24):]
+        after = rng.choice(right)[:rng.randrange(24)] + letters(30)
+        rows.append((i, before + passage + after))
+    rows += [(1000 + i, rows[i][1]) for i in range(3)]
+    check(suffix_dedup(make(rows), 48), rows, 48)
+
+
 def test_repeated_ids_and_empty_tables(make):
     a, b = "x1y2z3" * 9, "".join(map(str, range(50)))
     got = suffix_dedup(make([(1, b), (1, b), (None, a), (None, "tiny")]), 24).collect()

@@ -1,4 +1,4 @@
-"""Removal of byte strings that occur elsewhere in the corpus, by sorted ranks of growing length."""
+"""Removal of byte strings that occur elsewhere in the corpus: names at anchors, sorted, then names of growing length."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from .common import NO_ID, id_and_text
 SEED = 16  # bytes that decide which position of a window is its anchor
 CHUNK = 1 << 22  # bytes looked at at once
 HELD = 20_000  # rows of one first rank that a task keeps in memory
-BLOCK = 256  # open stretches of one first rank compared in one task's group
+BLOCK = 256  # open stretches of one core whose strings are named in one task's group; more are cut to longer cores first
 FULL, OPEN, EDGE = 1, 2, 4
 
 
@@ -210,12 +210,47 @@ def _cut_out(length: int):
     return run
 
 
-def _settle(length: int):
+def _halve(length: int):
+    """Cut the positions of each stretch, by their distance from the anchor, into two halves with longer cores.
+
+    The strings at the distances `near` to `far` have the bytes between their last start and their first end in common.
+    Equal strings have equal distances, so they meet in the same half under the same core.
+    """
     def run(batches):
-        """Name every string of the stretches in a block; equal names settle their positions.
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
 
-        A core with several blocks also sends on one position for each name, to be compared between the blocks.
-        """
+        types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 3 + [pa.binary()]
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                rows = batch.slice(start, 4096).to_pylist()
+                sizes = np.array([len(r["bytes"]) for r in rows], np.int64)
+                starts = np.cumsum(sizes) - sizes
+                data = np.zeros(int(sizes.sum()) + length + SEED + 8, np.uint8)
+                data[:int(sizes.sum())] = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
+                first, last, anchor = stretches(data, starts, sizes, length)
+                out = []
+                for r, lead, n in zip(rows, (anchor - first).tolist(), (last - first + 1).tolist()):
+                    middle, text = (r["near"] + r["far"]) // 2, r["bytes"]
+                    for near, far in ((r["near"], middle), (middle + 1, r["far"])):
+                        a, b = max(0, lead - far), min(n - 1, lead - near)
+                        if near > far or a > b:
+                            continue
+                        core = xxhash.xxh64_intdigest(text[lead - near:lead - far + length], seed=far - near)
+                        name = xxhash.xxh3_128_digest(text[a:b + length])
+                        out.append((core - (core >> 63 << 64), int.from_bytes(name[:8], "little", signed=True),
+                                    int.from_bytes(name[8:], "little", signed=True), near, far, r["id"], r["hash"],
+                                    r["first"] + a, text[a:b + length]))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=[
+                    "core", "high", "low", "near", "far", "id", "hash", "first", "bytes"])
+
+    return run
+
+
+def _settle(length: int):
+    """Name every string of the stretches of a core; equal names settle their positions."""
+    def run(batches):
         from collections import Counter
 
         import numpy as np
@@ -225,30 +260,22 @@ def _settle(length: int):
         def settled(rows):
             names = [[xxhash.xxh3_128_digest(r["bytes"][i:i + length]) for i in range(len(r["bytes"]) - length + 1)]
                      for r in rows]
-            counts = Counter(n for own in names for n in own)
-            several, told, out = rows[0]["blocks"] > 1, set(), []
+            counts, out = Counter(n for own in names for n in own), []
             for r, own in zip(rows, names):
                 again = np.array([counts[n] > 1 for n in own])
                 turns = np.flatnonzero(np.diff(np.concatenate([[0], again.astype(np.int8), [0]])))
-                out += [(None, None, r["id"], r["hash"], r["first"] + int(a), r["first"] + int(b) - 1 + length)
+                out += [(r["id"], r["hash"], r["first"] + int(a), r["first"] + int(b) - 1 + length)
                         for a, b in zip(turns[::2], turns[1::2])]
-                if several:
-                    for i, n in enumerate(own):
-                        if n not in told:
-                            told.add(n)
-                            out.append((int.from_bytes(n[:8], "little", signed=True),
-                                        int.from_bytes(n[8:], "little", signed=True), r["id"], r["hash"],
-                                        r["first"] + i, r["first"] + i + length))
             return out
 
         def batch_of(out):
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)],
-                                              names=["high", "low", "id", "hash", "begin", "stop"])
+                                              names=["id", "hash", "begin", "stop"])
 
         rows, out = [], []
         for batch in batches:
             for row in batch.to_pylist():
-                if rows and (row["core"], row["block"]) != (rows[0]["core"], rows[0]["block"]):
+                if rows and row["core"] != rows[0]["core"]:
                     out += settled(rows)
                     rows = []
                     if len(out) > 10_000:
@@ -301,18 +328,19 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     document or the same one; overlaps count. Nothing is dropped, capped or estimated: the result is that of a full
     suffix array cut at `length`, up to collisions of 128-bit names.
 
-    Prefix doubling on a sampled suffix array. Sorting a rank pair for every byte in every round would move some
-    25 times the corpus, so ranks are kept for anchors, positions chosen by their own bytes such that any two
-    equal strings have their anchors at equal distances (one in about 90). A rank is a name, equal for equal bytes.
-      1. Spark sorts pairs of ranks by range: the name of the bytes from the anchor on that all strings of the
-         stretch share (about a third of `length`), then the name of the whole stretch (`length` bytes and
-         more). Neighbours are compared: a first rank that occurs once leaves, a pair that occurs again is past the
-         threshold and settles its whole stretch.
-      2. Stretches with an equal first rank and different second ones stay open, one for each pair. Their bytes are
-         cut out, grouped by first rank, and every string in them gets the name of exactly `length` bytes;
-         equal names settle their positions. Large groups are dealt to blocks, and names are compared
-         between blocks by an aggregation.
-      3. The settled spans of a document are merged, and the rest is hashed.
+    Names at anchors stand in for the ranks of a suffix array. Doubling over all positions would sort a rank pair for
+    every byte in every round; here anchors are positions chosen by their own bytes such that any two equal strings have
+    them at equal distances (one in about 90). A name is a hash, equal for equal bytes.
+      1. Spark sorts pairs of names by range: that of the bytes that all strings with the anchor share, the core (about a
+         third of `length`), then that of the whole stretch (`length` bytes and more). Neighbours are compared: a core
+         that occurs once leaves, a pair that occurs again is past the threshold and settles its whole stretch.
+      2. Stretches with an equal core and different whole names stay open, one for each pair, and their bytes are cut
+         out. While a core has more than BLOCK of them, their positions are halved by the distance from the anchor, each
+         half is named anew by its longer core and its whole bytes, and equal pairs settle, unique cores leave and the
+         others stay open as before; single positions are reached in log2(window) rounds. A round makes at most two rows
+         of an open stretch, so rows stay in proportion to stretches however many share a core.
+      3. Cores of at most BLOCK open stretches come to one task each, where every string gets its own name.
+      4. The settled spans of a document are merged, and the rest is hashed.
     Sampled splitters cut a rank that very many rows share over several partitions; the rows at the borders are
     counted by an aggregation that combines before it shuffles. Texts travel compressed.
 
@@ -346,16 +374,28 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     opened = judged.where("open").groupBy(*key).agg(F.collect_list(F.struct("core", "first", "last")).alias("open"))
     cut = packed.join(opened, key).select(*key, "packed", "open").mapInArrow(
         _cut_out(length), "core long, id long, hash long, first long, bytes binary")
-    cut = materialise(cut, "open-stretches")
-    blocks = materialise(cut.groupBy("core").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "open-cores")
-    dealt = cut.join(blocks, "core").withColumn("block", F.pmod(F.xxhash64(*key, "first"), "blocks").cast("int"))
-    found = materialise(dealt.repartition("core", "block").sortWithinPartitions("core", "block").mapInArrow(
-        _settle(length), "high long, low long, id long, hash long, begin long, stop long"), "settled")
-    named = found.where(F.col("high").isNotNull())
-    again = materialise(named.groupBy("high", "low").count().where("count > 1").select("high", "low"), "names-again")
-    spans = found.where(F.col("high").isNull()).select(*key, "begin", "stop").unionByName(
-        named.join(again, ["high", "low"]).select(*key, "begin", "stop")).unionByName(
-        judged.where("full").select(*key, F.col("first").alias("begin"), (F.col("last") + length).alias("stop")))
+    window = window_of(length)
+    cut = materialise(cut.withColumns({"near": F.lit(0), "far": F.lit(window - 1)}), "open-stretches")
+    spans = judged.where("full").select(*key, F.col("first").alias("begin"), (F.col("last") + length).alias("stop"))
+    for left in reversed(range(window.bit_length())):
+        sizes = materialise(cut.groupBy("core").agg(F.count("*").alias("rows")), "open-cores")
+        many = F.col("rows") > BLOCK if left else F.lit(False)
+        dealt = cut.join(sizes, "core")
+        small = dealt.where(~many).repartition("core").sortWithinPartitions("core")
+        spans = spans.unionByName(materialise(small.mapInArrow(
+            _settle(length), "id long, hash long, begin long, stop long"), "settled"))
+        if sizes.where(many).isEmpty():
+            break
+        halves = materialise(dealt.where(many).mapInArrow(_halve(length), "core long, high long, low long, near int, "
+                             "far int, id long, hash long, first long, bytes binary"), "longer-cores")
+        classes = materialise(halves.groupBy(*pair).agg(
+            F.count("*").alias("n"), F.min(F.struct(*key, "first")).alias("low_row")), "longer-classes")
+        cores = materialise(classes.groupBy("core").agg(F.count("*").alias("classes")), "longer-cores-of")
+        halves = halves.join(classes, pair)
+        spans = spans.unionByName(halves.where("n > 1").select(
+            *key, F.col("first").alias("begin"), (F.col("first") + F.length("bytes")).cast("long").alias("stop")))
+        cut = materialise(halves.where(F.struct(*key, "first") == F.col("low_row")).join(
+            cores.where("classes > 1"), "core").select(*cut.columns), "open-stretches")
     spans = spans.groupBy(*key).agg(F.collect_set(F.struct("begin", "stop")).alias("spans"))
     return packed.join(spans, key, "left").select(*key, "packed", "spans").mapInArrow(
         _remove, "doc_id long, hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
