@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tradewind.operators import vectors as V
-from tradewind.sources import product_files as PF, vector_store as VS
+from tradewind.sources import leaf_index as LI, product_files as PF, vector_store as VS
 
 SCHEMA = "id string, embedding array<float>, category_id string, brand string, price double, rating double"
 
@@ -102,16 +102,16 @@ def test_vectors_go_to_the_visits_of_their_own_leaf_alone(spark, monkeypatch):
     match = V._block_matches
     seen = spark.sparkContext.accumulator(0)
 
-    def counted(asked, vectors, threshold):
+    def counted(asked, matrix, vectors):
         seen.add(len(vectors))
-        return match(asked, vectors, threshold)
+        return match(asked, matrix, vectors)
 
     monkeypatch.setattr(V, "_block_matches", counted)
     found = V.vector_search(q, index, 3, 0.9, leaves=2).collect()
     assert len(found) == 90 and all(r.id.startswith("1.0") for r in found)
     assert seen.value <= 30 * 3  # thirty visits of one leaf are three groups; the other leaf stays where it is
-    assert V.leaf_count(10 ** 6, 64) == 977 and V.leaf_count(10 ** 8, 64) == 10 ** 4 and V.leaf_count(900, 64) == 1
-    assert V.leaf_count(10 ** 12, 1024) * 8 * 1024 <= V.CENTRE_BYTES
+    assert LI.leaf_count(10 ** 6, 64) == 977 and LI.leaf_count(10 ** 8, 64) == 10 ** 4 and LI.leaf_count(900, 64) == 1
+    assert LI.leaf_count(10 ** 12, 1024) * 8 * 1024 <= LI.CENTRE_BYTES
 
 
 def test_index_merge_and_files(spark, tmp_path):

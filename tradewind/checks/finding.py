@@ -8,6 +8,7 @@ from ..functions.terms import STOP_WORDS
 from ..operators import catalog as K, hybrid as H, search as S, suggestions as G, vectors as V
 from ..session import fresh_path
 from ..sources import product_files as PF, vector_store as VS
+from ..sources.leaf_index import LeafIndex, build_leaf_index, update_leaf_index
 from .behaviour import profiles_staged
 from .catalogue import case_of, nth_of
 from .registry import flat, query, r
@@ -227,25 +228,31 @@ FROM {queries} q JOIN x_index i ON {where} AND round(list_cosine_similarity(q.v,
 
 @query("v1_vector_search", f"SELECT query_id, id, {r('similarity')}, rank FROM ({vector_sql('x_vq', '10', in_bounds('q', 'i'))})")
 def v1(s: Shapes) -> DataFrame:
-    return flat(V.vector_search(s.vector_queries(), s.vector_index(), 10, THRESHOLD))
+    return flat(V.vector_search(s.vector_queries(), s.leaf_index(), 10, THRESHOLD))
 
 
 @query("v1_vector_search_by_leaves", f"SELECT query_id, id, {r('similarity')}, rank FROM ({vector_sql('x_vq', '10', in_bounds('q', 'i'))})")
 def v1_leaves(s: Shapes) -> DataFrame:
     """The same search with another number of leaves."""
-    return flat(V.vector_search(s.vector_queries(), s.vector_index(), 10, THRESHOLD, leaves=7))
+    return flat(V.vector_search(s.vector_queries(), s.leaf_index(7), 10, THRESHOLD))
+
+
+@query("v1_vector_search_plain", f"SELECT query_id, id, {r('similarity')}, rank FROM ({vector_sql('x_vq', '10', in_bounds('q', 'i'))})")
+def v1_plain(s: Shapes) -> DataFrame:
+    """The same search of an index that is not stored yet."""
+    return flat(V.vector_search(s.vector_queries(), s.vector_index(), 10, THRESHOLD))
 
 
 @query("v1_vector_search_allow", f"SELECT query_id, id, rank FROM ({vector_sql('x_vqa', '5', 'q.brand = lower(i.brand)')})")
 def v1_allow(s: Shapes) -> DataFrame:
     """Only products of the query's brand."""
     asked = s.vector_index().select(F.col("id").alias("query_id"), "embedding", F.lower("brand").alias("brand"))
-    return V.vector_search(asked, s.vector_index(), 5, THRESHOLD).select("query_id", "id", "rank")
+    return V.vector_search(asked, s.leaf_index(), 5, THRESHOLD).select("query_id", "id", "rank")
 
 
 @query("v1b_approximate_search")
 def v1b(s: Shapes) -> DataFrame:
-    return flat(V.vector_search(s.vector_queries(), s.vector_index(), 10, THRESHOLD, share=V.LEAF_SHARE, leaves=20))
+    return flat(V.vector_search(s.vector_queries(), s.leaf_index(20), 10, THRESHOLD, share=V.LEAF_SHARE))
 
 
 @query("v1b_recall", f"""
@@ -253,13 +260,25 @@ SELECT count(*) AS exact, 1 AS enough FROM ({vector_sql('x_vq', '10', in_bounds(
 def v1b_recall(s: Shapes) -> DataFrame:
     """Matches of the exact search, and whether three quarters of the leaves find nine tenths of them."""
     keys = ["query_id", "id"]
-    exact = V.vector_search(s.vector_queries(), s.vector_index(), 10, THRESHOLD).select(*keys)
-    near = V.vector_search(s.vector_queries(), s.vector_index(), 10, THRESHOLD, share=0.75, leaves=20).select(
+    exact = V.vector_search(s.vector_queries(), s.leaf_index(), 10, THRESHOLD).select(*keys)
+    near = V.vector_search(s.vector_queries(), s.leaf_index(20), 10, THRESHOLD, share=0.75).select(
         *keys, F.lit(1).alias("hit")).distinct()
     both = exact.join(near, keys, "left").agg(F.count("*").alias("exact"), F.count("hit").alias("_hits"))
     return both.select("exact", (F.col("_hits") >= 0.9 * F.col("exact")).cast("int").alias("enough"))
 
 
+@query("v1b_against_exact", f"""
+SELECT query_id, count(*) AS exact, 0 AS wrong FROM ({vector_sql('x_vq', '10', in_bounds('q', 'i'))}) GROUP BY query_id""")
+def v1b_against_exact(s: Shapes) -> DataFrame:
+    """For each query how many matches the exact search has, and how many of the approximate one beat those of their rank."""
+    exact = V.vector_search(s.vector_queries(), s.leaf_index(), 10, THRESHOLD)
+    near = V.vector_search(s.vector_queries(), s.leaf_index(20), 10, THRESHOLD, share=V.LEAF_SHARE).select(
+        "query_id", "rank", F.col("similarity").alias("near"))
+    wrong = F.count(F.when(F.col("near") > F.col("similarity"), True)).cast("int")
+    return exact.join(near, ["query_id", "rank"], "left").groupBy("query_id").agg(
+        F.count("*").alias("exact"), wrong.alias("wrong"))
+
+
 cte("x_variant", """
 SELECT a.vec_id, b.variant, e.v, a.vec_id || ':' || b.variant AS query_id FROM embeddings a, (VALUES (0), (1), (2)) b(variant)
 JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e
@@ -281,7 +300,7 @@ SELECT CAST(vec_id AS VARCHAR) AS query_id, id, {r('max(similarity)', 'similarit
   row_number() OVER (PARTITION BY vec_id ORDER BY max(similarity) DESC, id) AS rank
 FROM (SELECT vec_id, id, similarity FROM ({vector_sql('x_variant', '5')}) JOIN x_variant USING (query_id)) GROUP BY vec_id, id QUALIFY rank <= 10""")
 def v2(s: Shapes) -> DataFrame:
-    return flat(V.expanded_search(variant_rows(s), s.vector_index(), 10, THRESHOLD))
+    return flat(V.expanded_search(variant_rows(s), s.leaf_index(), 10, THRESHOLD))
 
 
 cte("x_vqi", "SELECT id AS query_id, v FROM x_index")
@@ -294,7 +313,7 @@ SELECT item_id, id, similarity, fetched, row_number() OVER (PARTITION BY item_id
 @query("v3_similar_products", f"SELECT item_id, id, {r('similarity')}, rank FROM ({SIMILAR.replace('{n}', '60')}) WHERE rank <= 20")
 def v3(s: Shapes) -> DataFrame:
     items = s.vector_index().select(F.col("id").alias("item_id"))
-    return flat(V.similar_products(items, s.vector_index(), s.catalog(), 20, THRESHOLD))
+    return flat(V.similar_products(items, s.leaf_index(), s.catalog(), 20, THRESHOLD))
 
 
 def prediction_lines(s: Shapes) -> DataFrame:
@@ -347,6 +366,35 @@ def s6(s: Shapes) -> DataFrame:
     return flat(df.select("id", F.coalesce("brand", F.lit("")).alias("brand"), F.col("price").cast("double").alias("price")))
 
 
+CHANGED = """SELECT id, CASE WHEN rating >= 2.5 THEN 'delta' ELSE brand END AS brand, price, rating,
+  CASE WHEN rating >= 2.5 THEN list_transform(v, lambda x: -x) ELSE v END AS v, category_id FROM x_index WHERE price >= 2000"""
+
+
+def changed_index(s: Shapes) -> LeafIndex:
+    """Well rated products turn round and change their brand, then the cheap ones leave: two snapshots of a stored index."""
+    index = s.vector_index()
+    delta = index.filter("rating >= 2.5").withColumns(
+        {"brand": F.lit("delta"), "embedding": F.transform("embedding", lambda x: -x)})
+    stored = update_leaf_index(s.spark, build_leaf_index(index, leaves=12), delta)
+    return update_leaf_index(s.spark, stored, None, index.filter("price < 2000").select("id"))
+
+
+@query("s6_leaf_index_delta", f"SELECT id, coalesce(lower(brand), '') AS brand, {r('price')}, {r('v[1]', 'first')} FROM ({CHANGED})")
+def s6_leaves(s: Shapes) -> DataFrame:
+    """The rows of a stored index after a delta and deletes by id; only the leaves they touch are written."""
+    return flat(changed_index(s).rows(s.spark).select(
+        "id", F.coalesce("brand", F.lit("")).alias("brand"), "price", F.element_at("embedding", 1).cast("double").alias("first")))
+
+
+cte("x_changed", CHANGED)
+
+
+@query("v1_vector_search_after_delta", f"SELECT query_id, id, {r('similarity')}, rank FROM ({vector_sql('x_vq', '10', in_bounds('q', 'i')).replace('x_index', 'x_changed')})")
+def v1_after_delta(s: Shapes) -> DataFrame:
+    """The search of the changed index, new vectors in the leaves of the stored centres."""
+    return flat(V.vector_search(s.vector_queries(), changed_index(s), 10, THRESHOLD))
+
+
 # ---- hybrid ----
 
 cte("x_hq", """
@@ -424,7 +472,7 @@ UNION ALL SELECT q.query_id, p.id, p.rank FROM x_hq q JOIN (
 
 @query("h3_hybrid_search", HYBRID)
 def h3(s: Shapes) -> DataFrame:
-    return H.hybrid_search(hybrid_queries(s), s.catalog(), s.categories(), s.vector_index(), THRESHOLD, s.postings())
+    return H.hybrid_search(hybrid_queries(s), s.catalog(), s.categories(), s.leaf_index(), THRESHOLD, s.postings())
 
 
 @query("h3b_browse_search", BROWSE)
@@ -596,7 +644,7 @@ SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY similarity
     FROM x_fold LEFT JOIN (SELECT user_id, count(*) AS n FROM x_taken GROUP BY 1) USING (user_id)) u
   JOIN ({SIMILAR.replace('{n}', '45')}) f USING (item_id) WHERE fetched <= 3 * room) ANTI JOIN x_taken USING (user_id, id) QUALIFY rank <= room""")
 def r5(s: Shapes) -> DataFrame:
-    return G.similar_to_viewed(user_profiles(s), s.catalog(), s.vector_index(), already_taken(s), 50, THRESHOLD).select(
+    return G.similar_to_viewed(user_profiles(s), s.catalog(), s.leaf_index(), already_taken(s), 50, THRESHOLD).select(
         "user_id", "id", "rank")
 
 
@@ -649,7 +697,7 @@ SELECT user_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS rank, unnest(c
 
 @query("r3_ai_intent", "SELECT user_id, id, rank, context FROM x_intent")
 def r3(s: Shapes) -> DataFrame:
-    return G.ai_intent(user_profiles(s), s.catalog(), s.categories(), s.vector_index(), query_vectors(s), 12, THRESHOLD)
+    return G.ai_intent(user_profiles(s), s.catalog(), s.categories(), s.leaf_index(), query_vectors(s), 12, THRESHOLD)
 
 
 def all_users(s: Shapes) -> DataFrame:
@@ -688,7 +736,7 @@ SELECT u.user_id, coalesce(position, 0) AS position, coalesce(id, '') AS id, coa
 FROM (SELECT CAST(c_custkey AS VARCHAR) AS user_id FROM customer) u LEFT JOIN listed l ON l.user_id = u.user_id""".replace(
     "WITH listed AS (", "SELECT * FROM (WITH listed AS (", 1) + ")")
 def r6(s: Shapes) -> DataFrame:
-    df = G.suggest(all_users(s), user_profiles(s), s.catalog(), s.categories(), s.vector_index(), query_vectors(s), 12, THRESHOLD)
+    df = G.suggest(all_users(s), user_profiles(s), s.catalog(), s.categories(), s.leaf_index(), query_vectors(s), 12, THRESHOLD)
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return df.select("user_id", F.coalesce("position", F.lit(0)).alias("position"), text("id"), text("strategy"), text("reason"),
                      F.col("personalised").cast("int").alias("personalised"))

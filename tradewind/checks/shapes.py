@@ -15,6 +15,7 @@ from ..operators.events import flatten_order_items, timed_ai_events, timed_event
 from ..operators.importing import build_categories
 from ..schemas import to_wire
 from ..session import materialise
+from ..sources.leaf_index import LeafIndex, build_leaf_index
 
 _READ: dict[tuple[str, str, str], DataFrame] = {}
 MILLIS = "yyyy-MM-dd HH:mm:ss.SSS"
@@ -27,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _READ[key]
 
 
-_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+_STAGED: dict[tuple[str, str, str], DataFrame | LeafIndex] = {}
 
 
 def staged(build):
@@ -250,6 +251,13 @@ class Shapes:
                 .join(prices, "product_id"))
 
     # ---- vectors ----
+    def leaf_index(self, leaves: int | None = None) -> LeafIndex:
+        """The vector index stored by leaf, as an indexing job leaves it."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, f"leaf_index_{leaves}")
+        if key not in _STAGED:
+            _STAGED[key] = build_leaf_index(self.vector_index(), leaves=leaves)
+        return _STAGED[key]
+
     def vector_index(self) -> DataFrame:
         """Embeddings joined to the products they belong to (id = vec_id)."""
         vectors = self.t("embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")

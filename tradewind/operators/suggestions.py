@@ -18,7 +18,7 @@ from ..session import materialise
 from .merchandising import top_rated_per_category
 from .profiles import price_range, with_signal_flags
 from .search import expand_category_names
-from .vectors import SIMILARITY_THRESHOLD, vector_search
+from .vectors import SIMILARITY_THRESHOLD, plain_index, vector_search
 
 # ---- fixed values -------------------------------------------------------------------------
 DEFAULT_LIMIT, MAX_LIMIT = 12, 50
@@ -151,7 +151,7 @@ def similar_to_viewed(profiles: DataFrame, products: DataFrame, index: DataFrame
         .join(details.select(F.col("id").alias("item_id"), F.col("name").alias("item_name"),
                              F.col("category_name").alias("item_category")), "item_id"))
     wanted = viewers.select(F.col("item_id").alias("id")).distinct()
-    queries = index.join(wanted, "id", "left_semi").select(F.col("id").alias("query_id"), "embedding")
+    queries = plain_index(profiles.sparkSession, index).join(wanted, "id", "left_semi").select(F.col("id").alias("query_id"), "embedding")
     found = vector_search(queries, index, FETCH_FACTOR * quota, threshold)
     near = (
         found.withColumnRenamed("query_id", "item_id").filter(F.col("id") != F.col("item_id"))
