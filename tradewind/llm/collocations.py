@@ -295,7 +295,7 @@ def oracle(least: int = 30, covered: int = 80, top: int = 2000) -> str:
     """The same for DuckDB, over a table `documents`."""
     return rf"""
     WITH pieces AS MATERIALIZED (
-      SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), x -> x <> '') AS w FROM (
+      SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
         SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
           '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
