@@ -9,6 +9,7 @@ from ..operators import catalog as K, hybrid as H, search as S, suggestions as G
 from ..session import fresh_path
 from ..sources import product_files as PF, vector_store as VS
 from ..sources.leaf_index import LeafIndex, build_leaf_index, update_leaf_index
+from ..sources.search_index import SearchIndex, build_search_index, update_search_index
 from .behaviour import profiles_staged
 from .catalogue import case_of, nth_of
 from .registry import flat, query, r
@@ -63,9 +64,21 @@ def keyword_queries(s: Shapes) -> DataFrame:
     return names.unionByName(brands).unionByName(wild).unionByName(asked)
 
 
-cte("x_term", " UNION ALL ".join(
-    f"SELECT id, price, rating, {w} AS weight, term FROM ({term_rows('x_pc', c, 'id, status, price, rating')}) WHERE status = 'ACTIVE'"
-    for c, w in (("name", 10), ("category_name", 10), ("brand", 4), ("description", 2))))
+FIELDS = (("name", 10), ("category_name", 10), ("brand", 4), ("description", 2))
+
+
+def term_sql(products: str) -> str:
+    """SQL for (id, price, rating, term, weight): millionths of each active product's terms, by frequency in the fields."""
+    words = " UNION ALL ".join(
+        f"SELECT id, price, rating, {i} AS field, {w} AS field_weight, unnest(regexp_split_to_array(lower(coalesce({c}, '')), "
+        f"'[^\\p{{L}}\\p{{N}}]+')) AS w FROM {products} WHERE status = 'ACTIVE'" for i, (c, w) in enumerate(FIELDS))
+    counted = (f"SELECT id, any_value(price) AS price, any_value(rating) AS rating, field_weight, {stem('w')} AS term, count(*) AS tf "
+               f"FROM ({words}) WHERE w <> '' AND w NOT IN ({STOPS}) GROUP BY id, field, field_weight, term")
+    return (f"SELECT id, any_value(price) AS price, any_value(rating) AS rating, term, "
+            f"sum((100000 * field_weight * tf) // (tf + 1))::BIGINT AS weight FROM ({counted}) GROUP BY id, term")
+
+
+cte("x_term", term_sql("x_pc"))
 
 
 def in_bounds(q: str, p: str) -> str:
@@ -73,12 +86,12 @@ def in_bounds(q: str, p: str) -> str:
             f"AND ({q}.min_rating IS NULL OR {p}.rating >= {q}.min_rating)")
 
 
-def fts_sql(queries: str) -> str:
+def fts_sql(queries: str, terms: str = "x_term") -> str:
     """(query_id, id, score) of full-text matches of a query table."""
     return f"""
-SELECT q.query_id, t.id, sum(t.weight) / 10.0 AS score
+SELECT q.query_id, t.id, sum(t.weight) / 1000000.0 AS score
 FROM ({term_rows(queries, 'query', 'query_id, min_price, max_price, min_rating')}) q
-JOIN (SELECT id, term, price, rating, sum(weight) AS weight FROM x_term GROUP BY ALL) t ON t.term = q.term
+JOIN {terms} t ON t.term = q.term
 JOIN (SELECT query_id, count(*) AS n FROM ({term_rows(queries, 'query', 'query_id')}) GROUP BY 1) c ON c.query_id = q.query_id
 WHERE {in_bounds('q', 't')} GROUP BY q.query_id, t.id, n HAVING count(*) = n"""
 
@@ -103,7 +116,57 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r
 SELECT query_id, id, {r('score')}, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
 FROM ({fts_sql('x_query')}) QUALIFY rank <= 10""")
 def h1(s: Shapes) -> DataFrame:
-    df = S.full_text_search(keyword_queries(s), s.postings(), 10)
+    df = S.full_text_search(keyword_queries(s), s.search_index(), 10)
+    return flat(df.select("query_id", "id", F.col("score").cast("double").alias("score"), "rank"))
+
+
+cte("x_len", f"""
+SELECT id, count(*) AS length FROM ({" UNION ALL ".join(
+    f"SELECT id, unnest(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM x_pc" for c, _ in FIELDS)})
+WHERE w <> '' AND w NOT IN ({STOPS}) GROUP BY id""")
+cte("x_term_by_length", """
+SELECT t.id, price, rating, term, floor(weight / (1 + ln(1 + length)))::BIGINT AS weight FROM x_term t JOIN x_len USING (id)""")
+
+
+@query("h1_full_text_by_length", f"""
+SELECT query_id, id, {r('score')}, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+FROM ({fts_sql('x_query', 'x_term_by_length')}) QUALIFY rank <= 5""")
+def h1_by_length(s: Shapes) -> DataFrame:
+    """Weights over the length of the product's texts."""
+    df = S.full_text_search(keyword_queries(s), s.search_index(), 5, by_length=True)
+    return flat(df.select("query_id", "id", F.col("score").cast("double").alias("score"), "rank"))
+
+
+RENAMED = """SELECT id, CASE WHEN name LIKE '%a%' THEN name || ' ' || brand || ' ' || brand ELSE name END AS name,
+  CASE WHEN category_name LIKE '%s' THEN 'Renamed ' || category_name ELSE category_name END AS category_name, brand, description,
+  price, rating, CASE WHEN price < 3000 THEN 'GONE' ELSE status END AS status FROM x_pc"""
+cte("x_renamed", RENAMED)
+cte("x_term_renamed", term_sql("x_renamed"))
+
+
+def changed_search_index(s: Shapes) -> SearchIndex:
+    """Three batches: some names grow, categories change their names, cheap products leave."""
+    whole = s.catalog().select("id", "name", "category_name", "brand", "description", "price", "rating", "status")
+    grown = whole.filter("name LIKE '%a%'").withColumn("name", F.concat_ws(" ", "name", "brand", "brand"))
+    named = F.concat(F.lit("Renamed "), "category_name")
+    moved = whole.join(grown.select("id"), "id", "left_anti").unionByName(grown).filter(
+        "category_name LIKE '%s'").withColumn("category_name", named)
+    index = update_search_index(s.spark, build_search_index(whole), grown)
+    index = update_search_index(s.spark, index, moved)
+    return update_search_index(s.spark, index, whole.limit(0), whole.filter("price < 3000").select("id"))
+
+
+@query("h1_index_after_changes", "SELECT id, term, weight FROM x_term_renamed")
+def h1_changed(s: Shapes) -> DataFrame:
+    """The live postings of an index after three batches of changes."""
+    return changed_search_index(s).postings(s.spark).select(F.col("product_id").alias("id"), "term", "weight")
+
+
+@query("h1_search_after_changes", f"""
+SELECT query_id, id, {r('score')}, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+FROM ({fts_sql('x_query', 'x_term_renamed')}) QUALIFY rank <= 10""")
+def h1_search_changed(s: Shapes) -> DataFrame:
+    df = S.full_text_search(keyword_queries(s), changed_search_index(s), 10)
     return flat(df.select("query_id", "id", F.col("score").cast("double").alias("score"), "rank"))
 
 
@@ -133,7 +196,7 @@ def h2(s: Shapes) -> DataFrame:
 
 @query("h2_product_search_fallback", f"SELECT query_id, id, {r('score')}, rank FROM ({search_sql('x_query', 10)})")
 def h2_fallback(s: Shapes) -> DataFrame:
-    return flat(S.product_search(keyword_queries(s), s.catalog(), 10, s.postings()).select("query_id", "id", "score", "rank"))
+    return flat(S.product_search(keyword_queries(s), s.catalog(), 10, s.search_index()).select("query_id", "id", "score", "rank"))
 
 
 cte("x_req", """
@@ -195,7 +258,7 @@ def h5(s: Shapes) -> DataFrame:
     key = F.col("p_partkey").cast("string")
     asked = s.t("part").select(key.alias("request_id"), F.when(F.col("p_type") == "LARGE", key).alias("product_id"),
                                F.col("p_name").alias("product_name"))
-    return S.product_details(asked, s.catalog(), s.postings())
+    return S.product_details(asked, s.catalog(), s.search_index())
 
 
 @query("h5_compare_products", f"""
@@ -205,7 +268,7 @@ SELECT compare_id, position, id FROM (
 JOIN ({search_sql('x_names', 1)}) ON query_id = name""")
 def h5_compare(s: Shapes) -> DataFrame:
     asked = s.t("part").groupBy(F.col("p_brand").alias("compare_id")).agg(F.array_sort(F.collect_set("p_name")).alias("names"))
-    return S.compare_products(asked, s.catalog(), s.postings())
+    return S.compare_products(asked, s.catalog(), s.search_index())
 
 
 # ---- vectors ----
@@ -472,12 +535,12 @@ UNION ALL SELECT q.query_id, p.id, p.rank FROM x_hq q JOIN (
 
 @query("h3_hybrid_search", HYBRID)
 def h3(s: Shapes) -> DataFrame:
-    return H.hybrid_search(hybrid_queries(s), s.catalog(), s.categories(), s.leaf_index(), THRESHOLD, s.postings())
+    return H.hybrid_search(hybrid_queries(s), s.catalog(), s.categories(), s.leaf_index(), THRESHOLD, s.search_index())
 
 
 @query("h3b_browse_search", BROWSE)
 def h3b(s: Shapes) -> DataFrame:
-    return H.browse_search(hybrid_queries(s), s.catalog(), s.categories(), s.postings())
+    return H.browse_search(hybrid_queries(s), s.catalog(), s.categories(), s.search_index())
 
 
 cte("x_bounded", """
@@ -502,13 +565,13 @@ def h3_bounded(s: Shapes) -> DataFrame:
 @query("h3b_browse_rating_first", BROWSE.replace("QUALIFY rank <= 10)\n  WHERE min_rating IS NULL OR rating >= min_rating", "QUALIFY rank <= 10)").replace(
     "coalesce(q.max_price, 999999)\n", "coalesce(q.max_price, 999999) AND (q.min_rating IS NULL OR p.rating >= q.min_rating)\n"))
 def h3b_rating_first(s: Shapes) -> DataFrame:
-    return H.browse_search(hybrid_queries(s), s.catalog(), s.categories(), s.postings(), rating_first=True)
+    return H.browse_search(hybrid_queries(s), s.catalog(), s.categories(), s.search_index(), rating_first=True)
 
 
 def search_results(s: Shapes) -> DataFrame:
     """Keyword results of every product name, with category names."""
     asked = keyword_queries(s)
-    return H.hydrate(S.product_search(asked, s.catalog(), 20, s.postings()), s.catalog().select("id", "name", "category_name", "rating"))
+    return H.hydrate(S.product_search(asked, s.catalog(), 20, s.search_index()), s.catalog().select("id", "name", "category_name", "rating"))
 
 
 @query("h6_rerank", f"""

@@ -16,6 +16,7 @@ from ..operators.importing import build_categories
 from ..schemas import to_wire
 from ..session import materialise
 from ..sources.leaf_index import LeafIndex, build_leaf_index
+from ..sources.search_index import SearchIndex, build_search_index
 
 _READ: dict[tuple[str, str, str], DataFrame] = {}
 MILLIS = "yyyy-MM-dd HH:mm:ss.SSS"
@@ -28,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _READ[key]
 
 
-_STAGED: dict[tuple[str, str, str], DataFrame | LeafIndex] = {}
+_STAGED: dict[tuple[str, str, str], DataFrame | LeafIndex | SearchIndex] = {}
 
 
 def staged(build):
@@ -55,11 +56,12 @@ class Shapes:
             F.col("p_partkey").alias("line"),
             F.concat_ws(" >> ", F.lit("Catalog"), "p_type", F.element_at(F.split("p_name", " "), -1)).alias("path"))
 
-    @staged
-    def postings(self) -> DataFrame:
-        """The search terms of the catalogue, stored with it."""
-        from ..operators.search import postings
-        return postings(self.catalog())
+    def search_index(self) -> SearchIndex:
+        """The keyword index of the catalogue, stored with it."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "search_index")
+        if key not in _STAGED:
+            _STAGED[key] = build_search_index(self.catalog())
+        return _STAGED[key]
 
     @staged
     def categories(self) -> DataFrame:

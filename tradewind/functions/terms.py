@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # ---- fixed values: the usual English stop words --------------------------------------------
 STOP_WORDS = """
@@ -19,15 +19,22 @@ than too very s t can will just don should now
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
-def exploded_terms(df: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """(keep..., term): stemmed search terms of a text column, one row per distinct word.
+def word_list(text: Column) -> Column:
+    """The words of a text in lower case, in order, without stop words."""
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    return F.filter(words, lambda w: (w != "") & ~w.isin(STOP_WORDS))
+
+
+def exploded_terms(df: DataFrame, keep: list[str], text: str, distinct: bool = True) -> DataFrame:
+    """(keep..., term): stemmed search terms of a text column, one row per distinct word, or per word.
 
     Words are exploded before they are stemmed, so the patterns run once per distinct word
     of a text in generated code. Two words of a text may share a stem.
 
     The light stemmer handles plurals, -ing, -ed and a final e, for words of four letters or more.
     """
-    parts = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"))
+    parts = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+")
+    parts = F.array_distinct(parts) if distinct else parts
     words = df.select(*keep, F.explode(parts).alias("_w")).filter(f"_w != '' AND _w NOT IN ({_STOPS})")
     # Patterns run only on words with the ending they change.
     plural = F.regexp_replace("_w", "(ss)es$", "$1")

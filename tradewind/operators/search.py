@@ -7,10 +7,11 @@ piece of text, so no query is ever compared with every product.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.terms import exploded_terms, term_sets
+from ..functions.terms import exploded_terms, term_sets, word_list
 from ..session import materialise
+from ..sources.search_index import SearchIndex
 from .catalog import active_products
 from .ranking import share_equal, top_k
 
@@ -20,27 +21,41 @@ FIELD_WEIGHTS = {"name": 10, "category_name": 10, "brand": 4, "description": 2}
 LIKE_FIELDS = ["name", "description", "brand"]
 # -------------------------------------------------------------------------------------------
 PIECE_ROWS = 500_000  # postings of one term or letter piece that meet queries in one task's group
+UNIT = 1_000_000  # scores are summed as whole millionths
+FIRST_ROWS = 1_024  # postings of a query's first blocks
 REQUEST = ["query", "min_price", "max_price", "min_rating"]
 
 
 def postings(products: DataFrame) -> DataFrame:
-    """(term, product_id, field, price, rating) of active products; `field` is a bit per text field.
+    """(term, product_id, weight, by_length, length, level, price, rating) of active products, one row per term and product.
 
-    Needs no shuffle; the whole text of every field is indexed. Meant to be stored with the
-    catalogue and read by many searches.
+    A field in which the term occurs tf times adds its weight times tf / (tf + 1); `length` counts the words of all
+    fields, and by_length is the weight over 1 + ln(1 + length). Both are in millionths. `level` puts the postings of
+    a term into blocks of similar weight, eight to a doubling. Meant to be stored with the catalogue and read by many
+    searches; nothing in a row depends on other products.
     """
+    active = active_products(products).withColumn("length", sum((F.size(word_list(F.col(f))) for f in FIELD_WEIGHTS), F.lit(0)))
     fields = F.explode(F.array(*[
-        F.struct(F.lit(1 << i).alias("field"), F.col(f).alias("text")) for i, f in enumerate(FIELD_WEIGHTS)]))
-    texts = active_products(products).select(F.col("id").alias("product_id"), "price", "rating", fields.alias("f")).select(
-        "product_id", "price", "rating", "f.field", "f.text")
-    return exploded_terms(texts, ["product_id", "price", "rating", "field"], "text")
-
-
-def _weight(fields: Column) -> Column:
-    out = F.lit(0)
-    for i, w in enumerate(FIELD_WEIGHTS.values()):
-        out = out + F.when(fields.bitwiseAND(1 << i) != 0, w).otherwise(0)
-    return out
+        F.struct(F.lit(i).alias("field"), F.col(f).alias("text")) for i, f in enumerate(FIELD_WEIGHTS)]))
+    texts = active.select(F.col("id").alias("product_id"), "price", "rating", "length", fields.alias("f")).select(
+        "product_id", "price", "rating", "length", "f.field", "f.text")
+    words = exploded_terms(texts, ["product_id", "price", "rating", "length", "field"], "text", distinct=False)
+    counted = words.groupBy("term", "product_id").agg(
+        F.first("price").alias("price"), F.first("rating").alias("rating"), F.first("length").alias("length"),
+        *[F.count(F.when(F.col("field") == i, True)).alias(f"_{i}") for i in range(len(FIELD_WEIGHTS))])
+    parts = [F.expr(f"({UNIT // 10 * w} * _{i}) div (_{i} + 1)") for i, w in enumerate(FIELD_WEIGHTS.values())]
+    weighed = counted.withColumn("weight", sum(parts[1:], parts[0]))
+    return weighed.select(
+        "term", "product_id", "weight", F.floor(F.col("weight") / (1 + F.ln(1 + F.col("length")))).cast("long").alias("by_length"),
+        "length", F.floor(8 * F.log2(F.col("weight") + 1)).cast("int").alias("level"), "price", "rating")
+
+
+def term_blocks(index: DataFrame) -> DataFrame:
+    """(term, level, n, top, top_by_length, and the extremes of price and rating) of the blocks of postings."""
+    return index.groupBy("term", "level").agg(
+        F.count("*").alias("n"), F.max("weight").alias("top"), F.max("by_length").alias("top_by_length"),
+        F.min("price").cast("double").alias("_low"), F.max("price").cast("double").alias("_high"),
+        F.max("rating").cast("double").alias("_best"))
 
 
 def within_bounds(price: Column, rating: Column) -> Column:
@@ -65,21 +80,33 @@ def _to_all_pieces(keyed: DataFrame) -> DataFrame:
     return keyed.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).drop("_pieces")
 
 
-def full_text_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, id, score) for products that hold every term of the query and meet its bounds.
+def _terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", "min_price", "max_price", "min_rating").join(
+        term_sets(queries, "query_id", "query"), "query_id")
+
+
+def _hold_all(candidates: DataFrame, hits: DataFrame, weight: str) -> DataFrame:
+    """(query_id, id, score) of candidates (query_id, product_id, terms) that hold every term of their query."""
+    each = candidates.select("query_id", "product_id", F.size("terms").alias("_n"), F.explode("terms").alias("term"))
+    return (
+        each.join(hits.select("term", "product_id", weight), ["term", "product_id"])
+        .groupBy("query_id", "product_id").agg(
+            F.count("*").alias("_found"), F.first("_n").alias("_n"), F.sum(weight).alias("_w"))
+        .filter("_found = _n")
+        .select("query_id", F.col("product_id").alias("id"), (F.col("_w") / UNIT).alias("score"))
+    )
+
+
+def full_text_matches(queries: DataFrame, index: DataFrame, by_length: bool = False) -> DataFrame:
+    """(query_id, id, score) for all products that hold every term of the query and meet its bounds.
 
     Candidates come from the rarest term of each query only, then the other terms are
     checked by (term, product). Postings of hot terms are split over as many pieces as their count asks for.
     """
-    wanted = queries.select("query_id", "min_price", "max_price", "min_rating").join(
-        term_sets(queries, "query_id", "query"), "query_id")
+    wanted = _terms(queries)
     needed = wanted.select(F.explode("terms").alias("term")).distinct()
     # Read three times below: for frequencies, for candidates and for the check.
-    hits = materialise(
-        index.join(needed, "term", "left_semi")
-        .groupBy("term", "product_id").agg(
-            F.bit_or("field").alias("fields"), F.first("price").alias("price"), F.first("rating").alias("rating"))
-        .withColumn("weight", _weight(F.col("fields"))).drop("fields"), "hits")
+    hits = materialise(index.join(needed, "term", "left_semi"), "hits")
     df = materialise(_frequencies(hits, "term"), "frequencies")
     rarest = (
         wanted.select("query_id", F.explode("terms").alias("term")).join(df, "term", "left")
@@ -89,18 +116,46 @@ def full_text_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
     )
     spread = _dealt(hits, df, "term", "product_id")
     asked = wanted.join(_to_all_pieces(rarest), "query_id")
-    candidates = (
-        asked.join(spread.select("term", "_piece", "product_id", "price", "rating"), ["term", "_piece"])
-        .filter(within_bounds(F.col("price"), F.col("rating")))
-        .select("query_id", "product_id", F.size("terms").alias("_n"), F.explode("terms").alias("term"))
-    )
-    return (
-        candidates.join(hits.select("term", "product_id", "weight"), ["term", "product_id"])
-        .groupBy("query_id", "product_id").agg(
-            F.count("*").alias("_found"), F.first("_n").alias("_n"), F.sum("weight").alias("_w"))
-        .filter("_found = _n")
-        .select("query_id", F.col("product_id").alias("id"), (F.col("_w") / 10).alias("score"))
-    )
+    candidates = asked.join(spread.select("term", "_piece", "product_id", "price", "rating"), ["term", "_piece"]).filter(
+        within_bounds(F.col("price"), F.col("rating")))
+    return _hold_all(candidates, hits, "by_length" if by_length else "weight")
+
+
+def _block_plan(wanted: DataFrame, blocks: DataFrame, k: int, by_length: bool) -> DataFrame:
+    """(query_id, term, level, n, _ub, _first): the blocks of each query's rarest term, best first.
+
+    _ub bounds the score of every product in the block: the block's highest weight and those of the query's other terms.
+    The first blocks that hold FIRST_ROWS postings (k at least) are marked. Queries with a term nobody holds have none;
+    blocks outside the bounds of price and rating are left out.
+    """
+    top = "top_by_length" if by_length else "top"
+    lo, hi, stars = F.col("min_price"), F.col("max_price"), F.col("min_rating")
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    meets = ((lo.isNull() | holds(F.col("_high") >= lo)) & (hi.isNull() | holds(F.col("_low") <= hi))
+             & (stars.isNull() | holds(F.col("_best") >= stars)))
+    whole = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max(top).alias("_most"))
+    rarest = (
+        wanted.select("query_id", *REQUEST[1:], F.explode("terms").alias("term")).join(whole, "term", "left")
+        .groupBy("query_id", *REQUEST[1:]).agg(
+            F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "_most")).alias("_r"), F.sum("_most").alias("_all"))
+        .filter("_r.df > 0").select("query_id", *REQUEST[1:], F.col("_r.term").alias("term"),
+                                    (F.col("_all") - F.col("_r._most")).alias("_others")))
+    plan = rarest.join(blocks, "term").filter(meets).withColumn("_ub", F.col(top) + F.col("_others"))
+    before = F.sum("n").over(W.partitionBy("query_id").orderBy(F.col("_ub").desc(), "level").rowsBetween(
+        W.unboundedPreceding, -1))
+    return plan.select("query_id", "term", "level", "n", "_ub",
+                       (F.coalesce(before, F.lit(0)) < max(k, FIRST_ROWS)).alias("_first"))
+
+
+def _in_blocks(plan: DataFrame, wanted: DataFrame, hits: DataFrame, weight: str) -> DataFrame:
+    """Matches among the postings of the planned blocks; large blocks are dealt to pieces."""
+    sizes = plan.groupBy("term", "level").agg(F.ceil(F.max("n") / PIECE_ROWS).cast("int").alias("_pieces"))
+    spread = hits.join(sizes, ["term", "level"]).withColumn("_piece", F.pmod(F.xxhash64("product_id"), "_pieces").cast("int"))
+    asked = _to_all_pieces(plan.select("query_id", "term", "level", F.ceil(F.col("n") / PIECE_ROWS).cast("int").alias("_pieces")))
+    candidates = asked.join(wanted, "query_id").join(
+        spread.select("term", "level", "_piece", "product_id", "price", "rating"), ["term", "level", "_piece"]).filter(
+        within_bounds(F.col("price"), F.col("rating")))
+    return _hold_all(candidates, hits, weight)
 
 
 def _cells() -> list[Column]:
@@ -160,13 +215,43 @@ def first_in_bounds(queries: DataFrame, rows: DataFrame, group: list[str], order
     return share_equal(queries.select("query_id", *group, *bounds), [*group, *bounds], search)
 
 
-def full_text_search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): best k products per query by field weight, ties by id."""
-    return share_equal(queries, REQUEST, lambda distinct: _best_matches(distinct, index, k))
+def full_text_search(queries: DataFrame, index: DataFrame | SearchIndex, k: int, blocks: DataFrame | None = None,
+                     by_length: bool = False) -> DataFrame:
+    """(query_id, id, score, rank): best k products per query by weighted term frequency, ties by id.
+
+    `blocks` are the stored `term_blocks` of the postings. The rarest term of a query offers its blocks of postings from
+    the best on; once k matches are known, only blocks that can still reach the k-th score are joined.
+    """
+    spark = queries.sparkSession
+    if isinstance(index, SearchIndex):
+        index, blocks = index.postings(spark), index.blocks(spark)
+    return share_equal(queries, REQUEST, lambda distinct: _best_matches(distinct, index, k, blocks, by_length))
 
 
-def _best_matches(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    return top_k(full_text_matches(queries, index), ["query_id"], [F.col("score").desc(), F.col("id")], k)
+def _second_blocks(plan: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """The other blocks whose bound is not below the k-th score found."""
+    kth = found.groupBy("query_id").agg(F.count("*").alias("_n"), F.min("score").alias("_kth")).filter(F.col("_n") >= k)
+    return plan.filter(~F.col("_first")).join(kth, "query_id", "left").filter(
+        F.col("_kth").isNull() | (F.col("_ub") / UNIT >= F.col("_kth"))).select(*plan.columns)
+
+
+def _best_matches(queries: DataFrame, index: DataFrame, k: int, blocks: DataFrame | None = None,
+                  by_length: bool = False) -> DataFrame:
+    weight, order = "by_length" if by_length else "weight", [F.col("score").desc(), F.col("id")]
+    wanted = materialise(_terms(queries), "wanted")
+    needed = wanted.select(F.explode("terms").alias("term")).distinct()
+    hits = materialise(index.join(needed, "term", "left_semi"), "hits")
+    blocks = term_blocks(hits) if blocks is None else blocks.join(needed, "term", "left_semi")
+    plan = materialise(_block_plan(wanted, blocks, k, by_length), "blocks")
+    first = top_k(_in_blocks(plan.filter("_first"), wanted, hits, weight), ["query_id"], order, k)
+    if plan.filter("NOT _first").isEmpty():
+        return first
+    first = materialise(first, "first-matches")
+    second = materialise(_second_blocks(plan, first, k), "second-blocks")
+    if second.isEmpty():
+        return first
+    more = _in_blocks(second, wanted, hits, weight).unionByName(first.drop("rank"))
+    return top_k(more, ["query_id"], order, k)
 
 
 def _pieces(text: Column, n: int) -> Column:
@@ -228,17 +313,21 @@ def check_bounds(queries: DataFrame) -> DataFrame:
         "minimum price is above maximum price")).cast(queries.schema["min_price"].dataType)).otherwise(F.col("min_price")))
 
 
-def product_search(queries: DataFrame, products: DataFrame, k: int, index: DataFrame | None = None) -> DataFrame:
+def product_search(queries: DataFrame, products: DataFrame, k: int,
+                   index: DataFrame | SearchIndex | None = None) -> DataFrame:
     """(query_id, id, score, rank): full-text search; queries it finds nothing for fall back to substrings.
 
-    `index` is the stored `postings` of the products; without it they are tokenised anew.
+    `index` is the stored `SearchIndex` or `postings` of the products; without it they are tokenised anew.
     """
-    index = postings(products) if index is None else index
-    return share_equal(check_bounds(queries), REQUEST, lambda distinct: _product_search(distinct, products, k, index))
+    index, blocks = postings(products) if index is None else index, None
+    if isinstance(index, SearchIndex):
+        index, blocks = index.postings(queries.sparkSession), index.blocks(queries.sparkSession)
+    return share_equal(check_bounds(queries), REQUEST,
+                       lambda distinct: _product_search(distinct, products, k, index, blocks))
 
 
-def _product_search(queries: DataFrame, products: DataFrame, k: int, index: DataFrame) -> DataFrame:
-    found = materialise(_best_matches(queries, index, k).select(
+def _product_search(queries: DataFrame, products: DataFrame, k: int, index: DataFrame, blocks: DataFrame | None) -> DataFrame:
+    found = materialise(_best_matches(queries, index, k, blocks).select(
         "query_id", "id", (F.col("score") * 1.0).cast("double").alias("score"), "rank"), "found")
     missed = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
     fallback = top_k(like_matches(missed, products).withColumn("score", F.lit(0.0)), ["query_id"], [F.col("id")], k)
@@ -287,7 +376,7 @@ def category_id_by_name(names: DataFrame, categories: DataFrame) -> DataFrame:
     return hits.groupBy("requested").agg(F.min(F.struct("name", "id"))["id"].alias("category_id"))
 
 
-def product_details(requests: DataFrame, products: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def product_details(requests: DataFrame, products: DataFrame, index: DataFrame | SearchIndex | None = None) -> DataFrame:
     """(request_id, id): the product with the given id, else the best search hit for the name."""
     by_id = requests.filter(F.trim(F.coalesce("product_id", F.lit(""))) != "").join(
         products.select(F.col("id").alias("product_id")), "product_id").select(
@@ -301,7 +390,7 @@ def product_details(requests: DataFrame, products: DataFrame, index: DataFrame |
     return by_id.unionByName(best)
 
 
-def compare_products(requests: DataFrame, products: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def compare_products(requests: DataFrame, products: DataFrame, index: DataFrame | SearchIndex | None = None) -> DataFrame:
     """(compare_id, position, id): the best hit for each listed name, misses dropped, input order kept."""
     names = requests.select("compare_id", F.posexplode("names").alias("position", "query"))
     distinct = names.select("query").distinct()
