@@ -49,7 +49,14 @@ class Aligner:
         split = spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not any(
             re.search("[^▁]▁", p) for p in pieces)
         self.joints = re.compile(r" (?<=\S )(?=\S)" if split else r"(?!)")
+        # whether chunks may be encoded one after the other in one call
+        self.joined = (lambda c: c and not c[0].isspace() and not c[-1].isspace()) if split else (lambda c: False)
         self.np = np
+        self.sizes_a, self.sizes_b = (np.array(list(map(len, own)), np.int64) for own in (self.bytes_a, self.bytes_b))
+        number = [b"%d" % i for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        # the id and what follows it: another id of the group, the other side, the next group, the end of the chunk
+        self.shown = [np.array([n + mark for n in number], object) for mark in (b",", b"|", b";", b"")]
+        self.shown_sizes = [np.array(list(map(len, own)), np.int64) for own in self.shown]
         self.clear()
 
     def clear(self) -> None:
@@ -63,10 +70,62 @@ class Aligner:
 
     def learn(self, chunks: list[str]) -> None:
         """Number chunks that are new."""
-        encoded = self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)
-        for chunk, ids_a, ids_b in zip(chunks, encoded, self.b.encode(chunks, num_threads=1)):
-            self.number[chunk] = len(self.texts)
-            self.add(" " + chunk, ids_a.ids, ids_b)
+        together = [c for c in chunks if self.joined(c)]
+        for start in range(0, len(together), 500):
+            self.add_together(together[start:start + 500])
+        for chunk in chunks:
+            if chunk not in self.number:
+                self.number[chunk] = len(self.texts)
+                self.add(" " + chunk, self.a.encode(" " + chunk, add_special_tokens=False).ids, self.b.encode(chunk))
+
+    def add_together(self, chunks: list[str]) -> None:
+        """Align many chunks as one text. A group ends where both sides end, as every chunk does."""
+        np = self.np
+        text = " ".join(chunks)
+        raw = (" " + text).encode()
+        ids_a, ids_b = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
+        if b"".join([self.bytes_a[i] for i in ids_a]) != raw or b"".join([self.bytes_b[i] for i in ids_b]) != raw:
+            return  # some chunk is not kept: each is looked at by itself
+        a, b = np.array(ids_a), np.array(ids_b)
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        last_a, last_b = np.searchsorted(ends_a, common), np.searchsorted(ends_b, common)  # last tokens of the groups
+        n_a, n_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        if int((n_a * n_b).sum()) > 64 * (len(a) + len(b)):
+            return
+        chunk_ends = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        last_group = np.searchsorted(common, chunk_ends)
+        group_a, group_b = np.repeat(np.arange(len(common)), n_a), np.repeat(np.arange(len(common)), n_b)
+        # every pair of tokens of a group
+        times_a = n_b[group_a]
+        first = np.cumsum(times_a) - times_a
+        at_b = np.repeat((last_b - n_b + 1)[group_a] - first, times_a) + np.arange(int(times_a.sum()))
+        pairs = np.repeat(a, times_a) << SHIFT | b[at_b]
+        # the groups as text, sides one after the other
+        closing = np.full(len(common), 2)
+        closing[last_group] = 3
+        mark_a, mark_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        mark_a[last_a], mark_b[last_b] = 1, closing
+        place_a = np.arange(len(a)) + (last_b - n_b + 1)[group_a]
+        place_b = np.arange(len(b)) + (last_a + 1)[group_b]
+        shown, sizes = np.empty(len(a) + len(b), object), np.zeros(len(a) + len(b), np.int64)
+        for ids, marks, place in ((a, mark_a, place_a), (b, mark_b, place_b)):
+            for mark in range(4):
+                own = marks == mark
+                shown[place[own]] = self.shown[mark][ids[own]]
+                sizes[place[own]] = self.shown_sizes[mark][ids[own]]
+        whole = b"".join(shown.tolist())
+        text_ends = np.cumsum(sizes)[place_b[last_b[last_group]]].tolist()
+        self.texts += [whole[x:y] for x, y in zip([0, *text_ends], text_ends)]
+        per = lambda totals: np.diff(totals, prepend=0)
+        links = np.cumsum(n_a * n_b)[last_group]
+        table = np.stack([per(last_a[last_group] + 1), per(last_b[last_group] + 1), per(last_group + 1), per(links),
+                          np.zeros(len(chunks), np.int64)], 1).astype(np.int64)
+        self.sizes.frombytes(table.tobytes())
+        self.ends.frombytes((links + len(self.pairs)).astype(np.int64).tobytes())
+        self.pairs.frombytes(pairs.astype(np.int64).tobytes())
+        self.times.frombytes(np.ones(len(pairs), np.int64).tobytes())
+        self.number.update(zip(chunks, range(len(self.texts) - len(chunks), len(self.texts))))
 
     def add(self, text: str, ids_a: list[int], ids_b: list[int]) -> None:
         from collections import Counter
