@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialise
+from .decontamination import _filter_words
 from .transducer import CountTransducer
 
 DEPTH = CountTransducer.DEPTH
 SHARD_WORDS = 1_500_000  # words of one language whose phrases are counted at once
-RANGE_BYTES = 8 << 20  # bytes of text for each prefix range
+RANGE_BYTES = 16 << 20  # bytes of text for each prefix range
 PENDING = 1_000_000  # phrases of shards that wait for a union
 LANE_ROWS = 100_000  # part look-ups of a range that one task answers at once
 # What ends a piece of a text, and what else separates words.
@@ -55,8 +56,20 @@ def part_range(phrase: bytes, ranges: int) -> int:
     return int(_range_of(own, ranges)[0])
 
 
-def _count(words, texts_ids, ranges: int):
-    """(range, transducer) of all phrases of 1 to DEPTH words in the sequence of word numbers; -1 ends a piece."""
+def _bit_of(pair_hashes, lang: str | None, bits: int):
+    """The bit of the filter that stands for a pair of words of a language."""
+    import numpy as np
+    import xxhash
+
+    mixed = _longer(pair_hashes, np.uint64(xxhash.xxh64_intdigest((lang or "").encode())))
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _count(words, texts_ids, ranges: int, least_words: int, most_words: int, frequent=None):
+    """(range, transducer) of all phrases of that many words in the sequence of word numbers; -1 ends a piece.
+
+    `frequent` says of the hashes of word pairs which may be frequent; longer phrases with another pair are left out.
+    """
     import numpy as np
 
     order = sorted(range(len(words)), key=words.__getitem__)
@@ -67,9 +80,13 @@ def _count(words, texts_ids, ranges: int):
     base, hashes = len(words), _word_hashes(words)
     counts = np.bincount(ids[ids >= 0], minlength=base)
     levels = [(np.arange(base, dtype=np.int32)[:, None], counts, hashes)]
+    pair = (ids[:-1] >= 0) & (ids[1:] >= 0)  # whether a pair to be looked at begins at a place
+    if frequent is not None:
+        at = np.flatnonzero(pair)
+        pair[at] = frequent(_longer(hashes[ids[at]], hashes[ids[at + 1]]))
     at, above = ids, ids >= 0  # the number of the phrase that begins at each place
-    for d in range(1, DEPTH):
-        place = np.flatnonzero(above[:len(ids) - d] & (ids[d:] >= 0))
+    for d in range(1, most_words):
+        place = np.flatnonzero(above[:len(ids) - d] & pair[d - 1:])
         keys, own, counts = np.unique(at[place] * base + ids[place + d], return_inverse=True, return_counts=True)
         at, above = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
         at[place], above[place] = own, True
@@ -77,6 +94,7 @@ def _count(words, texts_ids, ranges: int):
         parent, word = keys // base, keys % base
         prefix = before[parent] if d == DEPTH - 1 else _longer(before[parent], hashes[word])
         levels.append((np.concatenate([grams[parent], word[:, None].astype(np.int32)], 1), counts, prefix))
+    levels = levels[least_words - 1:]
     padded = [np.concatenate([g, np.full((len(g), DEPTH - g.shape[1]), -1, np.int32)], 1) for g, _, _ in levels]
     grams, counts = np.concatenate(padded), np.concatenate([c for _, c, _ in levels])
     own_range = _range_of(np.concatenate([h for _, _, h in levels]), ranges)
@@ -90,8 +108,11 @@ def _count(words, texts_ids, ranges: int):
             yield number, CountTransducer.from_unsorted([words[i] for i in used.tolist() if i >= 0], compact, counts[own])
 
 
-def _shards(ranges: int):
-    """Count the phrases of each task's texts in shards of bounded size; one automaton for each prefix range leaves."""
+def _shards(ranges: int, least_words: int, most_words: int, words_of_filter=None, bits: int = 0):
+    """Count the phrases of each task's texts in shards of bounded size; one automaton for each prefix range leaves.
+
+    With the words of a filter only phrases whose pairs are all in it are counted.
+    """
     def run(batches):
         from collections import defaultdict
         from itertools import count
@@ -107,13 +128,20 @@ def _shards(ranges: int):
         for byte in SPACES:
             table[byte] = 32
         table, shards = bytes(table), {}
+        lit = words_of_filter.value if words_of_filter else None
 
         def emit(lang):
             numbers, parts, _ = shards.pop(lang)
             words = list(numbers)[2:]
+
+            def frequent(hashes):
+                bit = _bit_of(hashes, lang, bits)
+                return (lit[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+
             if words:
                 ids = np.concatenate(parts)
-                for number, counted in _count(words, np.where(ids > 1, ids - 2, -1), ranges):
+                for number, counted in _count(words, np.where(ids > 1, ids - 2, -1), ranges, least_words, most_words,
+                                              frequent if lit is not None else None):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang]), pa.array([number], pa.int32()), pa.array([counted.to_bytes()], pa.binary())],
                         names=["lang", "range", "counts"])
@@ -144,6 +172,25 @@ def _shards(ranges: int):
     return run
 
 
+def _pair_bits(bits: int):
+    """The bits of the filter that the pairs of words in automata set."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for lang, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                automaton = CountTransducer.from_bytes(counts)
+                grams, _ = automaton.phrases()
+                pairs = grams[(grams[:, 1] >= 0) & (grams[:, 2] < 0), :2]
+                if len(pairs):
+                    hashes = _word_hashes(automaton.words)
+                    found = np.unique(_bit_of(_longer(hashes[pairs[:, 0]], hashes[pairs[:, 1]]), lang, bits))
+                    yield pa.RecordBatch.from_arrays([pa.array(found)], names=["bit"])
+
+    return run
+
+
 def _unite(least: int):
     """Unite the automata of a language and prefix range; what is frequent, and the number of all words, leave."""
     def run(batches):
@@ -229,8 +276,8 @@ def _look_up(batches):
                         names=["lang", "phrase", "a", "k", "right", "count"])
 
 
-def collocations(docs: DataFrame, least: int = 30, covered: int = 80, top: int | None = 2000, lang_col: str = "lang",
-                 text_col: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, covered: int = 80, top: int | None = 2000, filter_bits: int = 25,
+                 lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """The best phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
     Texts are lower-cased (A-Z), cut into pieces at `PIECE_ENDS` and those into words at spaces and tabs. Candidates are
@@ -244,6 +291,9 @@ def collocations(docs: DataFrame, least: int = 30, covered: int = 80, top: int |
     by prefix range: the hash of the first three words, so that a word or pair of words that begins a third of all phrases
     is spread over many ranges. Ranges grow with the texts. The automata of a range are united one after the other, weights
     added, and only frequent phrases leave; parts of a frequent phrase are frequent themselves, so nothing is lost.
+    Words and pairs are counted first. A filter of 2^filter_bits bits, of that size whatever the corpus, then tells the
+    tasks which pairs may be frequent, and phrases of three and four words are counted where all their pairs are; a full
+    filter would cost time, not results.
     The parts are sent to their ranges, in lanes where many ask for one, and composed with the automaton there.
 
     Null texts count as empty, null languages as `und`. Repeated rows count again; ids and other columns are not looked at.
@@ -254,10 +304,20 @@ def collocations(docs: DataFrame, least: int = 30, covered: int = 80, top: int |
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     ranges = max(1, -(-size // RANGE_BYTES))
     own = ["lang", "range"]
-    united = materialise(rows.mapInArrow(_shards(ranges), "lang string, range int, counts binary").repartition(
-        *own).sortWithinPartitions(*own).mapInArrow(
-        _unite(least), "lang string, range int, words long, counts binary"), "united")
-    totals = united.groupBy("lang").agg(F.sum("words").alias("n"))
+
+    def united_of(counts: DataFrame, least: int) -> DataFrame:
+        return counts.repartition(*own).sortWithinPartitions(*own).mapInArrow(
+            _unite(least), "lang string, range int, words long, counts binary")
+
+    counted = "lang string, range int, counts binary"
+    short = materialise(united_of(rows.mapInArrow(_shards(ranges, 1, 2), counted), least), "words-and-pairs")
+    filled = short.select("lang", "counts").mapInArrow(_pair_bits(filter_bits), "bit long").select(
+        F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("value")).groupBy(
+        "word").agg(F.expr("bit_or(value)").alias("value"))
+    lit = docs.sparkSession.sparkContext.broadcast(_filter_words(filled, filter_bits))
+    long = united_of(rows.mapInArrow(_shards(ranges, 3, DEPTH, lit, filter_bits), counted), least)
+    united = materialise(united_of(short.select(*own, "counts").unionByName(long.select(*own, "counts")), 1), "united")
+    totals = short.groupBy("lang").agg(F.sum("words").alias("n"))
     parts = materialise(united.select("lang", "counts").mapInArrow(
         _phrases(ranges), "lang string, phrase string, a long, k int, right boolean, part string, range int"), "parts")
     lanes = materialise(parts.groupBy(*own).agg(F.ceil(F.count("*") / LANE_ROWS).cast("int").alias("lanes")), "lanes")
