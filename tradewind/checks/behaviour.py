@@ -11,6 +11,7 @@ from ..operators.ranking import expire_idle, latest_by_key, ttl_epochs
 from ..plans.profile_build import build_profiles_from_events
 from ..schemas import PROFILE
 from ..session import fresh_path, materialise
+from ..sources.keyed_store import KeyedStore, change_store, create_store
 from ..sources.profile_store import write_profiles
 from ..sources.topics import read_events
 from .registry import flat, j, query, r
@@ -307,6 +308,36 @@ def s2(s: Shapes) -> DataFrame:
     return flat(s.spark.read.schema(PROFILE).parquet(second))
 
 
+def profile_store(s: Shapes) -> KeyedStore:
+    """First sessions with other numbers are the base; all profiles arrive as changes; users without views leave again."""
+    p = profiles_staged(s)
+    first = p.filter(F.col("session_id").endswith("-a")).withColumn("total_page_views", F.lit(0).cast("bigint"))
+    store = change_store(s.spark, create_store(first, ["user_id", "session_id"], buckets=16), p, compact_share=None)
+    return change_store(s.spark, store, None, p.filter("total_page_views < 2").select("user_id", "session_id"), compact_share=None)
+
+
+@query("s2_profile_store", f"SELECT {PROFILE_SQL_COLS} FROM x_prof WHERE NOT coalesce(total_page_views < 2, false)")
+def s2_store(s: Shapes) -> DataFrame:
+    """A base and two deltas, merged when they are read."""
+    return flat(profile_store(s).rows(s.spark))
+
+
+@query("s2_profile_store_compacted", f"SELECT {PROFILE_SQL_COLS} FROM x_prof WHERE NOT coalesce(total_page_views < 2, false)")
+def s2_compacted(s: Shapes) -> DataFrame:
+    """The same after every bucket was rewritten."""
+    store = profile_store(s)
+    return flat(change_store(s.spark, store, store.rows(s.spark).limit(0), compact_share=0.0).rows(s.spark))
+
+
+@query("s8_profile_store_lookup", """
+SELECT user_id, session_id, last_updated FROM x_prof WHERE NOT coalesce(total_page_views < 2, false)
+  AND session_id IN (SELECT user_id || '-b' FROM x_prof) AND session_id LIKE '%-b'""")
+def s8_store(s: Shapes) -> DataFrame:
+    """Second sessions by their keys; only the buckets of the keys are read."""
+    asked = profiles_staged(s).select("user_id", F.concat("user_id", F.lit("-b")).alias("session_id"))
+    return profile_store(s).lookup(asked).select("user_id", "session_id", "last_updated")
+
+
 @query("s8_profile_lookup", """
 SELECT user_id, session_id, last_updated FROM x_prof
 WHERE CAST(last_updated AS TIMESTAMP) + INTERVAL 1 DAY > TIMESTAMP '2024-01-31 00:00:00'
