@@ -190,3 +190,34 @@ def test_payment_confirms_only_pending_orders(spark):
 def test_paths(spark):
     df = spark.createDataFrame([("A >> B >> C",), (None,)], "p string").select(AR.ancestor_paths(F.col("p")).alias("a"))
     assert [r.a for r in df.collect()] == [["A", "A >> B", "A >> B >> C"], None]
+
+
+def test_prefilter_keeps_every_key_and_little_else(spark):
+    from tradewind.operators.catalog import missing_skus
+    from tradewind.operators.prefilter import may_hold
+
+    stored = spark.range(20_000).selectExpr("concat('s', id) AS sku", "id").unionByName(
+        spark.createDataFrame([(None, -1)], "sku string, id long"))
+    incoming = spark.range(19_900, 20_100).selectExpr("concat('s', id) AS sku")
+    kept = may_hold(stored, incoming, "sku")
+    ids = {r.id for r in kept.collect()}
+    assert kept.columns == stored.columns and ids >= set(range(19_900, 20_000)) and len(ids) < 200
+    assert may_hold(stored, incoming, "sku", 6).count() >= 100  # a full filter loses nothing
+    assert may_hold(stored, incoming.limit(0), "sku").count() == 0
+    plan = missing_skus(incoming, stored)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_set" in plan
+    assert sorted(r.sku for r in missing_skus(incoming, stored).collect()) == sorted(f"s{i}" for i in range(20_000, 20_100))
+
+
+def test_an_import_counts_its_outcomes_while_it_is_written(spark, tmp_path):
+    from tradewind.operators.importing import import_stats, observed_import, observed_stats
+
+    lines = ['{"uniq_id":"a","product_name":"A","selling_price":5}', '{"uniq_id":"a","product_name":"A","selling_price":5}',
+             '{"uniq_id":"b","product_name":"B","selling_price":5}', '{"broken', '{"uniq_id":"c","product_name":"C","selling_price":7}']
+    (tmp_path / "f.txt").write_text("\n".join(lines))
+    known = spark.createDataFrame([("b",)], "sku string")
+    rows = run_import(spark, str(tmp_path / "f.txt"), known)
+    observed, counts = observed_import(rows)
+    observed.write.format("noop").mode("overwrite").save()
+    pairs = lambda df: sorted((r.outcome, r["rows"]) for r in df.collect())
+    assert pairs(observed_stats(spark, counts)) == pairs(import_stats(rows)) == [("errors", 1), ("imported", 2), ("skipped", 2)]

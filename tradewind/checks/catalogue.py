@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import arrays as A, catalog as C, text as X
 from ..operators import catalog as K, importing, merchandising as M, orders as O, ranking as R
 from ..plans.product_import import run_import
-from ..session import fresh_path
+from ..session import fresh_path, materialise
 from ..sources import product_files as PF
 from .registry import flat, query, r
 from .shapes import Shapes
@@ -759,15 +759,26 @@ def known_skus(s: Shapes) -> DataFrame:
     return often.select(F.concat(F.lit("U-"), F.col("l_partkey").cast("string")).alias("sku"))
 
 
-@query("a11_import_stats", """
+STATS = """
 WITH known AS (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(*) >= 30),
 lines AS (SELECT p_partkey, CASE WHEN p_size = 13 THEN 'errors' WHEN p_partkey IN (SELECT * FROM known) THEN 'skipped' ELSE 'imported' END AS outcome FROM part
   UNION ALL SELECT p_partkey, 'skipped' FROM part WHERE p_size = 7)
-SELECT outcome, count(*) AS rows FROM lines GROUP BY outcome""")
+SELECT outcome, count(*) AS rows FROM lines GROUP BY outcome"""
+
+
+@query("a11_import_stats", STATS)
 def a11(s: Shapes) -> DataFrame:
     return importing.import_stats(run_import(s.spark, product_file(s), known_skus(s)))
 
 
+@query("a11_observed_import_stats", STATS)
+def a11_observed(s: Shapes) -> DataFrame:
+    """The counts that the import leaves behind while its rows are written."""
+    rows, counts = importing.observed_import(run_import(s.spark, product_file(s), known_skus(s)))
+    materialise(rows, "imported")
+    return importing.observed_stats(s.spark, counts)
+
+
 @query("s4_embedding_input", """
 SELECT id, '{"id":"' || id || '","content":"Category: ' || category_name || '. ' || name || '. Brand: ' || brand || '. ' || description || '"}' AS content
 FROM x_pc WHERE status = 'ACTIVE'""")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import ancestor_paths
+from .prefilter import may_hold
 
 # ---- fixed values -------------------------------------------------------------------------
 DEFAULT_MIN_PRICE, DEFAULT_MAX_PRICE = 0, 999999
@@ -188,8 +189,11 @@ def category_tree(categories: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def missing_skus(incoming: DataFrame, products: DataFrame) -> DataFrame:
-    """Incoming rows whose SKU is not stored yet."""
-    return incoming.join(products.select("sku"), "sku", "left_anti")
+    """Incoming rows whose SKU is not stored yet.
+
+    Of the stored catalogue only SKUs that may be among the incoming ones are shuffled.
+    """
+    return incoming.join(may_hold(products.select("sku"), incoming, "sku"), "sku", "left_anti")
 
 
 def rows_by_keys(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
