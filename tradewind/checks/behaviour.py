@@ -83,13 +83,15 @@ def j1(s: Shapes) -> DataFrame:
 
 # ---- sources, projections, collections ----
 
-@query("s1_read_events", "SELECT event_id, user_id, session_id, product_id, category, search_query, view_duration_ms, "
-       + r("price") + " FROM x_views")
+READ_COLUMNS = ("event_id", "user_id", "session_id", "product_id", "category", "search_query", "view_duration_ms", "price")
+READ_SQL = f"SELECT {', '.join(READ_COLUMNS[:-1])}, " + r("price") + " FROM x_views"
+
+
+@query("s1_read_events", READ_SQL)
 def s1(s: Shapes) -> DataFrame:
     path = fresh_path(s.spark, "product-views")
     s.wire("product-views").write.parquet(path)
-    return flat(read_events(s.spark, "product-views", path), "event_id", "user_id", "session_id", "product_id",
-                "category", "search_query", "view_duration_ms", "price")
+    return flat(read_events(s.spark, "product-views", path), *READ_COLUMNS)
 
 
 @query("s1_read_events_json", "SELECT order_id, user_id, payment_method, status, " + r("total") + ", count(product_id) AS items "

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.events import minute_activity, timed_events
 from ..schemas import PROFILE, TOPICS
-from ..session import fresh_path
-from ..sources.topics import read_events
+from ..session import fresh_path, materialise
+from ..sources.topics import OffsetLog, events_of, read_events, read_records
 from ..streaming import aggregates
 from ..streaming.profiles import ProfileStream, envelope, merge_into_cache
-from .behaviour import PROFILE_SQL_COLS, _merge_sql, profiles_staged
+from .behaviour import PROFILE_SQL_COLS, READ_COLUMNS, READ_SQL, _merge_sql, profiles_staged
 from .registry import flat, query, r
 from .shapes import Shapes
 
@@ -43,6 +43,45 @@ def run_to_table(df: DataFrame, s: Shapes, mode: str, keys: list[str], places: t
     return rows.groupBy(*keys).agg(newest.alias("row")).select("row.*")
 
 
+def record_folder(s: Shapes, topic: str) -> str:
+    """A topic as records of a bus with three partitions, landed in three files of which the second comes twice."""
+    path = fresh_path(s.spark, f"{topic}-records")
+    wire = s.wire(topic)
+    part = F.pmod(F.xxhash64("userId"), F.lit(3)).cast("int")
+    rows = wire.select(F.to_json(F.struct(*wire.columns)).alias("value"), part.alias("partition"), "eventId")
+    place = F.row_number().over(Window.partitionBy("partition").orderBy(F.xxhash64("eventId"), "eventId")) - 1
+    rows = materialise(rows.withColumn("offset", place.cast("long")).select("value", "partition", "offset"), "records")
+    third = F.ceil((rows.agg(F.max("offset")).first()[0] + 1) / F.lit(3))
+    for i in (0, 1, 1, 2):
+        rows.where(F.floor(F.col("offset") / third) == i).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@query("s1_read_records", READ_SQL)
+def s1_records(s: Shapes) -> DataFrame:
+    """Records of a bus read in one batch, records that came twice once."""
+    log = OffsetLog(fresh_path(s.spark, "offsets"))
+    records = log.fresh(read_records(s.spark, record_folder(s, "product-views")), 0)
+    return flat(events_of(records, "product-views"), *READ_COLUMNS)
+
+
+@query("s1_stream_records", READ_SQL)
+def s1_stream_records(s: Shapes) -> DataFrame:
+    """The same as a stream of several batches that marks how far each partition was taken."""
+    log, out = OffsetLog(fresh_path(s.spark, "offsets")), fresh_path(s.spark, "stream-out")
+
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = materialise(log.fresh(batch, number), "fresh-records")
+        events_of(fresh, "product-views").write.mode("overwrite").parquet(f"{out}/b={number}")
+        log.commit(fresh, number)
+
+    stream = read_records(s.spark, record_folder(s, "product-views"), streaming=True, maxFilesPerTrigger="1")
+    q = stream.writeStream.option("checkpointLocation", fresh_path(s.spark, "stream-state")).foreachBatch(write).trigger(
+        availableNow=True).start()
+    q.awaitTermination()
+    return flat(s.spark.read.parquet(out).drop("b"), *READ_COLUMNS)
+
+
 @query("st1_stream_session_counts", """
 SELECT user_id, session_id, total_page_views, product_page_views, cart_page_views, checkout_page_views,
   strftime(t, '%Y-%m-%d %H:%M:%S') AS last_event_time FROM x_a3""")
