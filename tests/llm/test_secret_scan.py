@@ -45,6 +45,21 @@ def test_owners_tell_live_secrets_from_examples(make):
     assert got[22]["spans"] == "assign:0:30"
 
 
+def test_one_owner_with_many_repositories_is_no_live_secret(make):
+    """The same key in five repositories of one owner, in two of one owner, and in one repository each of three owners."""
+    vendored, live, shared, loose = (f"AKIA{c * 16}" for c in "ABCD")
+    token = "xY7" * 8
+    rows = [(i, f"{vendored} {token}", "one", "", "", f"repository{i}") for i in range(5)]
+    rows += [(10 + i, live, "two", "", "", f"repository{i}") for i in range(2)]
+    rows += [(20 + i, shared, f"owner{i}", "", "", "repository") for i in range(3)]
+    rows += [(30 + i, loose, f"owner{i}", "", "", "repository") for i in range(2)]
+    docs = make([]).unionByName(make([]).sparkSession.createDataFrame(rows, make([]).schema))
+    got = by_id(secret_scan(docs, repository_col="label"))
+    what = {i: (r["n_live"], r["n_example"], r["most_owners"], r["most_repositories"], r["n_owned"]) for i, r in got.items()}
+    assert what[0] == (0, 1, 1, 5, 0)  # one owner, yet copied; nor is the token beside it added
+    assert what[10] == (1, 0, 1, 2, 0) and what[20] == (0, 1, 3, 3, 0) and what[30] == (0, 0, 2, 2, 0)
+
+
 def test_repeated_ids_and_empty_tables(make):
     got = secret_scan(make([(1, "token=abcdef"), (1, "token=abcdef"), (None, "x"), (1, "y")]), repository_col="label").collect()
     assert sorted((r.doc_id or 0, r.n_assign) for r in got) == [(0, 0), (1, 0), (1, 1), (1, 1)]

@@ -35,18 +35,22 @@ def _found(text: Column, kind: str) -> Column:
 
 
 def secret_scan(docs: DataFrame, owner_col: str = "source", repository_col: str = "lang", id_col: str = "doc_id",
-                text_col: str = "text", max_owners: int = 1, example_owners: int = 3) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_example.
+                text_col: str = "text", max_owners: int = 1, max_repositories: int = 2, example_owners: int = 3,
+                example_repositories: int = 4) -> DataFrame:
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_example,
+    most_owners, most_repositories.
 
     Base kinds are found left to right without overlaps, per kind, in the whole text: `assign` (a labelled value of
     6 characters or more), `access` (AKIA ids of 20 or more), `hex` (24 or more digits). Spans are written
     kind:start:end in code points, by start, then by kind; base_sha256 is over the base spans alone.
 
     Corpus-wide ownership: the hash of every candidate secret is aggregated by distinct owner and repository (an
-    owner's repository). A secret under at most `max_owners` owners looks live (n_live counts a document's base
-    spans of that sort), one under `example_owners` or more is a copied example (n_example). The method adds spans of
-    kind `owned`: tokens of 20 or more characters with lower-case, upper-case and digits, outside every base span,
-    under at most `max_owners` owners; widely copied ones are examples and add nothing.
+    owner's repository). A secret under at most `max_owners` owners and in at most `max_repositories` repositories looks
+    live (n_live counts a document's base spans of that sort); one under `example_owners` owners or more, or in
+    `example_repositories` repositories or more, of one owner even, is a copied example (n_example). most_owners and
+    most_repositories are the highest numbers of the document's base spans, 0 without one. The method adds spans of
+    kind `owned`: tokens of 20 or more characters with lower-case, upper-case and digits, outside every base span, that
+    look live; widely copied ones are examples and add nothing.
 
     Only built-in functions run. Texts are read in place; what is shuffled are candidates, pre-aggregated by
     (hash, owner, repository), and joins read written tables, so a secret that very many rows copy is split by
@@ -85,20 +89,23 @@ def secret_scan(docs: DataFrame, owner_col: str = "source", repository_col: str
     owners = spans.groupBy("hash", "owner", "repository").count().groupBy("hash", "owner").agg(
         F.count("*").alias("repositories")).groupBy("hash").agg(
         F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-    judged = spans.join(materialise(owners, "owners"), "hash").where(
-        (F.col("kind") < len(BASE)) | (F.col("owners") <= max_owners))
+    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    example = (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)
+    judged = spans.join(materialise(owners, "owners"), "hash").where((F.col("kind") < len(BASE)) | live)
     of = lambda rank: F.count(F.when(F.col("kind") == rank, True))
     base = F.col("kind") < len(BASE)
     shown = F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1), "start", "stop")
     item = F.struct("start", "kind", shown.alias("shown"))
     summary = judged.groupBy("row").agg(
         *[of(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
-        F.count(F.when(base & (F.col("owners") <= max_owners), True)).alias("n_live"),
-        F.count(F.when(base & (F.col("owners") >= example_owners), True)).alias("n_example"),
+        F.count(F.when(base & live, True)).alias("n_live"), F.count(F.when(base & example, True)).alias("n_example"),
+        F.max(F.when(base, F.col("owners"))).alias("most_owners"),
+        F.max(F.when(base, F.col("repositories"))).alias("most_repositories"),
         F.array_sort(F.collect_list(item)).alias("all"), F.array_sort(F.collect_list(F.when(base, item))).alias("base"))
     text_of = lambda c: F.concat_ws(",", F.transform(F.coalesce(F.col(c), F.array()), lambda s: s["shown"]))
     counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-              for c in ("n_assign", "n_access", "n_hex", "n_owned", "n_live", "n_example")]
+              for c in ("n_assign", "n_access", "n_hex", "n_owned", "n_live", "n_example", "most_owners",
+                        "most_repositories")]
     return found.select("row", "doc_id").join(summary, "row", "left").select(
         "doc_id", *counts[:3], F.sha2(text_of("base"), 256).alias("base_sha256"), text_of("all").alias("spans"), *counts[3:])
 
@@ -128,17 +135,20 @@ def oracle() -> str:
     raw AS MATERIALIZED ({union}),
     spans AS (SELECT * FROM raw s WHERE kind < 3 OR NOT EXISTS (
       SELECT 1 FROM raw b WHERE b.r = s.r AND b.kind < 3 AND b.start < s.stop AND s.start < b.stop)),
-    owners AS (SELECT secret, count(DISTINCT owner) AS owners FROM spans GROUP BY secret),
-    judged AS (SELECT * FROM spans JOIN owners USING (secret) WHERE kind < 3 OR owners <= 1),
+    owners AS (SELECT secret, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repository)) AS repositories
+               FROM spans GROUP BY secret),
+    judged AS (SELECT * FROM spans JOIN owners USING (secret) WHERE kind < 3 OR (owners <= 1 AND repositories <= 2)),
     summary AS (
       SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
              count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_owned,
-             count(*) FILTER (kind < 3 AND owners <= 1) AS n_live,
-             count(*) FILTER (kind < 3 AND owners >= 3) AS n_example,
+             count(*) FILTER (kind < 3 AND owners <= 1 AND repositories <= 2) AS n_live,
+             count(*) FILTER (kind < 3 AND (owners >= 3 OR repositories >= 4)) AS n_example,
+             max(owners) FILTER (kind < 3) AS most_owners, max(repositories) FILTER (kind < 3) AS most_repositories,
              string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans,
              string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < 3) AS base
       FROM judged GROUP BY r)
     SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned,
-           coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+           coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example,
+           coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
     FROM d LEFT JOIN summary USING (r)"""
