@@ -35,6 +35,12 @@ def p4(s: Shapes) -> DataFrame:
     return K.products_by_ids(s.products(), s.product_views().select(F.col("product_id").alias("id"))).select("id", "sku")
 
 
+@query("p4_products_by_ids_stored", "SELECT id, sku FROM x_prod WHERE id IN (SELECT product_id FROM x_views)")
+def p4_stored(s: Shapes) -> DataFrame:
+    """The same from the keyed table, of which only the buckets of the ids are read."""
+    return s.product_store().lookup(s.product_views().select(F.col("product_id").alias("id"))).select("id", "sku")
+
+
 @query("p4_product_by_id_and_sku", "SELECT id, sku FROM x_prod WHERE id = '7' OR sku = 'SKU-11'")
 def p4_one(s: Shapes) -> DataFrame:
     return K.product_by_id(s.products(), "7").unionByName(K.product_by_sku(s.products(), "SKU-11")).select("id", "sku")

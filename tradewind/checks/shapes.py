@@ -15,6 +15,7 @@ from ..operators.events import flatten_order_items, timed_ai_events, timed_event
 from ..operators.importing import build_categories
 from ..schemas import to_wire
 from ..session import materialise
+from ..sources.keyed_store import KeyedStore, create_store
 from ..sources.leaf_index import LeafIndex, build_leaf_index
 from ..sources.search_index import SearchIndex, build_search_index
 
@@ -29,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _READ[key]
 
 
-_STAGED: dict[tuple[str, str, str], DataFrame | LeafIndex | SearchIndex] = {}
+_STAGED: dict[tuple[str, str, str], DataFrame | KeyedStore | LeafIndex | SearchIndex] = {}
 
 
 def staged(build):
@@ -56,6 +57,13 @@ class Shapes:
             F.col("p_partkey").alias("line"),
             F.concat_ws(" >> ", F.lit("Catalog"), "p_type", F.element_at(F.split("p_name", " "), -1)).alias("path"))
 
+    def product_store(self) -> KeyedStore:
+        """The products as a stored table keyed by id."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "product_store")
+        if key not in _STAGED:
+            _STAGED[key] = create_store(self.products(), ["id"], buckets=64)
+        return _STAGED[key]
+
     def search_index(self) -> SearchIndex:
         """The keyword index of the catalogue, stored with it."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir, "search_index")

@@ -88,13 +88,15 @@ def check_stock(lines: DataFrame, products: DataFrame) -> DataFrame:
         F.min(F.when(failed, F.col("product_id"))).alias("failed_product_id"))
 
 
-def _step_blocks(deltas: DataFrame, order: str) -> Column:
-    """Which of several blocks of the order a step is in; about STEP_BLOCK steps each, by quantiles of `order`."""
-    blocks = -(-deltas.count() // STEP_BLOCK)
+def _with_blocks(steps: DataFrame, order: list[str]) -> DataFrame:
+    """Steps with the block of the order they are in, about STEP_BLOCK steps each: the parts of a range partitioning.
+
+    Only the number of steps comes to the driver; the parts are written, so that their numbers stay as they are.
+    """
+    blocks = -(-steps.count() // STEP_BLOCK)
     if blocks <= 1:
-        return F.lit(0)
-    cuts = deltas.agg(F.percentile_approx(order, [i / blocks for i in range(1, blocks)], 100 * blocks)).first()[0] or []
-    return F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(order)))
+        return steps.withColumn("_block", F.lit(0))
+    return materialise(steps.repartitionByRange(blocks, *order).withColumn("_block", F.spark_partition_id()), "steps")
 
 
 def _fold_steps(rows):
@@ -129,7 +131,7 @@ def apply_stock_deltas(products: DataFrame, deltas: DataFrame, order: list[str])
     is not one window. Only the flagged products' steps are sorted and folded, in constant memory.
     """
     steps = deltas.filter(F.col("delta").isNotNull())
-    tagged = steps.withColumn("_block", _step_blocks(steps, order[0]))
+    tagged = _with_blocks(steps, order)
     inner = W.partitionBy("product_id", "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     runs = tagged.withColumn("_run", F.sum("delta").over(inner))
     blocks = runs.groupBy("product_id", "_block").agg(
