@@ -16,6 +16,45 @@ FAN = 16  # vectors added at once in the tree
 SHIFT = 32
 
 
+class Numbers(dict):
+    """Numbers of chunks; one asked for the first time gets the next number and is new."""
+
+    def __init__(self, texts: list):
+        self.texts, self.new = texts, []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = number = len(self.texts) + len(self.new)
+        self.new.append(chunk)
+        return number
+
+
+def byte_pair_encoder(path: str):
+    """Ids of texts by a byte-level vocabulary file, special strings as plain text.
+
+    Where the ids of a plain byte-level vocabulary are in the order of its merges, merging by rank is merging by id,
+    which `tiktoken` does in half the time; else the file's own library encodes.
+    """
+    import json
+
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from .token_counts import PIECES, byte_letters
+
+    spec = json.load(open(path, encoding="utf-8"))
+    vocabulary, byte_of = spec["model"]["vocab"], {letter: byte for byte, letter in enumerate(byte_letters())}
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]]
+    plain = spec.get("normalizer") is None and spec.get("pre_tokenizer", {}).get("type") == "ByteLevel" and spec[
+        "pre_tokenizer"].get("use_regex", True) and not spec["pre_tokenizer"].get("add_prefix_space") and [
+        vocabulary.get(m) for m in merges] == list(range(256, 256 + len(merges)))
+    if plain:
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if i < 256 + len(merges)}
+        return tiktoken.Encoding("plain", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
 class Aligner:
     """Aligns words of texts by the byte ends of both token sequences, and remembers them by number.
 
@@ -35,12 +74,12 @@ class Aligner:
         from .token_counts import byte_letters
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        vocabulary = Tokenizer.from_file(path_a)
+        self.encode_a = byte_pair_encoder(path_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte_of = {letter: byte for byte, letter in enumerate(byte_letters())}
-        self.bytes_a = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab().items():
+        self.bytes_a = [b""] * vocabulary.get_vocab_size()
+        for token, i in vocabulary.get_vocab().items():
             self.bytes_a[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
@@ -62,37 +101,49 @@ class Aligner:
     def clear(self) -> None:
         from array import array
 
-        self.number: dict[str, int] = {}
         # chunk 0 is none, so that no array is empty
         self.texts: list[bytes] = [b""]  # the groups of a chunk as text
+        self.number = Numbers(self.texts)
         self.sizes = array("q", [0] * 5)  # tokens of a, of b, groups, links, and 1 if its bytes are not kept
         self.pairs, self.times, self.ends, self.lost = array("q", [0]), array("q", [0]), array("q", [1, 1]), False
 
-    def learn(self, chunks: list[str]) -> None:
-        """Number chunks that are new."""
-        together = [c for c in chunks if self.joined(c)]
-        for start in range(0, len(together), 500):
-            self.add_together(together[start:start + 500])
-        for chunk in chunks:
-            if chunk not in self.number:
-                self.number[chunk] = len(self.texts)
-                self.add(" " + chunk, self.a.encode(" " + chunk, add_special_tokens=False).ids, self.b.encode(chunk))
+    def learn(self) -> None:
+        """Align the new chunks, in the order of their numbers."""
+        new, self.number.new = self.number.new, []
+        together: list[str] = []
+        for chunk in new:
+            if self.joined(chunk):
+                together.append(chunk)
+                if len(together) < 500:
+                    continue
+                chunk = None
+            self.add_together(together)
+            together = []
+            if chunk is not None:
+                self.add(" " + chunk, self.encode_a(" " + chunk), self.b.encode(chunk))
+        self.add_together(together)
 
     def add_together(self, chunks: list[str]) -> None:
+        """Align many chunks as one text, or each by itself where some chunk's bytes are not kept."""
+        if chunks and not self.add_all(chunks):
+            for chunk in chunks:
+                self.add(" " + chunk, self.encode_a(" " + chunk), self.b.encode(chunk))
+
+    def add_all(self, chunks: list[str]) -> bool:
         """Align many chunks as one text. A group ends where both sides end, as every chunk does."""
         np = self.np
         text = " ".join(chunks)
         raw = (" " + text).encode()
-        ids_a, ids_b = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
+        ids_a, ids_b = self.encode_a(" " + text), self.b.encode(text)
         if b"".join([self.bytes_a[i] for i in ids_a]) != raw or b"".join([self.bytes_b[i] for i in ids_b]) != raw:
-            return  # some chunk is not kept: each is looked at by itself
+            return False
         a, b = np.array(ids_a), np.array(ids_b)
         ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         last_a, last_b = np.searchsorted(ends_a, common), np.searchsorted(ends_b, common)  # last tokens of the groups
         n_a, n_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
         if int((n_a * n_b).sum()) > 64 * (len(a) + len(b)):
-            return
+            return False
         chunk_ends = np.cumsum([len(c.encode()) + 1 for c in chunks])
         last_group = np.searchsorted(common, chunk_ends)
         group_a, group_b = np.repeat(np.arange(len(common)), n_a), np.repeat(np.arange(len(common)), n_b)
@@ -125,7 +176,7 @@ class Aligner:
         self.ends.frombytes((links + len(self.pairs)).astype(np.int64).tobytes())
         self.pairs.frombytes(pairs.astype(np.int64).tobytes())
         self.times.frombytes(np.ones(len(pairs), np.int64).tobytes())
-        self.number.update(zip(chunks, range(len(self.texts) - len(chunks), len(self.texts))))
+        return True
 
     def add(self, text: str, ids_a: list[int], ids_b: list[int]) -> None:
         from collections import Counter
@@ -167,18 +218,17 @@ class Aligner:
 
     def chunks(self, texts: list[str]) -> list:
         """The numbers of the chunks of each text, in order; none for an empty text."""
-        np, number = self.np, self.number
+        np, number = self.np, self.number.__getitem__
         cut = [self.joints.split(t) if t else [] for t in texts]
-        new = {c: None for own in cut for c in own if c not in number}
-        if new:
-            self.learn(list(new))
-        return [self.whole(t, np.fromiter(map(number.__getitem__, own), np.int64, len(own))) for t, own in zip(texts, cut)]
+        numbers = [np.fromiter(map(number, own), np.int64, len(own)) for own in cut]
+        self.learn()
+        return [self.whole(t, own) for t, own in zip(texts, numbers)] if self.lost else numbers
 
     def whole(self, text: str, own):
         """A text with a chunk whose bytes are not kept is aligned as a whole, so that the rule holds for all its bytes."""
-        if not self.lost or not self.table()[own, 4].any():
+        if not self.table()[own, 4].any():
             return own
-        self.add(" " + text, self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text))
+        self.add(" " + text, self.encode_a(" " + text), self.b.encode(text))
         return self.np.array([len(self.texts) - 1]) if not self.sizes[-1] else own[:0]
 
     def table(self):
