@@ -92,6 +92,43 @@ def st1(s: Shapes) -> DataFrame:
     return flat(run_to_table(counts, s, "update", ["user_id", "session_id"]))
 
 
+def run_aggregate(s: Shapes, topic: str, aggregate, keys: list[str]) -> DataFrame:
+    """A running aggregate of a topic in batches of one file, newest row for each key."""
+    stream = read_events(s.spark, topic, topic_folder(s, topic), streaming=True, maxFilesPerTrigger="1")
+    return flat(run_to_table(aggregate(timed_events(stream)), s, "update", keys))
+
+
+TIME = "strftime(t, '%Y-%m-%d %H:%M:%S') AS last_event_time"
+
+
+@query("st1_stream_product_totals", f"""
+SELECT user_id, session_id, total_product_views, {r('avg_product_price')}, max_viewed_price, min_viewed_price, viewed_ms, strftime(v.t, '%Y-%m-%d %H:%M:%S') AS last_event_time
+FROM x_a1 JOIN (SELECT user_id, session_id, sum(view_duration_ms) FILTER (view_duration_ms > 0)::BIGINT AS viewed_ms, max(event_time) AS t
+  FROM x_views GROUP BY ALL) v USING (user_id, session_id)""")
+def st1_products(s: Shapes) -> DataFrame:
+    return run_aggregate(s, "product-views", aggregates.running_product_totals, ["user_id", "session_id"])
+
+
+@query("st1_stream_cart_state", f"""
+SELECT user_id, session_id, {r('current_cart_total')}, current_cart_items, cart_adds, cart_removes, {TIME} FROM x_a2""")
+def st1_carts(s: Shapes) -> DataFrame:
+    return run_aggregate(s, "cart-events", aggregates.running_cart_state, ["user_id", "session_id"])
+
+
+@query("st1_stream_ai_totals", f"""
+SELECT user_id, ai_search_count, {r('ai_avg_min_price')}, {r('ai_avg_max_price')}, {r('ai_max_budget')}, ai_product_searches,
+  ai_product_detail_views, ai_product_comparisons, ai_total_results_shown, {TIME} FROM x_a4""")
+def st1_ai(s: Shapes) -> DataFrame:
+    return run_aggregate(s, "ai-events", aggregates.running_ai_totals, ["user_id"])
+
+
+@query("st1_stream_order_totals", f"""
+SELECT user_id, total_orders, {r('total_spent')}, {r('avg_order_value')}, {r('last_order_total')}, preferred_payment_method,
+  last_order_status, {TIME} FROM x_a5""")
+def st1_orders(s: Shapes) -> DataFrame:
+    return run_aggregate(s, "order-events", aggregates.running_order_totals, ["user_id"])
+
+
 @query("st2_stream_profiles", f"SELECT {PROFILE_SQL_COLS} FROM x_prof")
 def st2(s: Shapes) -> DataFrame:
     """All five topics as one stream in three batches; the last snapshot equals the batch profiles."""
