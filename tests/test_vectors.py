@@ -114,6 +114,25 @@ def test_vectors_go_to_the_visits_of_their_own_leaf_alone(spark, monkeypatch):
     assert LI.leaf_count(10 ** 12, 1024) * 8 * 1024 <= LI.CENTRE_BYTES
 
 
+def test_a_query_goes_once_to_the_leaves_of_a_bin(spark, monkeypatch):
+    """Leaves of one bin are searched together: vectors and queries are not sent again for every leaf."""
+    rows = data(400, 6, 7)
+    index = spark.createDataFrame(rows, SCHEMA)
+    q = index.selectExpr("id AS query_id", "embedding")
+    exact = ranked(V.vector_search(q, index, 4, -1.0, leaves=1))
+    match, calls, found = V._block_matches, spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(asked, matrix, vectors):
+        calls.add(len(asked))
+        got = match(asked, matrix, vectors)
+        found.add(len(got))
+        return got
+
+    monkeypatch.setattr(V, "_block_matches", counted)
+    assert ranked(V.vector_search(q, index, 4, -1.0, leaves=16)) == exact
+    assert calls.value <= 2 * 400 and found.value <= 2 * 4 * 400  # two passes
+
+
 def test_index_merge_and_files(spark, tmp_path):
     old = spark.createDataFrame([("a", [1.0], "c", "x", 1.0, None), ("b", [2.0], "c", None, 2.0, 3.0)], SCHEMA)
     new = spark.createDataFrame([("b", [5.0], "d", "y", 2.5, 4.0)], SCHEMA)
