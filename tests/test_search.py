@@ -84,6 +84,19 @@ def test_substring_search_matches_a_plain_scan(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_equal_substring_requests_are_searched_once(spark, products, monkeypatch):
+    search, seen = S._like_matches, []
+    monkeypatch.setattr(S, "_like_matches", lambda q, p: seen.append(q.count()) or search(q, p))
+    monkeypatch.setattr(S, "REQUEST_ROWS", 3)
+    texts = {f"q{i}": "a" if i % 4 else "zzz" for i in range(20)}
+    queries = spark.createDataFrame([(q, t, None, None, None) for q, t in texts.items()],
+                                    "query_id string, query string, min_price double, max_price double, min_rating double")
+    got = sorted((r.query_id, r.id) for r in S.like_matches(queries, products).collect())
+    one = [r.id for r in search(queries.filter("query_id = 'q1'"), products).collect()]
+    assert one and got == sorted((q, i) for q, t in texts.items() if t == "a" for i in one)
+    assert seen == [2]
+
+
 def test_refused_bounds(spark):
     with pytest.raises(Exception, match="minimum price"):
         S.check_bounds(asked(spark, ("x", 5.0, 1.0, None))).collect()

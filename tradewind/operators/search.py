@@ -22,6 +22,7 @@ LIKE_FIELDS = ["name", "description", "brand"]
 # -------------------------------------------------------------------------------------------
 PIECE_ROWS = 500_000  # postings of one term or letter piece that meet queries in one task's group
 UNIT = 1_000_000  # scores are summed as whole millionths
+REQUEST_ROWS = 1_000  # queries of one request that one group gives its products to
 FIRST_ROWS = 1_024  # postings of a query's first blocks
 REQUEST = ["query", "min_price", "max_price", "min_rating"]
 
@@ -262,6 +263,23 @@ def _pieces(text: Column, n: int) -> Column:
 
 
 def like_matches(queries: DataFrame, products: DataFrame) -> DataFrame:
+    """(query_id, id): active products whose name, description or brand contains the query text (see `_like_matches`).
+
+    Equal requests are searched once. Queries of a request that very many ask are dealt to pieces of REQUEST_ROWS, each
+    of which gets the request's products, so no task gives out all rows of a popular request.
+    """
+    keyed = queries.filter("query_id IS NOT NULL").select(
+        "query_id", *REQUEST, F.sha2(F.to_json(F.struct(*REQUEST)), 256).alias("_request"))
+    counts = materialise(keyed.groupBy("_request").agg(
+        *[F.first(c).alias(c) for c in REQUEST], F.ceil(F.count("*") / REQUEST_ROWS).cast("int").alias("_pieces")), "requests")
+    found = _like_matches(counts.select(F.col("_request").alias("query_id"), *REQUEST), products).withColumnRenamed(
+        "query_id", "_request").join(counts.select("_request", "_pieces"), "_request")
+    dealt = keyed.select("query_id", "_request").join(counts.select("_request", "_pieces"), "_request").withColumn(
+        "_piece", F.pmod(F.xxhash64("query_id"), F.col("_pieces")).cast("int")).drop("_pieces")
+    return dealt.join(_to_all_pieces(found), ["_request", "_piece"]).select("query_id", "id")
+
+
+def _like_matches(queries: DataFrame, products: DataFrame) -> DataFrame:
     """(query_id, id): active products whose name, description or brand contains the query text.
 
     `%` and `_` in the query are wildcards, `\\` escapes. The literal runs of a query are cut into three-letter
@@ -330,7 +348,7 @@ def _product_search(queries: DataFrame, products: DataFrame, k: int, index: Data
     found = materialise(_best_matches(queries, index, k, blocks).select(
         "query_id", "id", (F.col("score") * 1.0).cast("double").alias("score"), "rank"), "found")
     missed = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    fallback = top_k(like_matches(missed, products).withColumn("score", F.lit(0.0)), ["query_id"], [F.col("id")], k)
+    fallback = top_k(_like_matches(missed, products).withColumn("score", F.lit(0.0)), ["query_id"], [F.col("id")], k)
     return found.unionByName(fallback.select("query_id", "id", "score", "rank"))
 
 
