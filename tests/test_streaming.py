@@ -142,3 +142,25 @@ def test_cache_forgets_idle_profiles(spark):
     cold = merge_into_cache(old, new, "2024-01-01 02:00:00").first()
     assert (warm.total_orders, cold.total_orders) == (50, 0)
     assert warm.last_updated == "2024-01-01 00:30:00" and live_profiles(p.limit(0), "2024-01-01 00:00:00").count() == 0
+
+
+def test_landed_files_are_bounded_in_three_batches(spark, tmp_path, monkeypatch):
+    """More events land in more files of bounded size; a batch takes a third of them."""
+    from tradewind.checks import streams
+    from tradewind.checks.shapes import Shapes
+
+    rows = [(i, 0, "user", f"text {i}") for i in range(300)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(
+        str(tmp_path / "data" / "conversations.parquet"))
+    monkeypatch.setattr(streams, "FILE_ROWS", 20)
+    seen = []
+
+    def take(batch, number):
+        files = batch.groupBy(F.input_file_name()).count().collect()
+        seen.append([r["count"] for r in files])
+
+    q = streams.topic_stream(Shapes(spark, str(tmp_path / "data")), "ai-events").writeStream.option(
+        "checkpointLocation", str(tmp_path / "state")).foreachBatch(take).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(seen) == 3 and sum(map(sum, seen)) == 300
+    assert max(map(max, seen)) <= 60 and all(len(files) >= 4 for files in seen)

@@ -17,6 +17,10 @@ from .registry import flat, query, r
 from .shapes import Shapes
 
 
+FILE_ROWS = 100_000  # events in a landed file, which one task writes and reads
+ROW_TABLES = {"order-events": "orders", "ai-events": "conversations"}  # tables with at least a topic's rows; else events
+
+
 def topic_folder(s: Shapes, topic: str, files: int = 3) -> str:
     """A topic landed as a few files, so that a stream reads it in several batches."""
     path = fresh_path(s.spark, topic)
@@ -24,6 +28,14 @@ def topic_folder(s: Shapes, topic: str, files: int = 3) -> str:
     return path
 
 
+def topic_stream(s: Shapes, topic: str, batches: int = 3) -> DataFrame:
+    """A landed topic as a stream of so many batches, each of as many files of FILE_ROWS rows as its rows ask for."""
+    rows = s.t(ROW_TABLES.get(topic, "events")).count()
+    files = max(1, -(-rows // (batches * FILE_ROWS)))
+    path = topic_folder(s, topic, batches * files)
+    return read_events(s.spark, topic, path, streaming=True, maxFilesPerTrigger=str(files))
+
+
 def run_to_table(df: DataFrame, s: Shapes, mode: str, keys: list[str], places: tuple[str, str] | None = None) -> DataFrame:
     """Run a stream over what is there, keep every emitted row with its batch, read the newest per key.
 
@@ -86,16 +98,14 @@ def s1_stream_records(s: Shapes) -> DataFrame:
 SELECT user_id, session_id, total_page_views, product_page_views, cart_page_views, checkout_page_views,
   strftime(t, '%Y-%m-%d %H:%M:%S') AS last_event_time FROM x_a3""")
 def st1(s: Shapes) -> DataFrame:
-    path = topic_folder(s, "user-events")
-    stream = read_events(s.spark, "user-events", path, streaming=True, maxFilesPerTrigger="1")
+    stream = topic_stream(s, "user-events")
     counts = aggregates.running_session_counts(timed_events(stream))
     return flat(run_to_table(counts, s, "update", ["user_id", "session_id"]))
 
 
 def run_aggregate(s: Shapes, topic: str, aggregate, keys: list[str]) -> DataFrame:
-    """A running aggregate of a topic in batches of one file, newest row for each key."""
-    stream = read_events(s.spark, topic, topic_folder(s, topic), streaming=True, maxFilesPerTrigger="1")
-    return flat(run_to_table(aggregate(timed_events(stream)), s, "update", keys))
+    """A running aggregate of a topic in three batches, newest row for each key."""
+    return flat(run_to_table(aggregate(timed_events(topic_stream(s, topic))), s, "update", keys))
 
 
 TIME = "strftime(t, '%Y-%m-%d %H:%M:%S') AS last_event_time"
@@ -132,7 +142,7 @@ def st1_orders(s: Shapes) -> DataFrame:
 @query("st2_stream_profiles", f"SELECT {PROFILE_SQL_COLS} FROM x_prof")
 def st2(s: Shapes) -> DataFrame:
     """All five topics as one stream in three batches; the last snapshot equals the batch profiles."""
-    streams = {t: read_events(s.spark, t, topic_folder(s, t), streaming=True, maxFilesPerTrigger="1") for t in TOPICS}
+    streams = {t: topic_stream(s, t) for t in TOPICS}
     job = ProfileStream(fresh_path(s.spark, "profile-stream"), buckets=8)
     q = job.start(envelope(streams))
     q.awaitTermination()
@@ -143,8 +153,7 @@ def st2(s: Shapes) -> DataFrame:
        + r("avg_product_price") + ", max_viewed_price FROM x_a1")
 def st3(s: Shapes) -> DataFrame:
     """Keyed state with expiry; nothing expires within one run, so totals equal the batch ones."""
-    path = topic_folder(s, "product-views")
-    stream = read_events(s.spark, "product-views", path, streaming=True, maxFilesPerTrigger="1")
+    stream = topic_stream(s, "product-views")
     totals = aggregates.running_views(timed_events(stream))
     with aggregates.stateful_settings(s.spark):
         return flat(run_to_table(totals, s, "update", ["user_id", "session_id"]))
@@ -191,7 +200,6 @@ def st4(s: Shapes) -> DataFrame:
 SELECT user_id, strftime(date_trunc('minute', event_time), '%Y-%m-%d %H:%M:%S') AS minute, count(*) AS events
 FROM x_views GROUP BY ALL""")
 def st5(s: Shapes) -> DataFrame:
-    path = topic_folder(s, "product-views")
-    stream = read_events(s.spark, "product-views", path, streaming=True, maxFilesPerTrigger="1")
+    stream = topic_stream(s, "product-views")
     minutes = minute_activity(timed_events(stream), watermark="40 days")
     return flat(run_to_table(minutes, s, "update", ["user_id", "minute"]))
