@@ -197,3 +197,31 @@ def test_bounds_do_not_join_requests_with_whole_groups(spark):
 
     few, many = joined_rows(5_000), joined_rows(50_000)
     assert few > 0 and many < 3 * few + 50_000  # each product is dealt to its piece once
+
+
+def test_bounded_requests_meet_few_rows_each(spark):
+    """A request around a price joins a few rows for each node of its ratings, not all cells inside its bounds."""
+    from pyspark.sql import functions as F
+
+    products = spark.range(6_000).selectExpr(
+        "cast(id AS string) id", "'hot' AS g", "pow(2, id % 997 / 70.0) AS price", "id % 51 / 10.0 AS rating")
+
+    def joined_rows(n):
+        queries = spark.range(n).selectExpr("cast(id AS string) query_id", "'hot' AS g", "1.0 + id % 13 AS min_price",
+                                            "9000.0 - id AS max_price", "id % 50 / 10.0 min_rating")
+        df = S.first_in_bounds(queries, products, ["g"], [F.col("price"), F.col("id")], 5)
+        assert df.count() == 5 * n
+        df.collect()
+        total, stack = 0, [df._jdf.queryExecution().executedPlan()]
+        while stack:
+            node = stack.pop()
+            if "AdaptiveSparkPlan" in node.nodeName():
+                stack.append(node.executedPlan())
+            elif "QueryStage" in node.nodeName():
+                stack.append(node.plan())
+            elif "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+                total += node.metrics().apply("numOutputRows").value()
+            stack += [node.children().apply(i) for i in range(node.children().size())]
+        return total
+
+    assert joined_rows(1_200) - joined_rows(200) < 20 * 1_000

@@ -168,14 +168,102 @@ def _cells() -> list[Column]:
             (coarse(price, doublings * 64) * 1000 + coarse(rating, rating * 10)).alias("_f")]
 
 
+def _price_cell(null: Column, price: Column) -> Column:
+    """A cell of price, 1/64 of a doubling; cells keep the order of prices, missing ones come first."""
+    doublings = F.log2(F.greatest(price, F.lit(0.5)) + 1)
+    return F.when(null, -1).otherwise(F.least(doublings * 64, F.lit(70_000.0)).cast("int"))
+
+
+def _rating_levels(rows: DataFrame, asked: DataFrame, group: list[str]) -> DataFrame:
+    """(group, _value, _rated, _at): the number of a rating among the group's ratings (_rated = 1), and that of the first
+    one that a requested rating allows (_rated = 0). Windows see the distinct ratings of a group, tenths of stars."""
+    values = rows.select(*group, F.col("rating").alias("_value"), F.lit(1).alias("_rated")).unionByName(
+        asked.select(*group, F.col("min_rating").alias("_value"), F.lit(0).alias("_rated")))
+    so_far = W.partitionBy(*group).orderBy("_value", "_rated").rowsBetween(W.unboundedPreceding, 0)
+    return values.filter("_value IS NOT NULL").distinct().withColumn(
+        "_at", F.sum("_rated").over(so_far) - F.col("_rated"))
+
+
+def _cheapest_in_bounds(queries: DataFrame, rows: DataFrame, group: list[str], n: int) -> DataFrame:
+    """(query_id, id, rank): the n cheapest rows, ties by id, of each query's group within its bounds.
+
+    In price order the rows from a lowest price on follow each other, so a request takes n ranks after its place and
+    the highest price cuts them afterwards. Ratings from a lowest one on are the disjoint nodes of a binary tree over
+    the group's ratings, at most one a level; a row belongs to one node a level and to the node of all, -1. Of equal
+    price only n rows of a node can be first. Places are counted within cells of price and over the cells, so no
+    window holds a whole group, and a request costs n rows a node however many rows or requests its group has.
+    """
+    number = lambda c: F.col(c).cast("double").alias(c)
+    known = " AND ".join(f"{g} IS NOT NULL" for g in group)
+    rows = rows.select(*group, "id", number("price"), number("rating")).filter(known)
+    asked = queries.select("query_id", *group, *[number(c) for c in ("min_price", "max_price", "min_rating")]).filter(known)
+    firsts = materialise(top_k(rows, [*group, "price", "rating"], [F.col("id")], n, "_turn").drop("_turn"), "bounded-rows")
+    levels = materialise(_rating_levels(firsts, asked, group), "rating-levels")
+    deep = (levels.filter("_rated = 1").agg(F.max("_at")).first()[0] or 0).bit_length()  # one number
+    node = lambda level, at: F.lit(level << 40) + at
+    root = F.lit(-1).cast("bigint")
+
+    # A request without a lowest price starts before the rows without a price, or after them if it has a highest one.
+    request = [*group, "_null", "_price", "_any", "_stars"]
+    lo, hi, stars = (F.col(c) for c in ("min_price", "max_price", "min_rating"))
+    is_open = lo.isNull() & hi.isNull()
+    asked = asked.select(
+        "query_id", *group, is_open.alias("_null"),
+        F.when(is_open, 0.0).otherwise(F.coalesce(lo, F.lit(float("-inf")))).alias("_price"),
+        stars.isNull().alias("_any"), F.coalesce(stars, F.lit(0.0)).alias("_stars"), "max_price")
+    allowed = levels.filter("_rated = 0").select(*group, F.col("_value").alias("_stars"), F.lit(False).alias("_any"), "_at")
+    at = F.col("_at")
+    suffix = [F.when(F.shiftright(at + ((1 << i) - 1), i) % 2 == 1, node(i, F.shiftright(at + ((1 << i) - 1), i))) for i in range(deep)]
+    whole = F.when(at == 0, node(deep, F.lit(0)))
+    nodes = F.when(F.col("_any"), F.array(root)).otherwise(F.array_compact(F.array(*suffix, whole)))
+    wants = materialise(asked.select(*request).distinct().join(allowed, [*group, "_stars", "_any"], "left").select(
+        *request, F.explode(nodes).alias("_node")), "bounded-requests")
+
+    rated = levels.filter("_rated = 1").select(*group, F.col("_value").alias("rating"), "_at")
+    own = F.when(at.isNull(), F.array(root)).otherwise(F.array(root, *[node(i, F.shiftright(at, i)) for i in range(deep + 1)]))
+    place, point = [*group, "_node"], [*group, "_node", "_null", "_price"]
+    held = firsts.join(rated, [*group, "rating"], "left").select(
+        *group, F.explode(own).alias("_node"), F.col("price").isNull().alias("_null"),
+        F.coalesce("price", F.lit(0.0)).alias("_price"), "id").join(wants.select(*place).distinct(), place, "left_semi")
+    held = materialise(top_k(held, point, [F.col("id")], n, "_turn"), "bounded-nodes")
+
+    points = wants.select(*point).distinct().select(*point, F.lit(0).alias("_rows"), F.lit(0).cast("bigint").alias("_n"))
+    prices = held.groupBy(*point).agg(F.lit(1).alias("_rows"), F.count("*").alias("_n"))
+    both = points.unionByName(prices).withColumn("_cell", _price_cell(F.col("_null"), F.col("_price")))
+    inner = W.partitionBy(*place, "_cell").orderBy(F.col("_null").desc(), "_price", "_rows").rowsBetween(W.unboundedPreceding, -1)
+    outer = W.partitionBy(*place).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    cells = both.groupBy(*place, "_cell").agg(F.sum("_n").alias("_n")).select(
+        *place, "_cell", F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_before"))
+    within = F.coalesce(F.sum("_n").over(inner), F.lit(0))
+    placed = materialise(both.withColumn("_at", within).join(cells, [*place, "_cell"]).select(
+        *point, "_rows", (F.col("_at") + F.col("_before")).alias("_at")), "bounded-places")
+
+    # Rows are listed once for each place that is asked for, then once for each request; lists hold n rows.
+    starts = placed.filter("_rows = 0").drop("_rows")
+    rank = F.col("_at") + F.col("_turn")
+    row = F.struct(F.when(~F.col("_null"), F.col("_price")).alias("price"), "id")
+    lists = held.join(placed.filter("_rows = 1"), point).select(
+        *place, row.alias("_row"), F.explode(F.sequence(F.greatest(rank - n, F.lit(0)), rank - 1)).alias("_at")).join(
+        starts.select(*place, "_at").distinct(), [*place, "_at"], "left_semi").groupBy(*place, "_at").agg(
+        F.collect_list("_row").alias("_list"))
+    found = wants.join(starts, point).join(lists, [*place, "_at"]).groupBy(*request).agg(
+        F.slice(F.array_sort(F.flatten(F.collect_list("_list"))), 1, n).alias("_list"))
+    met = F.filter("_list", lambda x: hi.isNull() | F.coalesce(x["price"] <= hi, F.lit(False)))
+    return asked.join(found, request).select("query_id", F.posexplode(met).alias("_at", "_row")).select(
+        "query_id", F.col("_row.id").alias("id"), (F.col("_at") + 1).alias("rank"))
+
+
 def first_in_bounds(queries: DataFrame, rows: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
     """(query_id, id, rank): the first n rows, in the given order, of each query's group within its bounds.
 
     Neither a popular group nor many requests for it multiply: rows fall into cells of price and rating, of which
     the extremes are known. A cell that lies within a request's bounds offers its own first n rows, one outside
     none. A cell on a border is looked at again in finer cells, and only fine cells on a border give all their rows,
-    in pieces of PIECE_ROWS. A request without bounds takes the first n of its group. Equal requests are one.
+    in pieces of PIECE_ROWS. A request without bounds takes the first n of its group. Equal requests are one. The order
+    by price and id needs no cells (see `_cheapest_in_bounds`).
     """
+    if [str(c) for c in order] == [str(F.col("price")), str(F.col("id"))]:
+        return _cheapest_in_bounds(queries, rows, group, n)
     bounds = ["min_price", "max_price", "min_rating"]
     numbers = [F.col(c).cast("double").alias(c) for c in ("price", "rating")]
     rows = rows.select(*group, "id", *numbers).filter(" AND ".join(f"{g} IS NOT NULL" for g in group))
