@@ -4,7 +4,9 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from tradewind.llm.decontamination import MASKS, contaminated_documents, decontaminate, masks_for, masks_of, seed_hashes
+from tradewind.llm import decontamination
+from tradewind.llm.decontamination import (
+    MASKS, WordHashes, contaminated_documents, decontaminate, masks_for, masks_of, seed_hashes, token_runs)
 
 
 def tokens(text):
@@ -35,6 +37,24 @@ def bench(spark):
     return lambda items: spark.createDataFrame(items, "item_id long, text string")
 
 
+def test_texts_share_the_steps_of_a_run(monkeypatch):
+    monkeypatch.setattr(decontamination, "RUN_TOKENS", 5)
+    texts = ["A b, C!", "", "-- __", "d e f g", "h", "\u00df2 x_y"]
+    runs = [(first, len(values), ends.tolist()) for first, values, ends in token_runs(texts, WordHashes())]
+    assert runs == [(0, 7, [3, 3, 3, 7]), (4, 3, [1, 3])]
+    assert list(token_runs([], WordHashes())) == []
+    known = WordHashes()
+    assert known["x_y"] == known["xy"] != known["--"] == 0
+
+
+def test_a_passage_cut_by_a_text_s_end_is_not_found(make, bench):
+    """Texts lie end to end in a run; a passage must not be put together from two of them."""
+    item = " ".join(f"w{i}" for i in range(8))
+    halves = [(1, "x w0 w1 w2 w3"), (2, "w4 w5 w6 w7 y"), (3, ""), (4, f"a b {item} c"), (5, item)]
+    docs = make(halves).coalesce(1).sortWithinPartitions("doc_id")
+    assert sorted(r.doc_id for r in contaminated_documents(docs, bench([(1, item)])).collect()) == [4, 5]
+
+
 def test_seeds_ignore_masked_tokens():
     a, b = np.arange(9, dtype=np.uint64), np.arange(9, dtype=np.uint64)
     b[4] = 77

@@ -18,39 +18,66 @@ SHORT_MASKS = {5: ("1111", "10111", "11011", "11101"), 6: ("1111", "11011"), 7:
 LEAST = 5  # tokens of the shortest item that is looked for
 WINDOW = 20  # tokens from which the fixed masks find every window alone
 CACHED_WORDS = 1_000_000
+RUN_TOKENS = 1 << 15  # tokens whose seeds are made in one step
 
 
-def token_hashes(text: str, known: dict) -> list[int]:
+class WordHashes(dict):
+    """The hash of a word without its punctuation, 0 if nothing is left; at most CACHED_WORDS are remembered."""
+
+    def __init__(self):
+        import re
+
+        import xxhash
+
+        super().__init__()
+        self._hash, self._strip = xxhash.xxh64_intdigest, re.compile(r"[\W_]+").sub
+
+    def __missing__(self, word: str) -> int:
+        bare = word if word.isalnum() else self._strip("", word)
+        value = (self._hash(bare.encode()) or 1) if bare else 0
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[word] = value
+        return value
+
+
+def token_hashes(text: str, known: WordHashes) -> list[int]:
     """A hash for each token: the words between white space, lower-cased, without punctuation."""
-    import re
-
-    import xxhash
-
-    out = []
-    for word in text.lower().split():
-        value = known.get(word)
-        if value is None:
-            bare = re.sub(r"[\W_]+", "", word)
-            value = (xxhash.xxh64_intdigest(bare.encode()) or 1) if bare else 0
-            if len(known) >= CACHED_WORDS:
-                known.clear()
-            known[word] = value
-        out.append(value)
+    out = list(map(known.__getitem__, text.lower().split()))
     return [v for v in out if v] if 0 in out else out
 
 
+def token_runs(texts: list[str], known: WordHashes):
+    """(first, tokens, ends): the tokens of successive texts from number `first` on, laid end to end, and where each ends.
+
+    A run closes with the text that fills RUN_TOKENS, so that numpy's steps cost little for a text and stay in the cache.
+    """
+    import numpy as np
+
+    first, tokens, ends = 0, [], []
+    for i, text in enumerate(texts):
+        tokens += token_hashes(text, known)
+        ends.append(len(tokens))
+        if len(tokens) >= RUN_TOKENS or i == len(texts) - 1:
+            yield first, np.array(tokens, np.uint64), np.array(ends)
+            first, tokens, ends = i + 1, [], []
+
+
 def seed_hashes(tokens, mask: str):
-    """The hash of the masked tokens from each position on, as uint64."""
+    """The hash of the masked tokens from each position on, as uint64: a polynomial of token hashes, mixed."""
     import numpy as np
 
-    n = len(tokens) - len(mask) + 1
-    out = np.full(max(n, 0), len(mask) * 2 + mask.count("1"), np.uint64)
-    factor = 0x9E3779B97F4A7C15
-    for i, c in enumerate(mask):
-        if c == "1" and n > 0:
-            out = (out ^ (out >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F) + tokens[i:i + n] * np.uint64(factor)
+    n = max(len(tokens) - len(mask) + 1, 0)
+    out = np.full(n, len(mask) * 2 + mask.count("1"), np.uint64)
+    if n:
+        factor = np.uint64(0xC2B2AE3D27D4EB4F)
+        for i, c in enumerate(mask):
+            if c == "1":
+                out *= factor
+                out += tokens[i:i + n]
     out ^= out >> np.uint64(29)
-    return out * np.uint64(factor)
+    out *= np.uint64(0x9E3779B97F4A7C15)
+    return out
 
 
 def masks_for(n: int) -> list[str]:
@@ -70,7 +97,7 @@ def _item_tokens(batches):
     import numpy as np
     import pyarrow as pa
 
-    known: dict = {}
+    known = WordHashes()
     for batch in slices(batches):
         tokens = [np.array(token_hashes(t, known), np.uint64).view(np.int64) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.int64()))],
@@ -100,7 +127,7 @@ def _regions(masks: list[str], words, bits: int, reach: int):
         import numpy as np
         import pyarrow as pa
 
-        table, known = words.value, {}
+        table, known = words.value, WordHashes()
         top, second, low = np.uint64(64 - bits), np.uint64(64 - 2 * bits), np.uint64((1 << bits) - 1)
         seven, six = np.uint64(63), np.uint64(6)
         seed_type = pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int64())]))
@@ -113,23 +140,26 @@ def _regions(masks: list[str], words, bits: int, reach: int):
 
         for batch in slices(batches):
             out = []
-            texts = batch.column(2).to_pylist()
-            for i, text in enumerate(texts):
-                tokens = np.array(token_hashes(text, known), np.uint64)
+            for first, tokens, ends in token_runs(batch.column(2).to_pylist(), known):
                 found = []
                 for mask in masks:
                     seeds = seed_hashes(tokens, mask)
                     hits = may_have(seeds)
-                    found += [(int(p), int(s)) for p, s in zip(hits, seeds[hits].view(np.int64))]
+                    texts = np.searchsorted(ends, hits, "right")
+                    within = hits + len(mask) <= ends[texts]  # a seed does not reach into the next text
+                    hits, texts = hits[within], texts[within]
+                    found += zip(texts.tolist(), hits.tolist(), seeds[hits].view(np.int64).tolist())
                 found.sort()
                 at = 0
                 while at < len(found):
-                    end = at + 1
-                    while end < len(found) and found[end][0] - found[end - 1][0] <= 2 * reach:
+                    end, text = at + 1, found[at][0]
+                    while end < len(found) and found[end][0] == text and found[end][1] - found[end - 1][1] <= 2 * reach:
                         end += 1
-                    begin, stop = max(0, found[at][0] - reach), min(len(tokens), found[end - 1][0] + 2 * reach)
-                    out.append((i, begin, tokens[begin:stop].view(np.int64),
-                                [{"seed": s, "at": p - begin} for p, s in found[at:end]]))
+                    begins = int(ends[text - 1]) if text else 0
+                    begin = max(begins, found[at][1] - reach)
+                    stop = min(int(ends[text]), found[end - 1][1] + 2 * reach)
+                    out.append((first + text, begin - begins, tokens[begin:stop].view(np.int64),
+                                [{"seed": s, "at": p - begin} for _, p, s in found[at:end]]))
                     at = end
             if out:
                 rows = pa.array([r[0] for r in out])
