@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tradewind.session import BROADCAST, bound_broadcasts, materialise
+from tradewind.session import BROADCAST, TASK_BYTES, bound_broadcasts, bound_tasks, materialise
 
 
 def test_small_files_with_many_rows_are_not_broadcast(spark):
@@ -24,3 +24,26 @@ def test_small_files_with_many_rows_are_not_broadcast(spark):
     finally:
         for key, value in kept.items():
             spark.conf.set(key, value)
+
+
+def test_well_packed_rows_are_read_by_many_tasks(spark):
+    """Texts that pack to a hundredth would all meet in a few tasks; a size that a session chose stays."""
+    kept = {key: spark.conf.get(key) for key in [
+        *TASK_BYTES, "spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.shuffle.partitions"]}
+    rows = spark.range(400_000, numPartitions=4).select(F.col("id"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    tasks = lambda: len(rows.repartition("id").select("text", F.spark_partition_id().alias("task")).groupBy(
+        "task").agg(F.max("text")).collect())
+    try:
+        for key in TASK_BYTES:
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        before = tasks()
+        bound_tasks(spark)
+        assert before == 1 and tasks() > 2
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20m")
+        bound_tasks(spark)
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "20m"
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)

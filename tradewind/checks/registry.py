@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..session import bound_broadcasts
+from ..session import bound_broadcasts, bound_tasks
 from .shapes import Shapes
 from .sql import compose
 
@@ -20,6 +20,7 @@ def query(name: str, sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
             bound_broadcasts(spark)
+            bound_tasks(spark)
             return fn(Shapes(spark, sf_dir))
         QUERIES[name] = run
         if sql:
