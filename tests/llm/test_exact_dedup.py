@@ -32,3 +32,15 @@ def test_repeated_and_missing_ids(make):
         make([(1, "t t"), (1, "t t"), (1, "tt"), (None, "u"), (2, "u")])).collect()), key=str)
     assert got == [(1, 1, 3, False), (1, 1, 3, True), (1, 1, 3, True), (2, None, 2, False), (None, None, 2, True)]
     assert exact_dedup(make([])).collect() == []
+
+
+def test_writes_no_files_and_shuffles_texts_once(make, spark, capsys):
+    import tradewind.session as session
+
+    before = list(session._WRITTEN)
+    found = exact_dedup(make([(i, "many copies" if i % 3 else f"text {i}") for i in range(300)]))
+    assert len(found.collect()) == 300 and session._WRITTEN == before
+    found.explain()
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[0]
+    dealt = [line for line in plan.splitlines() if "Exchange rangepartitioning" in line]
+    assert ["ReusedExchange" in line for line in dealt] == [False, True], plan

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import materialise
 from .common import SPACE, id_and_text
 
 
@@ -48,6 +47,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sort key, the splitters cut a large group of copies over several partitions like any other range; its
     runs meet again by the SHA-256 of the text in an aggregation that combines before it shuffles.
 
+    Nothing is written in between: both uses of the runs read the same range shuffle and sort it again, which costs
+    less than files of their own for every partition. Groups are added up by the digest's bytes and joined by its text,
+    so that the join shuffles both of its sides itself and can split the partition of a large group.
+
     Null texts count as empty, and all empty texts are equal. A null id counts as the smallest. Rows that
     repeat an id are rows of their own; all of those with the kept id and text count as kept. An empty table
     gives no rows. Columns other than id and text are not looked at.
@@ -58,12 +61,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = rows.schema["doc_id"].dataType.simpleString()
     runs = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(
         _runs, f"doc_id {ids}, n_chars long, text_sha256 string, first boolean")
-    runs = materialise(runs, "content-runs")
-    groups = materialise(runs.groupBy("text_sha256").agg(
+    groups = runs.groupBy(F.unhex("text_sha256").alias("digest")).agg(
         F.min(F.struct((-F.col("n_chars")).alias("size"), F.col("doc_id").alias("id"))).alias("best"),
-        F.count("*").alias("group_size")), "content-groups")
-    best = groups.select("text_sha256", F.col("best.id").alias("keep_id"), (-F.col("best.size")).alias("keep_chars"),
-                         "group_size")
+        F.count("*").alias("group_size"))
+    best = groups.select(F.lower(F.hex("digest")).alias("text_sha256"), F.col("best.id").alias("keep_id"),
+                         (-F.col("best.size")).alias("keep_chars"), "group_size")
     return runs.join(best, "text_sha256").select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))).alias("kept"),
