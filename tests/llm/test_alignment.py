@@ -93,3 +93,20 @@ def test_perfect_hash_numbers_each_key_once(rng):
         assert hashed.slots(np.array([2 ** 62 + 5])).max() < max(n, 1)
     with pytest.raises(ValueError):
         PerfectHash.build(np.array([3, 3]))
+
+
+def test_many_chunks_at_once_as_each_by_itself(rng):
+    from tradewind.llm.alignment import Aligner, byte_pair_encoder
+    from tradewind.llm.common import vocabulary_path
+
+    path = vocabulary_path("byte_bpe_50k.json")
+    encode, exact = byte_pair_encoder(path)  # so the tokens of the first side need no joining
+    assert exact and len(encode("née 日本 \x00")) > 3
+    letters = "abcdefghé日ñ.,-<|>012🙂\n\t"
+    chunks = list(dict.fromkeys("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(1200)))
+    together, single = (Aligner(path, vocabulary_path("piece_bpe_32k.model")) for _ in range(2))
+    together.learn(chunks)
+    for chunk in chunks:
+        single.add(" " + chunk, single.encode_a(" " + chunk), single.b.encode(chunk))
+    assert together.texts == single.texts and (together.table() == single.table()).all()
+    assert [together.number[c] for c in chunks] == list(range(1, len(chunks) + 1))

@@ -16,20 +16,9 @@ FAN = 16  # vectors added at once in the tree
 SHIFT = 32
 
 
-class Numbers(dict):
-    """Numbers of chunks; one asked for the first time gets the next number and is new."""
-
-    def __init__(self, texts: list):
-        self.texts, self.new = texts, []
-
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = number = len(self.texts) + len(self.new)
-        self.new.append(chunk)
-        return number
-
-
 def byte_pair_encoder(path: str):
-    """Ids of texts by a byte-level vocabulary file, special strings as plain text.
+    """A function from texts to ids by a byte-level vocabulary file, special strings as plain text, and whether the
+    tokens of a text are its own bytes, so that none is changed if none is lost.
 
     Where the ids of a plain byte-level vocabulary are in the order of its merges, merging by rank is merging by id,
     which `tiktoken` does in half the time; else the file's own library encodes.
@@ -49,10 +38,10 @@ def byte_pair_encoder(path: str):
         vocabulary.get(m) for m in merges] == list(range(256, 256 + len(merges)))
     if plain:
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if i < 256 + len(merges)}
-        return tiktoken.Encoding("plain", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return tiktoken.Encoding("plain", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, True
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids, False
 
 
 class Aligner:
@@ -75,7 +64,7 @@ class Aligner:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         vocabulary = Tokenizer.from_file(path_a)
-        self.encode_a = byte_pair_encoder(path_a)
+        self.encode_a, self.exact_a = byte_pair_encoder(path_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte_of = {letter: byte for byte, letter in enumerate(byte_letters())}
         self.bytes_a = [b""] * vocabulary.get_vocab_size()
@@ -89,13 +78,14 @@ class Aligner:
             re.search("[^▁]▁", p) for p in pieces)
         self.joints = re.compile(r" (?<=\S )(?=\S)" if split else r"(?!)")
         # whether chunks may be encoded one after the other in one call
-        self.joined = (lambda c: c and not c[0].isspace() and not c[-1].isspace()) if split else (lambda c: False)
+        self.joined = (lambda c: c and c.strip() == c) if split else (lambda c: False)
         self.np = np
         self.sizes_a, self.sizes_b = (np.array(list(map(len, own)), np.int64) for own in (self.bytes_a, self.bytes_b))
         number = [b"%d" % i for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         # the id and what follows it: another id of the group, the other side, the next group, the end of the chunk
-        self.shown = [np.array([n + mark for n in number], object) for mark in (b",", b"|", b";", b"")]
-        self.shown_sizes = [np.array(list(map(len, own)), np.int64) for own in self.shown]
+        self.shown = np.array([n + mark for mark in (b",", b"|", b";", b"") for n in number], object)
+        self.shown_sizes, self.marks = np.array(list(map(len, self.shown)), np.int64), len(number)
+        self.pieces_a, self.pieces_b = (np.array(own, object) for own in (self.bytes_a, self.bytes_b))
         self.clear()
 
     def clear(self) -> None:
@@ -103,25 +93,22 @@ class Aligner:
 
         # chunk 0 is none, so that no array is empty
         self.texts: list[bytes] = [b""]  # the groups of a chunk as text
-        self.number = Numbers(self.texts)
+        self.number: dict[str, int] = {}
         self.sizes = array("q", [0] * 5)  # tokens of a, of b, groups, links, and 1 if its bytes are not kept
         self.pairs, self.times, self.ends, self.lost = array("q", [0]), array("q", [0]), array("q", [1, 1]), False
 
-    def learn(self) -> None:
-        """Align the new chunks, in the order of their numbers."""
-        new, self.number.new = self.number.new, []
-        together: list[str] = []
-        for chunk in new:
-            if self.joined(chunk):
-                together.append(chunk)
-                if len(together) < 500:
-                    continue
-                chunk = None
-            self.add_together(together)
-            together = []
-            if chunk is not None:
-                self.add(" " + chunk, self.encode_a(" " + chunk), self.b.encode(chunk))
-        self.add_together(together)
+    def learn(self, new: list[str]) -> None:
+        """Give new chunks the next numbers and align them in that order."""
+        first = len(self.texts)
+        self.number.update(zip(new, range(first, first + len(new))))
+        apart = [i for i, chunk in enumerate(new) if not self.joined(chunk)]
+        start = 0
+        for stop in [*apart, len(new)]:
+            for at in range(start, stop, 500):
+                self.add_together(new[at:min(at + 500, stop)])
+            if stop < len(new):
+                self.add(" " + new[stop], self.encode_a(" " + new[stop]), self.b.encode(new[stop]))
+            start = stop + 1
 
     def add_together(self, chunks: list[str]) -> None:
         """Align many chunks as one text, or each by itself where some chunk's bytes are not kept."""
@@ -135,16 +122,21 @@ class Aligner:
         text = " ".join(chunks)
         raw = (" " + text).encode()
         ids_a, ids_b = self.encode_a(" " + text), self.b.encode(text)
-        if b"".join([self.bytes_a[i] for i in ids_a]) != raw or b"".join([self.bytes_b[i] for i in ids_b]) != raw:
-            return False
-        a, b = np.array(ids_a), np.array(ids_b)
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
         ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
-        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        last_a, last_b = np.searchsorted(ends_a, common), np.searchsorted(ends_b, common)  # last tokens of the groups
+        if not len(a) or not len(b) or ends_a[-1] != len(raw) or ends_b[-1] != len(raw):
+            return False
+        if not (self.exact_a or b"".join(self.pieces_a[a].tolist()) == raw) or b"".join(self.pieces_b[b].tolist()) != raw:
+            return False
+        at_end = np.zeros(len(raw) + 1, bool)
+        at_end[ends_a] = True
+        last_b = np.flatnonzero(at_end[ends_b])  # last tokens of the groups
+        common = ends_b[last_b]
+        last_a = np.searchsorted(ends_a, common)
         n_a, n_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
         if int((n_a * n_b).sum()) > 64 * (len(a) + len(b)):
             return False
-        chunk_ends = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        chunk_ends = np.cumsum(list(map(len, map(str.encode, chunks)))) + np.arange(1, len(chunks) + 1)
         last_group = np.searchsorted(common, chunk_ends)
         group_a, group_b = np.repeat(np.arange(len(common)), n_a), np.repeat(np.arange(len(common)), n_b)
         # every pair of tokens of a group
@@ -161,10 +153,9 @@ class Aligner:
         place_b = np.arange(len(b)) + (last_a + 1)[group_b]
         shown, sizes = np.empty(len(a) + len(b), object), np.zeros(len(a) + len(b), np.int64)
         for ids, marks, place in ((a, mark_a, place_a), (b, mark_b, place_b)):
-            for mark in range(4):
-                own = marks == mark
-                shown[place[own]] = self.shown[mark][ids[own]]
-                sizes[place[own]] = self.shown_sizes[mark][ids[own]]
+            own = marks * self.marks + ids
+            shown[place] = self.shown[own]
+            sizes[place] = self.shown_sizes[own]
         whole = b"".join(shown.tolist())
         text_ends = np.cumsum(sizes)[place_b[last_b[last_group]]].tolist()
         self.texts += [whole[x:y] for x, y in zip([0, *text_ends], text_ends)]
@@ -218,10 +209,13 @@ class Aligner:
 
     def chunks(self, texts: list[str]) -> list:
         """The numbers of the chunks of each text, in order; none for an empty text."""
-        np, number = self.np, self.number.__getitem__
+        np = self.np
         cut = [self.joints.split(t) if t else [] for t in texts]
-        numbers = [np.fromiter(map(number, own), np.int64, len(own)) for own in cut]
-        self.learn()
+        every = [chunk for own in cut for chunk in own]
+        self.learn([chunk for chunk in dict.fromkeys(every) if chunk not in self.number])
+        numbers = np.fromiter(map(self.number.__getitem__, every), np.int64, len(every))
+        ends = np.cumsum(list(map(len, cut))).tolist()
+        numbers = [numbers[start:end] for start, end in zip([0, *ends], ends)]
         return [self.whole(t, own) for t, own in zip(texts, numbers)] if self.lost else numbers
 
     def whole(self, text: str, own):
@@ -297,6 +291,13 @@ def _second_pass(name_a: str, name_b: str):
         import pyarrow as pa
 
         aligner, block, known = _aligner(name_a, name_b), None, []
+
+        def sums_of(values, places):
+            """Sums of the rows between successive places."""
+            running = np.zeros((len(values) + 1, values.shape[1]), np.int64)
+            np.cumsum(values, axis=0, out=running[1:])
+            return np.diff(running[places], axis=0)
+
         for batch in slices(batches, 1024):
             blocks = batch.column(0).to_numpy()
             turns = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
@@ -324,15 +325,12 @@ def _second_pass(name_a: str, name_b: str):
                 place = np.searchsorted(pairs, found)
                 if len(found) and (not len(pairs) or (pairs[np.minimum(place, len(pairs) - 1)] != found).any()):
                     raise ValueError("a pair of the second pass has no count")
-                totals = np.zeros((len(numbers), 2), np.int64)
-                of = np.repeat(np.arange(len(numbers)), np.diff(np.append(first, len(found))))
-                np.add.at(totals, of, np.stack([times * best[place], times * counts[place]], 1).astype(np.int64)
-                          if len(found) else np.zeros((0, 2), np.int64))
+                values = np.stack([times * best[place], times * counts[place]], 1) if len(found) else np.zeros((0, 2), np.int64)
+                totals = sums_of(values, np.append(first, len(found)))
                 values = np.concatenate([aligner.table()[numbers, :4], totals], 1)[back.reshape(-1)]
-                sums = np.zeros((len(own), 6), np.int64)
-                np.add.at(sums, np.repeat(np.arange(len(own)), lengths), values)
-                shas = [hashlib.sha256(b";".join([aligner.texts[i] for i in x.tolist()])).hexdigest() if len(x) else ""
-                        for x in own]
+                sums = sums_of(values, np.cumsum([0, *lengths]))
+                text_of = aligner.texts.__getitem__
+                shas = [hashlib.sha256(b";".join(map(text_of, x.tolist()))).hexdigest() if len(x) else "" for x in own]
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(1), *[pa.array(sums[:, i]) for i in range(6)], pa.array(shas, pa.string())],
                     names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
