@@ -171,7 +171,7 @@ class Shapes:
         lines = self.t("lineitem").join(
             self.part_names().select("p_partkey", "p_name", "category"), F.col("l_partkey") == F.col("p_partkey"))
         items = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-            F.array_sort(F.collect_list(F.struct(
+            F.sort_array(F.collect_list(F.struct(
                 "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "p_name", "category"))).alias("lines"))
         methods = ["UPI", "CARD", "NETBANKING", "COD", "WALLET"]
         pay = F.element_at(F.array(*[F.lit(x) for x in methods]), (F.col("o_orderkey") % 5 + 1).cast("int"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.arrays import default_blank
+from ..functions.arrays import default_blank, sorted_field
 from .collecting import distinct_values, first_rows, first_values, last_value
 
 ORDER = ["event_time", "event_id"]
@@ -19,7 +19,7 @@ SESSION = ["user_id", "session_id"]
 def _distinct_by_first(order: str, value: str, newest: bool = False) -> Column:
     """Distinct values of pre-aggregated rows, ordered by their first (newest: last) occurrence; unbounded by definition."""
     pairs = F.collect_list(F.when(F.col(value).isNotNull() & F.col(order).isNotNull(), F.struct(order, value)))
-    values = F.transform(F.array_sort(pairs), lambda x: x[value])
+    values = sorted_field(pairs, value)
     return F.reverse(F.array_distinct(F.reverse(values))) if newest else F.array_distinct(values)
 
 

@@ -11,14 +11,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.arrays import sorted_field
+
 
 def _ordering(order: Sequence[str], newest_first: bool) -> list[Column]:
     return [F.col(c).desc() if newest_first else F.col(c).asc() for c in order]
 
 
 def _collect(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
-    pairs = F.array_sort(F.collect_list(F.struct("_o", "_v")))
-    return df.groupBy(*keys).agg(F.transform(pairs, lambda x: x["_v"]).alias(out))
+    return df.groupBy(*keys).agg(sorted_field(F.collect_list(F.struct("_o", "_v")), "_v").alias(out))
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], n: int | None,

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.arrays import default_blank, latest_time_text, merge_lists, not_blank
+from ..functions.arrays import default_blank, latest_time_text, merge_lists, not_blank, sorted_field
 from ..schemas import PROFILE
 from .ranking import top_k
 
@@ -184,8 +184,7 @@ def fold_profiles(history: DataFrame, order: list[str], as_of: str | None = None
     elements = top_k(elements, ["user_id", "kind", "value"], nearest, 1, "_first")
     capped = top_k(elements, ["user_id", "kind"], nearest, max(LIST_CAPS.values()), "_rn").filter(F.col("_rn") <= F.col("cap"))
     merged = capped.groupBy("user_id").agg(*[
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == c, F.struct("_rn", "value")))),
-                    lambda x: x["value"]).alias(f"_list_{c}")
+        sorted_field(F.collect_list(F.when(F.col("kind") == c, F.struct("_rn", "value"))), "value").alias(f"_list_{c}")
         for c in LIST_CAPS])
     both = scalars.join(merged, "user_id", "left")
     empty = F.array().cast("array<string>")
