@@ -97,6 +97,30 @@ def test_equal_substring_requests_are_searched_once(spark, products, monkeypatch
     assert seen == [2]
 
 
+def test_substring_matches_come_in_short_lists_that_repeat(spark):
+    """Queries of one request take the same few products in turn, so that result files pack; popular requests become several lists."""
+    from itertools import groupby
+    products = spark.range(600).selectExpr(
+        "cast(id AS string) AS id", "'Red Lamp' AS name", "'' AS description", "'b' AS brand", "'ACTIVE' AS status",
+        "cast(1 AS double) AS price", "cast(1 AS double) AS rating")
+    asked = spark.range(5).selectExpr(
+        "concat('q', id) AS query_id", "if(id < 4, 'red', 'blue') AS query", "cast(null AS double) AS min_price",
+        "cast(null AS double) AS max_price", "cast(null AS double) AS min_rating")
+    limits = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = [spark.conf.get(c) for c in limits]
+    try:  # joined as large tables are
+        for c in limits:
+            spark.conf.set(c, "-1")
+        rows = [(r.query_id, r.id) for r in S.like_matches(asked, products).collect()]
+    finally:
+        for c, value in zip(limits, before):
+            spark.conf.set(c, value)
+    assert sorted(rows) == sorted((f"q{i}", str(j)) for i in range(4) for j in range(600))
+    runs = [(q, tuple(i for _, i in g)) for q, g in groupby(rows, lambda r: r[0])]
+    assert max(len(ids) for _, ids in runs) <= 256
+    assert len({ids for _, ids in runs}) == len(runs) / 4  # each list of ids once for each query
+
+
 def test_refused_bounds(spark):
     with pytest.raises(Exception, match="minimum price"):
         S.check_bounds(asked(spark, ("x", 5.0, 1.0, None))).collect()

@@ -7,6 +7,8 @@ piece of text, so no query is ever compared with every product.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.terms import exploded_terms, term_sets, word_list
@@ -22,7 +24,9 @@ LIKE_FIELDS = ["name", "description", "brand"]
 # -------------------------------------------------------------------------------------------
 PIECE_ROWS = 500_000  # postings of one term or letter piece that meet queries in one task's group
 UNIT = 1_000_000  # scores are summed as whole millionths
-REQUEST_ROWS = 1_000  # queries of one request that one group gives its products to
+REQUEST_ROWS, PRODUCT_ROWS = 1_000, 4_096  # queries and products of one request that travel in a list
+LIST_IDS = 256  # products that a query takes before the next one
+TASK_MATCHES = 16_000_000  # rows that one task makes of lists
 FIRST_ROWS = 1_024  # postings of a query's first blocks
 REQUEST = ["query", "min_price", "max_price", "min_rating"]
 
@@ -353,18 +357,31 @@ def _pieces(text: Column, n: int) -> Column:
 def like_matches(queries: DataFrame, products: DataFrame) -> DataFrame:
     """(query_id, id): active products whose name, description or brand contains the query text (see `_like_matches`).
 
-    Equal requests are searched once. Queries of a request that very many ask are dealt to pieces of REQUEST_ROWS, each
-    of which gets the request's products, so no task gives out all rows of a popular request.
+    Equal requests are searched once. Their queries and their products travel in lists of some REQUEST_ROWS and PRODUCT_ROWS,
+    and become rows where they are read. There each query takes LIST_IDS products at a time, so that files hold the same few
+    ids again and again and pack well. No task makes more than some TASK_MATCHES rows.
     """
     keyed = queries.filter("query_id IS NOT NULL").select(
         "query_id", *REQUEST, F.sha2(F.to_json(F.struct(*REQUEST)), 256).alias("_request"))
-    counts = materialise(keyed.groupBy("_request").agg(
-        *[F.first(c).alias(c) for c in REQUEST], F.ceil(F.count("*") / REQUEST_ROWS).cast("int").alias("_pieces")), "requests")
-    found = _like_matches(counts.select(F.col("_request").alias("query_id"), *REQUEST), products).withColumnRenamed(
-        "query_id", "_request").join(counts.select("_request", "_pieces"), "_request")
-    dealt = keyed.select("query_id", "_request").join(counts.select("_request", "_pieces"), "_request").withColumn(
-        "_piece", F.pmod(F.xxhash64("query_id"), F.col("_pieces")).cast("int")).drop("_pieces")
-    return dealt.join(_to_all_pieces(found), ["_request", "_piece"]).select("query_id", "id")
+    counts = materialise(keyed.groupBy("_request").agg(*[F.first(c).alias(c) for c in REQUEST], F.count("*").alias("_n")), "requests")
+    found = materialise(_like_matches(counts.select(F.col("_request").alias("query_id"), *REQUEST), products).withColumnRenamed(
+        "query_id", "_request"), "substring-matches")
+    hits = materialise(found.groupBy("_request").agg(F.count("*").alias("_hits")), "substring-match-counts")
+    rows = counts.join(hits, "_request").agg(F.sum(F.col("_n").cast("double") * F.col("_hits"))).first()[0] or 0  # one number
+
+    def lists(part: DataFrame, size: DataFrame, value: str, most: int) -> DataFrame:
+        """(_request, _piece, values): the values of each request in sorted lists."""
+        pieces = size.select("_request", F.ceil(F.col(size.columns[-1]) / most).cast("int").alias("_pieces"))
+        return part.select("_request", value).join(pieces, "_request").groupBy(
+            "_request", F.pmod(F.xxhash64(value), F.col("_pieces")).cast("int").alias("_piece")).agg(
+            F.sort_array(F.collect_list(value)).alias("_values"))
+
+    asked = lists(keyed.join(hits, "_request", "left_semi"), counts, "query_id", REQUEST_ROWS)
+    offered = lists(found, hits, "id", PRODUCT_ROWS).select("_request", F.col("_piece").alias("_part"), F.col("_values").alias("_ids"))
+    blocks = asked.join(offered, "_request").repartition(max(1, math.ceil(rows / TASK_MATCHES)), "_request", "_piece", "_part")
+    starts = F.sequence(F.lit(1), F.size("_ids"), F.lit(LIST_IDS))
+    few = blocks.select("_values", F.explode(F.transform(starts, lambda at: F.slice("_ids", at, LIST_IDS))).alias("_ids"))
+    return few.select(F.explode("_values").alias("query_id"), "_ids").select("query_id", F.explode("_ids").alias("id"))
 
 
 def _like_matches(queries: DataFrame, products: DataFrame) -> DataFrame:
