@@ -1,6 +1,7 @@
 """Vector search against plain loops."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tradewind.operators import vectors as V
@@ -114,6 +115,45 @@ def test_vectors_go_to_the_visits_of_their_own_leaf_alone(spark, monkeypatch):
     assert LI.leaf_count(10 ** 12, 1024) * 8 * 1024 <= LI.CENTRE_BYTES
 
 
+def test_blocks_are_exact_and_meet_only_what_is_asked_for(monkeypatch):
+    """Matches closer together than single precision tells apart, equal vectors, restricts and leaves that are not visited;
+    queries for a brand are not multiplied with the vectors of other brands."""
+    rng = np.random.default_rng(3)
+    some = rng.normal(size=(250, 16))
+    vectors = np.concatenate([some * (1 + 1e-8), some + 2e-7 * rng.normal(size=some.shape), some, rng.normal(size=(750, 16))]).astype(np.float32)
+    n, m, k = len(vectors), 1600, rng.integers(1, 6, size=1600).astype(np.int32)
+    v = pd.DataFrame({"id": [f"{i * 7919 % n:04d}" for i in range(n)], "embedding": list(vectors), "category_id": [f"c{i % 3}" for i in range(n)],
+                      "brand": [None if i % 7 == 0 else f"b{i % 4}" for i in range(n)], "price": rng.random(n), "rating": rng.random(n),
+                      "place": rng.integers(0, 5, size=n)})
+    v.loc[5, "rating"] = None
+    asked = np.concatenate([some, some, some, some, rng.normal(size=(m - 1000, 16))]).astype(np.float32)
+    none = lambda x, keep: np.where(keep, x, None)
+    i = np.arange(m)
+    q = pd.DataFrame({"query_id": [f"q{j}" for j in i], "bound": np.where(i % 2, 0.3, -1.0), "k": k,
+                      "min_price": none(0.3, i % 9 == 0), "max_price": none(0.8, i % 5 == 0), "min_rating": none(0.4, i % 8 == 1),
+                      "category_id": none("c1", i % 50 == 0), "brand": none(np.array([f"b{j // 2 % 4}" for j in i], object), i < 1500)})
+    q["visits"] = list(rng.random((m, 5)) < 0.7)
+    products, multiply = [], V._product_matches
+    monkeypatch.setattr(V, "_product_matches", lambda a, b, *more: products.append(len(a) * len(b)) or multiply(a, b, *more))
+    monkeypatch.setattr(V, "CUT_QUERIES", 1000)
+    found = V._block_matches(q, V.unit(asked), v).groupby("query_id")
+    got = {x: list(zip(r.sort_values(["similarity", "id"], ascending=[False, True]).id, r.similarity.sort_values(ascending=False))) for x, r in found}
+    sims = np.round(V.unit(asked) @ V.unit(vectors).T, 9)
+    want = {}
+    for j, r in enumerate(q.itertuples()):
+        ok = (sims[j] >= r.bound) & r.visits[v.place]
+        for bound, test in ((r.min_price, lambda x: v.price >= x), (r.max_price, lambda x: v.price <= x), (r.min_rating, lambda x: v.rating >= x),
+                            (r.category_id, lambda x: v.category_id == x), (r.brand, lambda x: v.brand == x)):
+            if bound is not None and bound == bound:
+                ok &= test(bound).to_numpy()
+        rows = sorted((-sims[j, a], v.id[a]) for a in np.flatnonzero(ok))[:r.k]
+        if rows:
+            want[r.query_id] = [(a, -s) for s, a in rows]
+    assert got.keys() == want.keys()
+    assert all([a for a, _ in got[x]] == [a for a, _ in want[x]] and np.allclose([s for _, s in got[x]], [s for _, s in want[x]], atol=2e-9) for x in want)
+    assert sum(products) < 0.5 * 0.7 * n * m  # 1,500 of the 1,600 queries ask for one of four brands
+
+
 def test_a_query_goes_once_to_the_leaves_of_a_bin(spark, monkeypatch):
     """Leaves of one bin are searched together: vectors and queries are not sent again for every leaf."""
     rows = data(400, 6, 7)
